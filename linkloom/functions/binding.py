@@ -1,0 +1,13 @@
+"""Bind an intermediate value inside an expression."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often ``body`` refers to it."""
+    return F.get(F.transform(F.array(value), body), 0)
