@@ -8,17 +8,25 @@ from pyspark.sql import functions as F
 from linkloom.functions.hashing import BIT_MAP_SIZE, bit_positions
 
 
+_POSITIONS = 1 << 31
+
+
 def dedup_links(links: DataFrame) -> DataFrame:
     """First occurrence of each exact URL by ``(src_id, pos)``: ``url, src_id, pos``.
 
-    The first step keeps the URL's first place on each page and the second its first page, so
-    both buffers are plain numbers and stay in hash aggregation; a URL that most pages carry is
-    down to one row per map task before the second shuffle.
+    ``src_id`` and ``pos`` travel as one decimal that orders like the pair.  Unlike a struct it
+    is a fixed-width buffer, so this is a hash aggregation, and a URL that most pages carry is
+    down to one row per map task before the shuffle.
     """
-    on_page = links.groupBy("url", "src_id").agg(F.min("pos").alias("pos"))
-    return on_page.groupBy("url").agg(
-        F.min_by("pos", "src_id").alias("pos"), F.min("src_id").alias("src_id")
-    ).select("url", "src_id", "pos")
+    width = F.lit(_POSITIONS).cast("decimal(11,0)")
+    place = (F.col("src_id").cast("decimal(20,0)") * width + F.col("pos")).cast("decimal(38,0)")
+    first = links.select("url", place.alias("_place")).groupBy("url").agg(F.min("_place").alias("_place"))
+    pos = F.pmod(F.col("_place"), width)
+    return first.select(
+        "url",
+        ((F.col("_place") - pos) / width).cast("long").alias("src_id"),
+        pos.cast("int").alias("pos"),
+    )
 
 
 def drop_seen(links: DataFrame, seen: DataFrame) -> DataFrame:
