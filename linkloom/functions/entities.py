@@ -1,25 +1,30 @@
-"""HTML character references as Column expressions.
+"""HTML character references.
 
-``decode_entities`` costs one ``contains('&')`` for strings without references; only strings that
-hold an ampersand are cut into tokens and looked up.
+Strings without an ampersand cost one ``contains``; only the others are cut into tokens and
+looked up.
 """
 
 from __future__ import annotations
 
 from html.entities import html5
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from linkloom.functions.text import quoted
 
 _PAIR, _KV = "\x01", "\x02"
 
-# Names as they stand between '&' and the end of the reference, so "amp;" and the legacy "amp".
-_LEGACY = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+# Keys stand as between '&' and the end of the reference: "amp;" and, for old names, also "amp".
+_NAMED = "str_to_map({}, {}, {})".format(
+    quoted(_PAIR.join(f"{name}{_KV}{value}" for name, value in sorted(html5.items()))),
+    quoted(_PAIR),
+    quoted(_KV),
+)
+_OLD_NAMES = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+_OLD_PREFIX = "^&(" + "|".join(_OLD_NAMES) + ")"
 
 # Numeric references to 0x80-0x9F mean the Windows-1252 character, as in browsers.
-_WIN1252 = [
-    ord(bytes([b]).decode("cp1252", errors="ignore") or chr(b)) for b in range(0x80, 0xA0)
-]
+_WIN1252 = ", ".join(
+    str(ord(bytes([b]).decode("cp1252", errors="ignore") or chr(b))) for b in range(0x80, 0xA0)
+)
 
 _NUMERIC = r"&#(?:[xX][0-9a-fA-F]++|[0-9]++);?+"
 _NAME = r"&[A-Za-z]++[0-9]*+"
@@ -27,58 +32,36 @@ _REST = r"[^&]++|&"
 # In an attribute a name without ';' counts only when no letter, digit, '=', '-' or '_' follows.
 _ATTR_TOKENS = rf"(?s){_NUMERIC}|{_NAME}(?:;|(?![A-Za-z0-9=_-]))|{_REST}"
 _TEXT_TOKENS = rf"(?s){_NUMERIC}|{_NAME};?+|{_REST}"
-_LEGACY_PREFIX = "^&(" + "|".join(_LEGACY) + ")"
 
-
-def _named_map() -> Column:
-    pairs = _PAIR.join(f"{n}{_KV}{v}" for n, v in sorted(html5.items()))
-    return F.str_to_map(F.lit(pairs), F.lit(_PAIR), F.lit(_KV))
-
-
-def _numeric(tok: Column) -> Column:
-    digits = F.regexp_extract(tok, r"^&#[xX]?0*([0-9a-fA-F]*)", 1)
-    is_hex = tok.startswith("&#x") | tok.startswith("&#X")
-    code = (
-        F.when(F.length(digits) > 8, F.lit("1114112"))
-        .when(digits == "", F.lit("0"))
-        .when(is_hex, F.conv(digits, 16, 10))
-        .otherwise(digits)
-        .cast("long")
-    )
-    win = F.array(*[F.lit(c) for c in _WIN1252])
-    code = (
-        F.when((code > 0x10FFFF) | code.between(0xD800, 0xDFFF), F.lit(0xFFFD))
-        .when(code.between(0x80, 0x9F), F.get(win, (code - 0x80).cast("int")))
-        .otherwise(code)
-    )
-    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-
-
-def _lookup(tok: Column, in_attribute: bool) -> Column:
-    name = F.substring(tok, 2, 64)
-    found = F.try_element_at(_named_map(), name)
-    if in_attribute:
-        rest = tok
-    else:
-        prefix = F.regexp_extract(tok, _LEGACY_PREFIX, 1)
-        rest = F.when(
-            prefix != "",
-            F.concat(
-                F.try_element_at(_named_map(), prefix),
-                F.substr(tok, F.length(prefix) + 2),
-            ),
-        ).otherwise(tok)
-    return (
-        F.when(~tok.startswith("&") | (tok == "&"), tok)
-        .when(tok == "&amp;", F.lit("&"))
-        .when(tok.startswith("&#"), _numeric(tok))
-        .otherwise(F.coalesce(found, rest))
-    )
-
-
-def decode_entities(text: Column, in_attribute: bool = False) -> Column:
-    """Replace character references; ``in_attribute`` applies the stricter attribute rule."""
-    pattern = _ATTR_TOKENS if in_attribute else _TEXT_TOKENS
-    tokens = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    decoded = F.array_join(F.transform(tokens, lambda t: _lookup(t, in_attribute)), "")
-    return F.when(text.contains("&"), decoded).otherwise(text)
+_CODE = """CAST(CASE WHEN length(d) > 8 THEN '1114112' WHEN d = '' THEN '0'
+    WHEN lower(substring(t, 3, 1)) = 'x' THEN conv(d, 16, 10) ELSE d END AS BIGINT)"""
+_MAPPED = f"""CASE WHEN c > 1114111 OR c BETWEEN 55296 AND 57343 THEN 65533
+    WHEN c BETWEEN 128 AND 159 THEN get(array({_WIN1252}), CAST(c - 128 AS INT)) ELSE c END"""
+_CHARACTER = f"""array_join(transform(transform(transform(
+    array(regexp_extract(t, '^&#[xX]?0*([0-9a-fA-F]*)', 1)),
+    d -> {_CODE}), c -> {_MAPPED}),
+    p -> decode(unhex(lpad(hex(CAST(p AS BIGINT)), 8, '0')), 'UTF-32')), '')"""
+
+
+def _lookup(in_attribute: bool) -> str:
+    rest = "t"
+    if not in_attribute:
+        prefix = f"regexp_extract(t, {quoted(_OLD_PREFIX)}, 1)"
+        rest = f"""CASE WHEN {prefix} <> ''
+            THEN concat(try_element_at({_NAMED}, {prefix}), substring(t, length({prefix}) + 2))
+            ELSE t END"""
+    return f"""CASE WHEN NOT startswith(t, '&') OR t = '&' THEN t
+        WHEN t = '&amp;' THEN '&'
+        WHEN startswith(t, '&#') THEN {_CHARACTER}
+        ELSE coalesce(try_element_at({_NAMED}, substring(t, 2)), {rest}) END"""
+
+
+def decode_entities(text: str, in_attribute: bool = False) -> str:
+    """SQL that replaces character references; attributes have the stricter rule.
+
+    ``text`` occurs three times, so it should be a column or lambda variable.
+    """
+    pattern = quoted(_ATTR_TOKENS if in_attribute else _TEXT_TOKENS)
+    tokens = f"regexp_extract_all({text}, {pattern}, 0)"
+    decoded = f"array_join(transform({tokens}, t -> {_lookup(in_attribute)}), '')"
+    return f"CASE WHEN contains({text}, '&') THEN {decoded} ELSE {text} END"

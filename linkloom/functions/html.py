@@ -1,4 +1,4 @@
-"""Links and title of an HTML text as Column expressions.
+"""Links and title of an HTML text.
 
 One regular expression walks the text tag by tag, so that comments, raw-text elements and quoted
 attribute values are stepped over as a whole.  All loops are possessive: the time is linear in
@@ -7,13 +7,8 @@ the text and the stack does not grow with it.  This is a tokenizer, not a tree b
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from linkloom.functions.binding import let
 from linkloom.functions.entities import decode_entities
+from linkloom.functions.text import let, quoted
 from linkloom.functions.urls import clean_reference, resolve_all
 
 _END = r"(?=[\s/>])"
@@ -52,51 +47,38 @@ _TITLE = (
 )
 
 
-def references(html: Column) -> Column:
-    """Array of ``(is_base, ref)`` for ``<a href>`` and ``<base href>`` in document order."""
-    tokens = F.filter(F.regexp_extract_all(html, F.lit(_WALK), F.lit(2)), lambda t: t != "")
-
-    def unquoted(v: Column) -> Column:
-        quoted = v.startswith('"') | v.startswith("'")
-        return F.when(quoted, F.substr(v, F.lit(2), F.length(v) - 2)).otherwise(v)
-
-    def decoded(v: Column) -> Column:
-        return clean_reference(decode_entities(v, in_attribute=True))
-
-    def each(refs: Column, step: Callable[[Column], Column]) -> Column:
-        return F.transform(
-            refs, lambda r: F.struct(r["is_base"].alias("is_base"), step(r["ref"]).alias("ref"))
-        )
-
-    values = F.transform(
-        tokens,
-        lambda t: F.struct(
-            F.left(t, F.lit(1)).isin("b", "B").alias("is_base"),
-            F.regexp_extract(t, _HREF_VALUE, 1).alias("ref"),
-        ),
-    )
-    return each(each(values, unquoted), decoded)
+def references(html: str) -> str:
+    """SQL array of ``(is_base, ref)`` for ``<a href>`` and ``<base href>`` in document order."""
+    tokens = f"filter(regexp_extract_all({html}, {quoted(_WALK)}, 2), t -> t <> '')"
+    values = f"""transform({tokens}, t -> named_struct(
+        'is_base', lower(left(t, 1)) = 'b', 'ref', regexp_extract(t, {quoted(_HREF_VALUE)}, 1)))"""
+    quote = quoted("'")
+    bare = f"""transform({values}, v -> named_struct('is_base', v.is_base, 'ref',
+        CASE WHEN startswith(v.ref, '"') OR startswith(v.ref, {quote})
+             THEN substring(v.ref, 2, length(v.ref) - 2) ELSE v.ref END))"""
+    decoded = decode_entities("b.ref", in_attribute=True)
+    return f"""transform({bare}, b -> named_struct('is_base', b.is_base,
+        'ref', {clean_reference(decoded)}))"""
 
 
-def _refs_of(refs: Column, is_base: bool) -> Column:
-    chosen = F.filter(refs, lambda r: r["is_base"] == F.lit(is_base))
-    return F.transform(chosen, lambda r: r["ref"])
+def _refs_of(refs: str, is_base: str) -> str:
+    return f"transform(filter({refs}, f -> f.is_base = {is_base}), f -> f.ref)"
 
 
-def declared_base(refs: Column, page: Column) -> Column:
-    """URL of the first ``<base href>`` that resolves against ``page`` (a base struct), or null."""
-    has_base = F.exists(refs, lambda r: r["is_base"])
-    urls = resolve_all(_refs_of(refs, True), page)
-    return F.when(has_base, F.get(F.filter(urls, lambda u: u != ""), 0))
+def declared_base(refs: str, page: str) -> str:
+    """SQL: the first ``<base href>`` that resolves against the ``page`` base, or null."""
+    urls = resolve_all(_refs_of(refs, "true"), page)
+    return f"CASE WHEN exists({refs}, e -> e.is_base) THEN get(filter({urls}, d -> d <> ''), 0) END"
 
 
-def anchors_resolved(refs: Column, base: Column) -> Column:
-    """URLs of all ``a[href]`` in document order, ``''`` where a reference does not resolve."""
-    return resolve_all(_refs_of(refs, False), base)
+def anchors_resolved(refs: str, base: str) -> str:
+    """SQL array: URLs of all ``a[href]`` in order, ``''`` where a reference does not resolve."""
+    return resolve_all(_refs_of(refs, "false"), base)
 
 
-def title_of(html: Column) -> Column:
-    """Text of the head's first ``<title>`` with entities decoded and blanks folded, else ``''``."""
-    text = let(F.regexp_extract(html, _TITLE, 2), decode_entities)
-    visible = F.translate(text, "\u200b\u00ad", "")
-    return F.trim(F.regexp_replace(visible, r"[ \t\n\f\r\x{A0}]++", " "))
+def title_of(html: str) -> str:
+    """SQL: the head's first ``<title>`` with entities decoded and blanks folded, else ``''``."""
+    text = let(f"regexp_extract({html}, {quoted(_TITLE)}, 2)", "x", decode_entities("x"))
+    visible = f"translate({text}, {quoted(chr(0x200B) + chr(0xAD))}, '')"
+    blanks = quoted(r"[ \t\n\f\r\x{A0}]++")
+    return f"trim(regexp_replace({visible}, {blanks}, ' '))"

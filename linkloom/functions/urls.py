@@ -1,9 +1,9 @@
-"""URL resolution and URL predicates as Column expressions.
+"""URL resolution and URL predicates.
 
 The rules are those of ``java.net.URL``: an absolute link keeps its spelling except for the case
 of the scheme and for dot segments of its path, and a reference is merged with the base path.
-The common cases (an absolute link or a root-relative one, without dot segments) are decided by
-prefix tests alone.
+The common cases are decided by prefix tests; only links with dot segments, user information or
+unusual schemes take the long way.
 """
 
 from __future__ import annotations
@@ -11,112 +11,104 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from linkloom.functions.text import quoted
+
 # A link ending in one of these is not a page.
 SKIP_EXTENSIONS = (".pdf", ".doc", ".jpg", ".png", ".zip", ".exe", ".rar", ".apk")
 
-_SCHEME = r"^[A-Za-z][A-Za-z0-9.+-]*:"
-_HIERARCHICAL = r"^(?i:https?|ftp):"
-_CONTROL = "".join(map(chr, range(0x20)))
 _SKIP_SUFFIX = r"(?:" + "|".join(e.replace(".", r"\.") for e in SKIP_EXTENSIONS) + r")\z"
-
-
-def _drop_dot_segments(path: Column) -> Column:
-    """Remove ``.`` and ``..`` segments; a ``..`` with nothing above it stays."""
-    closed = F.when(path.endswith("/.") | path.endswith("/.."), F.concat(path, F.lit("/"))).otherwise(path)
-
-    def step(kept: Column, seg: Column) -> Column:
-        above = F.get(kept, F.size(kept) - 1)
-        return (
-            F.when(seg == ".", kept)
-            .when((seg == "..") & (F.size(kept) > 1) & (above != ".."), F.slice(kept, F.lit(1), F.size(kept) - 1))
-            .otherwise(F.concat(kept, F.array(seg)))
-        )
-
-    kept = F.aggregate(F.split(closed, "/"), F.array().cast("array<string>"), step)
-    return F.array_join(kept, "/")
-
-
-def _rebuilt(url: Column, lenient: Column) -> Column:
-    """Lower-case the scheme and clean the path.
-
-    ``lenient`` (a URL joined to a base) also drops user information and leading ``/../``.
-    """
-    head = F.regexp_extract(url, r"^[^:]*+:(?://[^/?#]*+)?+", 0)
-    scheme = F.lower(F.substring_index(head, ":", 1))
-    given = F.substr(head, F.length(scheme) + 2)
-    authority = F.when(lenient, F.regexp_replace(given, r"^//.*@", "//")).otherwise(given)
-    path = F.regexp_extract(F.substr(url, F.length(head) + 1), r"^[^?#]*+", 0)
-    kept = _drop_dot_segments(path)
-    rooted = F.when(lenient, F.regexp_replace(kept, r"^/(?:\.\.?/)++", "/")).otherwise(kept)
-    return F.concat(
-        scheme,
-        F.lit(":"),
-        F.when(authority == "//", F.lit("")).otherwise(authority),
-        F.when(path.contains("/."), rooted).otherwise(path),
-        F.substr(url, F.length(head) + F.length(path) + 1),
-    )
-
-
-def _external(url: Column, lenient: Column) -> Column:
-    plain = (url.startswith("http://") | url.startswith("https://")) & ~url.rlike(r"/\.|@|:///")
-    return (
-        F.when(plain, url).when(url.rlike(_HIERARCHICAL), _rebuilt(url, lenient)).otherwise(url)
-    )
-
-
-def clean_reference(raw: Column) -> Column:
-    """Strip control characters, then surrounding blanks."""
-    return F.trim(F.translate(raw, _CONTROL, ""))
-
-
+_CONTROL = quoted("".join(map(chr, range(0x20))))
+_SCHEME = quoted(r"^[A-Za-z][A-Za-z0-9.+-]*:")
+_HIERARCHICAL = quoted(r"^(?i:https?|ftp):")
+_AUTHORITY = quoted(r"^[^:]*+://")
+_UNUSUAL = quoted(r"/\.|@|:///")
+_HEAD = quoted(r"^[^:]*+:(?://[^/?#]*+)?+")
+_PATH = quoted(r"^[^?#]*+")
+_USER = quoted(r"^//.*@")
+_ABOVE_ROOT = quoted(r"^/(?:\.\.?/)++")
 _CUT = "\x01"
-_BASE = (
+_BASE = quoted(
     r"(?s)^([A-Za-z][A-Za-z0-9.+-]*+://)(?:[^/?#@]*+@)?([^/?#]++)"  # origin
     r"((?:[^?#]*/)?)([^?#/]*+)"  # folder, leaf
     r"((?:\?[^#]*+)?)(.*)$"  # query, fragment
 )
 
 
-def parse_base(url: Column) -> Column:
-    """Base URL cut into ``[origin, folder, leaf, query, fragment]`` for :func:`resolve_all`.
+def clean_reference(raw: str) -> str:
+    """SQL that strips control characters, then surrounding blanks."""
+    return f"trim(translate({raw}, {_CONTROL}, ''))"
+
+
+def parse_base(url: str) -> str:
+    """SQL array ``[origin, folder, leaf, query, fragment]`` of a base URL.
 
     Put it into a column of its own, so that it is computed once per page.  A text that is no
     ``scheme://host`` URL gives an array of another length, which counts as no base.
     """
-    scheme = F.substring_index(F.translate(url, _CUT, ""), "://", 1)
-    lowered = F.concat(F.lower(scheme), F.substr(url, F.length(scheme) + 1))
-    return F.split(F.regexp_replace(lowered, _BASE, _CUT.join(("$1$2", "$3", "$4", "$5", "$6"))), _CUT)
+    scheme = f"substring_index(translate({url}, {quoted(_CUT)}, ''), '://', 1)"
+    lowered = f"concat(lower({scheme}), substring({url}, length({scheme}) + 1))"
+    pieces = quoted(_CUT.join(("$1$2", "$3", "$4", "$5", "$6")))
+    return f"split(regexp_replace({lowered}, {_BASE}, {pieces}), {quoted(_CUT)})"
 
 
-def _joined(ref: Column, base: Column) -> Column:
-    origin, folder, leaf, query, fragment = (F.get(base, i) for i in range(5))
-    root = F.when(folder == "", F.lit("/")).otherwise(folder)
-    scheme = F.substring_index(origin, ":", 1)
-    no_base = fragment.isNull()
-    has_scheme = ref.rlike(_SCHEME)
-    # "http:x" against an http base is the relative reference "x".
-    same = F.lower(ref).startswith(F.concat(scheme, F.lit(":"))) & ~ref.rlike(r"^[^:]*+://")
-    bare = F.when(has_scheme, F.substr(ref, F.length(scheme) + 2)).otherwise(ref)
-    return (
-        F.when(has_scheme & (no_base | ~same), ref)
-        .when(no_base, F.lit(""))
-        .when(bare.startswith("//"), F.concat(scheme, F.lit(":"), bare))
-        .when(bare.startswith("/"), F.concat(origin, bare))
-        .when(bare == "", F.concat(origin, folder, leaf, query, fragment))
-        .when(bare.startswith("#"), F.concat(origin, folder, leaf, query, bare))
-        .when(bare.startswith("?"), F.concat(origin, root, leaf, bare))
-        .otherwise(F.concat(origin, root, bare))
-    )
+def _without_dot_segments(path: str) -> str:
+    """A ``..`` with nothing above it stays."""
+    closed = f"CASE WHEN endswith({path}, '/.') OR endswith({path}, '/..') THEN concat({path}, '/') ELSE {path} END"
+    return f"""array_join(aggregate(split({closed}, '/'), CAST(array() AS ARRAY<STRING>), (kept, seg) ->
+        CASE WHEN seg = '.' THEN kept
+             WHEN seg = '..' AND size(kept) > 1 AND get(kept, size(kept) - 1) <> '..'
+             THEN slice(kept, 1, size(kept) - 1)
+             ELSE concat(kept, array(seg)) END), '/')"""
+
 
+def _external(url: str, joined: str) -> str:
+    """Lower-case the scheme and clean the path.
 
-def resolve_all(refs: Column, base: Column) -> Column:
-    """Absolute URLs of an array of cleaned references, ``''`` where a reference has none.
+    A URL that was ``joined`` to a base also loses user information and leading ``/../``.
+    """
+    head = f"regexp_extract({url}, {_HEAD}, 0)"
+    scheme = f"lower(substring_index({head}, ':', 1))"
+    given = f"substring({head}, length({scheme}) + 2)"
+    authority = f"CASE WHEN {joined} THEN regexp_replace({given}, {_USER}, '//') ELSE {given} END"
+    path = f"regexp_extract(substring({url}, length({head}) + 1), {_PATH}, 0)"
+    kept = _without_dot_segments(path)
+    clean = f"CASE WHEN {joined} THEN regexp_replace({kept}, {_ABOVE_ROOT}, '/') ELSE {kept} END"
+    rebuilt = f"""concat({scheme}, ':', CASE WHEN {given} = '//' THEN '' ELSE {authority} END,
+        CASE WHEN contains({path}, '/.') THEN {clean} ELSE {path} END,
+        substring({url}, length({head}) + length({path}) + 1))"""
+    return f"""CASE WHEN (startswith({url}, 'http://') OR startswith({url}, 'https://'))
+             AND NOT rlike({url}, {_UNUSUAL}) THEN {url}
+        WHEN rlike({url}, {_HIERARCHICAL}) THEN {rebuilt}
+        ELSE {url} END"""
+
+
+def _joined(ref: str, base: str) -> str:
+    origin, folder, leaf, query, fragment = (f"get({base}, {i})" for i in range(5))
+    root = f"CASE WHEN {folder} = '' THEN '/' ELSE {folder} END"
+    scheme = f"substring_index({origin}, ':', 1)"
+    has_scheme = f"rlike({ref}, {_SCHEME})"
+    # "http:x" against an http base is the relative reference "x".
+    same = f"(startswith(lower({ref}), concat({scheme}, ':')) AND NOT rlike({ref}, {_AUTHORITY}))"
+    bare = f"CASE WHEN {has_scheme} THEN substring({ref}, length({scheme}) + 2) ELSE {ref} END"
+    return f"""CASE
+        WHEN {fragment} IS NULL THEN CASE WHEN {has_scheme} THEN {ref} ELSE '' END
+        WHEN {has_scheme} AND NOT {same} THEN {ref}
+        WHEN startswith({bare}, '//') THEN concat({scheme}, ':', {bare})
+        WHEN startswith({bare}, '/') THEN concat({origin}, {bare})
+        WHEN {bare} = '' THEN concat({origin}, {folder}, {leaf}, {query}, {fragment})
+        WHEN startswith({bare}, '#') THEN concat({origin}, {folder}, {leaf}, {query}, {bare})
+        WHEN startswith({bare}, '?') THEN concat({origin}, {root}, {leaf}, {bare})
+        ELSE concat({origin}, {root}, {bare}) END"""
+
+
+def resolve_all(refs: str, base: str) -> str:
+    """SQL array of absolute URLs of cleaned references, ``''`` where a reference has none.
 
     ``base`` is a column of :func:`parse_base`; without one only references that carry a scheme
     resolve.
     """
-    joined = F.transform(refs, lambda r: _joined(r, base))
-    return F.transform(joined, lambda u: _external(u, F.get(base, 4).isNotNull()))
+    joined = f"transform({refs}, r -> {_joined('r', base)})"
+    return f"transform({joined}, u -> {_external('u', f'get({base}, 4) IS NOT NULL')})"
 
 
 def is_crawlable(url: Column) -> Column:

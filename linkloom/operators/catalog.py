@@ -51,7 +51,7 @@ def page_patches(
     full = pages.filter(F.col("html").isNotNull() & (F.col("html") != ""))
     return full.select(
         F.col(page_id).cast("long").alias("id"),
-        title_of(F.col("html")).alias("title"),
+        F.expr(title_of("html")).alias("title"),
         F.octet_length("html").alias("content_length"),
         F.lit(stored).alias("stored"),
         _moment(as_of).alias("update_time"),

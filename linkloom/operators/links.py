@@ -22,13 +22,13 @@ def with_link_array(pages: DataFrame, base: str = "strict") -> DataFrame:
     """
     if base not in ("strict", "page"):
         raise ValueError(f"base must be 'strict' or 'page', not {base!r}")
-    own = F.col("url") if base == "page" else F.lit(None).cast("string")
+    own = "url" if base == "page" else "CAST(NULL AS STRING)"
     return (
-        pages.withColumn("_refs", references(F.col("html")))
-        .withColumn("_page", parse_base(own))
-        .withColumn("_declared", declared_base(F.col("_refs"), F.col("_page")))
-        .withColumn("_base", parse_base(F.coalesce(F.col("_declared"), own)))
-        .withColumn("links", anchors_resolved(F.col("_refs"), F.col("_base")))
+        pages.withColumn("_refs", F.expr(references("html")))
+        .withColumn("_page", F.expr(parse_base(own)))
+        .withColumn("_declared", F.expr(declared_base("_refs", "_page")))
+        .withColumn("_base", F.expr(parse_base(f"coalesce(_declared, {own})")))
+        .withColumn("links", F.expr(anchors_resolved("_refs", "_base")))
         .drop("_refs", "_page", "_declared", "_base")
     )
 

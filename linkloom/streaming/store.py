@@ -80,6 +80,7 @@ def store_stream(
     just written, so the join with the snapshot runs once and ``stored`` means what is on disk.
     Each micro-batch scans the snapshot's URLs; prefer few large ones.
     """
+    create_catalog(spark, root)
     reader = spark.readStream.schema(stored_schema(CATALOG))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
