@@ -473,7 +473,7 @@ def oracle_sql() -> dict[str, str]:
         "links_strict": r"""
 WITH t AS (
   SELECT c_custkey AS src_id, unnest([0, 2, 3, 4, 5]) AS pos,
-         unnest(['http://c.example/' || c_custkey, 'https://c.example/' || c_custkey,
+         unnest(['http://c.example/' || c_custkey, 'https://c.example/a/../' || c_custkey,
                  'http://c.example/' || c_custkey || '.DOC',
                  'http://c.example/' || c_custkey || '.pdf?x=1&y=2#z', 'mailto:a@c.example']) AS url
   FROM customer)

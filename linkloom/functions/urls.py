@@ -1,9 +1,9 @@
 """URL resolution and URL predicates.
 
 The rules are those of ``java.net.URL``: an absolute link keeps its spelling except for the case
-of the scheme and for dot segments of its path, and a reference is merged with the base path.
-The common cases are decided by prefix tests; only links with dot segments, user information or
-unusual schemes take the long way.
+of the scheme; a relative path is merged with the base path and loses its dot segments.  The
+common cases are decided by prefix tests; only links with dots, user information or unusual
+schemes take the long way.
 """
 
 from __future__ import annotations
@@ -21,12 +21,13 @@ _CONTROL = quoted("".join(map(chr, range(0x20))))
 _SCHEME = quoted(r"^[A-Za-z][A-Za-z0-9.+-]*:")
 _HIERARCHICAL = quoted(r"^(?i:https?|ftp):")
 _AUTHORITY = quoted(r"^[^:]*+://")
-_UNUSUAL = quoted(r"/\.|@|:///")
+_UNUSUAL = quoted(r"@|:///|//[^/?#]*+/\.")
 _HEAD = quoted(r"^[^:]*+:(?://[^/?#]*+)?+")
 _PATH = quoted(r"^[^?#]*+")
 _USER = quoted(r"^//.*@")
 _ABOVE_ROOT = quoted(r"^/(?:\.\.?/)++")
 _CUT = "\x01"
+_MARK = quoted("\x02")
 _BASE = quoted(
     r"(?s)^([A-Za-z][A-Za-z0-9.+-]*+://)(?:[^/?#@]*+@)?([^/?#]++)"  # origin
     r"((?:[^?#]*/)?)([^?#/]*+)"  # folder, leaf
@@ -51,31 +52,36 @@ def parse_base(url: str) -> str:
     return f"split(regexp_replace({lowered}, {_BASE}, {pieces}), {quoted(_CUT)})"
 
 
-def _without_dot_segments(path: str) -> str:
-    """A ``..`` with nothing above it stays."""
-    closed = f"CASE WHEN endswith({path}, '/.') OR endswith({path}, '/..') THEN concat({path}, '/') ELSE {path} END"
-    return f"""array_join(aggregate(split({closed}, '/'), CAST(array() AS ARRAY<STRING>), (kept, seg) ->
+def _merged(folder: str, ref: str) -> str:
+    """Path of a relative reference; a ``..`` with nothing above it stays.
+
+    Below a base without any path the JVM keeps dot segments.  A last ``.`` or ``..`` gives way
+    to an end mark, which leaves the slash before it.
+    """
+    whole = f"concat({folder}, {ref})"
+    path = f"regexp_extract({whole}, {_PATH}, 0)"
+    closed = f"""CASE WHEN endswith({path}, '/.') THEN concat({path}, '/')
+        WHEN endswith({path}, '/..') THEN concat({path}, '/', {_MARK}) ELSE {path} END"""
+    segments = f"""array_join(aggregate(split({closed}, '/'), CAST(array() AS ARRAY<STRING>), (kept, seg) ->
         CASE WHEN seg = '.' THEN kept
              WHEN seg = '..' AND size(kept) > 1 AND get(kept, size(kept) - 1) <> '..'
              THEN slice(kept, 1, size(kept) - 1)
              ELSE concat(kept, array(seg)) END), '/')"""
+    kept = f"replace(replace({segments}, concat('/../', {_MARK}), '/..'), {_MARK}, '')"
+    return f"""CASE WHEN {folder} = '' THEN concat('/', {ref})
+        WHEN contains({whole}, '/.') THEN concat({kept}, substring({whole}, length({path}) + 1))
+        ELSE {whole} END"""
 
 
 def _external(url: str, joined: str) -> str:
-    """Lower-case the scheme and clean the path.
-
-    A URL that was ``joined`` to a base also loses user information and leading ``/../``.
-    """
+    """Lower-case the scheme; a URL ``joined`` to a base loses user information and leading dots."""
     head = f"regexp_extract({url}, {_HEAD}, 0)"
     scheme = f"lower(substring_index({head}, ':', 1))"
     given = f"substring({head}, length({scheme}) + 2)"
     authority = f"CASE WHEN {joined} THEN regexp_replace({given}, {_USER}, '//') ELSE {given} END"
-    path = f"regexp_extract(substring({url}, length({head}) + 1), {_PATH}, 0)"
-    kept = _without_dot_segments(path)
-    clean = f"CASE WHEN {joined} THEN regexp_replace({kept}, {_ABOVE_ROOT}, '/') ELSE {kept} END"
-    rebuilt = f"""concat({scheme}, ':', CASE WHEN {given} = '//' THEN '' ELSE {authority} END,
-        CASE WHEN contains({path}, '/.') THEN {clean} ELSE {path} END,
-        substring({url}, length({head}) + length({path}) + 1))"""
+    rest = f"substring({url}, length({head}) + 1)"
+    rooted = f"CASE WHEN {joined} THEN regexp_replace({rest}, {_ABOVE_ROOT}, '/') ELSE {rest} END"
+    rebuilt = f"""concat({scheme}, ':', CASE WHEN {given} = '//' THEN '' ELSE {authority} END, {rooted})"""
     return f"""CASE WHEN (startswith({url}, 'http://') OR startswith({url}, 'https://'))
              AND NOT rlike({url}, {_UNUSUAL}) THEN {url}
         WHEN rlike({url}, {_HIERARCHICAL}) THEN {rebuilt}
@@ -87,8 +93,9 @@ def _joined(ref: str, base: str) -> str:
     root = f"CASE WHEN {folder} = '' THEN '/' ELSE {folder} END"
     scheme = f"substring_index({origin}, ':', 1)"
     has_scheme = f"rlike({ref}, {_SCHEME})"
-    # "http:x" against an http base is the relative reference "x".
-    same = f"(startswith(lower({ref}), concat({scheme}, ':')) AND NOT rlike({ref}, {_AUTHORITY}))"
+    # "http:x" against an http base with a path is the relative reference "x".
+    same = f"""({folder} <> '' AND startswith(lower({ref}), concat({scheme}, ':'))
+        AND NOT rlike({ref}, {_AUTHORITY}))"""
     bare = f"CASE WHEN {has_scheme} THEN substring({ref}, length({scheme}) + 2) ELSE {ref} END"
     return f"""CASE
         WHEN {fragment} IS NULL THEN CASE WHEN {has_scheme} THEN {ref} ELSE '' END
@@ -98,7 +105,7 @@ def _joined(ref: str, base: str) -> str:
         WHEN {bare} = '' THEN concat({origin}, {folder}, {leaf}, {query}, {fragment})
         WHEN startswith({bare}, '#') THEN concat({origin}, {folder}, {leaf}, {query}, {bare})
         WHEN startswith({bare}, '?') THEN concat({origin}, {root}, {leaf}, {bare})
-        ELSE concat({origin}, {root}, {bare}) END"""
+        ELSE concat({origin}, {_merged(folder, bare)}) END"""
 
 
 def resolve_all(refs: str, base: str) -> str:
