@@ -18,7 +18,7 @@ from linkloom.operators import dedup, ids, links, snapshot
 from linkloom.plans.crawl import crawl, limit_crawl
 from linkloom.plans.stages import Stage, run_stages
 from linkloom.schemas import CATALOG
-from linkloom.scratch import work_dir
+from linkloom.scratch import work_dir, written
 from linkloom.sources import catalog as store
 from linkloom.sources import rawdocs
 from linkloom.streaming.links import stream_links
@@ -158,7 +158,7 @@ def nonempty_pages(spark, sf):
 
 
 def drop_seen(spark, sf):
-    found = _crawlable(spark, sf)
+    found = written(_crawlable(spark, sf), "links")
     seen = found.filter(F.col("src_url").startswith("https")).select("url").distinct()
     return dedup.drop_seen(dedup.dedup_links(found), seen)
 
@@ -171,7 +171,7 @@ def bloom_hosts(spark, sf):
 def bloom_links(spark, sf):
     seq = F.shiftleft("src_id", 32) + F.col("pos")
     found = _page_links(spark, sf).select(seq.alias("seq"), "url")
-    return dedup.bloom_dedup(found, mask=dedup.BIT_MASK)
+    return dedup.bloom_dedup(written(found, "links"), mask=dedup.BIT_MASK)
 
 
 def assign_ids(spark, sf):

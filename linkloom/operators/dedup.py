@@ -68,6 +68,7 @@ def bloom_dedup(
     """``df`` with ``is_duplicate``: all bits of the row were set by rows with smaller ``seq``.
 
     ``seq`` is unique.  A repeated URL is always flagged; a new one may be, by collision.
+    ``df`` is read twice, so hand over a written table rather than a costly plan.
     """
     new = bloom_first(df, url, seq, num_bits, mask).withColumn("_new", F.lit(True))
     return (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.scratch import work_dir
@@ -23,30 +23,28 @@ class Numbered:
 
 def write_in_order(
     df: DataFrame, order_by: list[str | Column], path: str, one_task: bool = False
-) -> None:
-    """Write ``df`` range-partitioned and sorted, with ``_part`` and ``_row`` in the files.
+) -> DataFrame:
+    """Write ``df`` range-partitioned and sorted, with ``_part`` and ``_row``, and read it back.
 
     The pair is stored rather than recomputed: range bounds are sampled anew in every run, so
     only written rows keep their place when an executor is lost.  ``one_task`` is for input that
     is known to be small; it saves the sampling.
     """
     placed = df.coalesce(1) if one_task else df.repartitionByRange(*order_by)
-    (
+    ordered = (
         placed.sortWithinPartitions(*order_by)
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS)))
-        .write.parquet(path)
     )
+    ordered.write.parquet(path)
+    return df.sparkSession.read.schema(ordered.schema).parquet(path)
 
 
-def number_written(
-    spark: SparkSession, path: str, start: int = 0, one_task_rows: int | None = None
-) -> Numbered:
+def number_written(rows: DataFrame, start: int = 0, one_task_rows: int | None = None) -> Numbered:
     """Add ``id`` = ``start`` + 1, + 2, ... to rows of :func:`write_in_order`.
 
     ``one_task_rows`` is the known row count of a ``one_task`` write.
     """
-    rows = spark.read.parquet(path)
     if one_task_rows is not None:
         sizes = [(0, one_task_rows)]
     else:
@@ -61,12 +59,13 @@ def number_written(
 
 def with_ids(rows: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
     """Turn ``_part`` and ``_row`` into ``id``; the broadcast table has one row per partition."""
-    table = rows.sparkSession.createDataFrame(offsets, "_part int, _before long")
-    return (
-        rows.join(F.broadcast(table), "_part")
-        .withColumn("id", F.col("_before") + F.col("_row") + 1)
-        .drop("_part", "_row", "_before")
-    )
+    if len(offsets) == 1:
+        placed = rows.withColumn("_before", F.lit(offsets[0][1]).cast("long"))
+    else:
+        table = rows.sparkSession.createDataFrame(offsets, "_part int, _before long")
+        placed = rows.join(F.broadcast(table), "_part")
+    numbered = placed.withColumn("id", F.col("_before") + F.col("_row") + 1)
+    return numbered.drop("_part", "_row", "_before")
 
 
 def assign_ids(
@@ -78,6 +77,5 @@ def assign_ids(
     in the shared scratch area by default) and the result reads them.
     """
     path = path or work_dir(df.sparkSession, "ids")
-    write_in_order(df, order_by, path)
-    columns = ["id"] + [c for c in df.columns if c != "id"]
-    return number_written(df.sparkSession, path, start).rows.select(*columns)
+    numbered = number_written(write_in_order(df, order_by, path), start)
+    return numbered.rows.select("id", *[c for c in df.columns if c != "id"])

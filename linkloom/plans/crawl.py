@@ -160,8 +160,8 @@ class _Crawl:
         depth = self.depth + 1
         folder = f"{self.path}/levels/depth={depth}"
         small = size is not None and size <= _ONE_TASK
-        write_in_order(rows, ["parent_id", "pos"], folder, one_task=small)
-        numbered = number_written(self.spark, folder, start=sum(self.levels), one_task_rows=size if small else None)
+        placed = write_in_order(rows, ["parent_id", "pos"], folder, one_task=small)
+        numbered = number_written(placed, sum(self.levels), size if small else None)
         self.levels.append(numbered.count)
         self.offsets += [(depth, part, before) for part, before in numbered.offsets]
         self.current = numbered.rows.select("id", "url")

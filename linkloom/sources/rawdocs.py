@@ -301,6 +301,33 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(RawDocs)
 
 
+# ---- order over all files -------------------------------------------------------------------
+
+_UNEVEN = 2
+
+
+def _by_id_ranges(ids: DataFrame, records: DataFrame, partitions: int | None) -> DataFrame:
+    """Range-partition the records by id.
+
+    ``repartitionByRange`` samples its input, which would read, join and encode all HTML twice.
+    Ids come from a counter, so equal ranges are about equally full; a count over the id column
+    alone confirms that, and sampling remains for ids that are not.
+    """
+    spark = records.sparkSession
+    count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ids = ids.select(F.col("id" if "id" in ids.columns else "page_id").cast("long").alias("id"))
+    low, high = ids.agg(F.min("id"), F.max("id")).first()
+    if low is None:
+        return records.coalesce(1)
+    width = -(-(high - low + 1) // count)
+    part = F.expr(f"CAST((id - {low}L) div {width}L AS INT)")
+    sizes = ids.groupBy(part.alias("part")).count()
+    most, total = sizes.agg(F.max("count"), F.sum("count")).first()
+    if most * count > _UNEVEN * max(total, count):
+        return records.repartitionByRange(count, "id")
+    return records.repartitionById(count, part)
+
+
 # ---- public sink and source ----------------------------------------------------------------
 
 
@@ -315,21 +342,21 @@ def write_rawdocs(
     order: str = "global",
     partitions: int | None = None,
     mode: str = "append",
+    ids: DataFrame | None = None,
 ) -> None:
     """Write pages as record files in id order, rolled at ``max_file_size`` bytes.
 
     ``order="global"`` range-partitions by id, so that file numbers follow the ids over all files
     (with ``partitions=1`` exactly as one sequential writer rolls them).  ``order="local"`` sorts
-    inside the present partitions only and saves the shuffle of all HTML.  Files appear under
-    their names when the whole job commits.
+    inside the present partitions only and saves the shuffle of all HTML.  The ranges are taken
+    from ``ids``, a cheap table that holds all ids of ``pages`` (and may hold more), or else from
+    ``pages`` itself.  Files appear under their names when the whole job commits.
     """
     if order not in ("global", "local"):
         raise ValueError(f"unknown order {order!r}")
     records = encode_records(pages, length_mode, on_separator)
     if order == "global":
-        records = (
-            records.repartitionByRange(partitions, "id") if partitions else records.repartitionByRange("id")
-        )
+        records = _by_id_ranges(pages if ids is None else ids, records, partitions)
     register(pages.sparkSession)
     (
         records.sortWithinPartitions("id")

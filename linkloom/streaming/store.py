@@ -96,7 +96,7 @@ def store_stream(
         )
         folder = f"{path}/batch={number}"
         fetched = fetch_snapshot(todo, pages, unique_urls)
-        write_rawdocs(fetched, folder, mode="overwrite", **rawdoc_options)
+        write_rawdocs(fetched, folder, mode="overwrite", ids=todo, **rawdoc_options)
         naming = {k: v for k, v in rawdoc_options.items() if k in ("file_prefix", "file_suffix")}
         written = read_rawdocs(session, folder, **naming).select(
             F.substring("id", 5, 32).cast("long").alias("id"), "html"

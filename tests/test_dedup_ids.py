@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from linkloom.functions.hashing import SEEDS, utf16_units
+from linkloom.functions.hashing import SEEDS, bit_positions
 from linkloom.operators.dedup import (
     BIT_MASK,
     bloom_dedup,
@@ -60,10 +60,10 @@ def test_bloom_default_size_and_errors(spark):
         bloom_dedup(df, num_bits=100)
 
 
-def test_utf16_units(spark):
-    df = spark.createDataFrame([(u,) for u in URLS[-6:]], "u string")
-    for r in df.select("u", utf16_units(F.col("u")).alias("n")).collect():
-        assert r.n == _units(r.u)
+def test_null_urls_have_no_bits(spark):
+    df = spark.createDataFrame([(1, None), (2, "a"), (3, None)], "seq long, url string")
+    positions = df.select("seq", bit_positions(F.col("url"), 255).alias("b")).orderBy("seq").collect()
+    assert [r.b for r in positions] == [None, [97] * len(SEEDS), None]
 
 
 def test_dedup_links_keeps_first(spark):

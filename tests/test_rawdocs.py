@@ -73,6 +73,16 @@ def test_many_tasks(spark, tmp_path):
     assert _read(spark, path) == _read(spark, str(tmp_path / "local")) == [(i, i + 1, "z" * (i + 1)) for i in range(500)]
 
 
+def test_uneven_ids_keep_their_order(spark, tmp_path):
+    path = str(tmp_path / "out")
+    df = spark.range(400).select(F.when(F.col("id") < 399, F.col("id")).otherwise(10**15).alias("id"), F.lit("h").alias("html"))
+    write_rawdocs(df.repartition(5), path, partitions=4)
+    files = _files(path)
+    assert len(files) == 4
+    ids = [int(r.split(b"\x1f")[0][4:]) for f in files for r in f[:-1].split(b"\x1e")[:-1]]
+    assert ids == [*range(399), 10**15]
+
+
 def test_append_overwrite_and_names(spark, tmp_path):
     path = str(tmp_path / "out")
     df = spark.createDataFrame(DOCS, PAGES)
