@@ -26,6 +26,7 @@ from linkloom.scratch import work_dir
 from linkloom.sources.catalog import create_catalog, insert_rows
 
 _MAX_BUCKETS = 100_000
+_PAGES_PER_BUCKET = 5_000
 _ONE_TASK = 50_000  # rows of (url, two numbers) that one task may sort
 _LEVEL = "url string, parent_id long, pos int, _part int, _row long, depth int"
 
@@ -66,6 +67,7 @@ def crawl(
     catalog_root: str | None = None,
     as_of: dt.datetime | Column | None = None,
     path: str | None = None,
+    buckets: int | None = None,
 ) -> CrawlResult:
     """Expand from the seeds until a level brings nothing new.
 
@@ -73,7 +75,8 @@ def crawl(
     ``max_depth``, at ``quantity`` ids, or when ``should_stop()`` is true between levels.
     ``seeds_seen=False`` neither dedups the seeds nor marks them seen.  With ``catalog_root``
     every level is recorded there as a batch.  Everything is written below ``path`` (by default a
-    new folder in the shared scratch area).
+    new folder in the shared scratch area).  ``buckets`` cuts the link and seen tables; by default
+    the shuffle partitions, or fewer where a count of the pages says that they are few.
     """
     if isinstance(seeds, CrawlSpec):
         quantity = seeds.crawl_quantity if quantity is None else quantity
@@ -82,7 +85,8 @@ def crawl(
     database = f"linkloom_{uuid.uuid4().hex[:12]}"
     spark.sql(f"CREATE DATABASE {database} LOCATION '{path}/tables'")
     try:
-        run = _Crawl(spark, path, database, quantity, catalog_root, as_of)
+        buckets = buckets or _buckets_for(spark, pages)
+        run = _Crawl(spark, path, database, buckets, quantity, catalog_root, as_of)
         run.start(seed_frontier(spark, seeds, dedup=seeds_seen, path=f"{path}/seeds"), seeds_seen)
         run.save_outlinks(outlinks(pages, base, unique_urls), unique_urls)
         while not run.done and not should_stop() and (max_depth is None or run.depth < max_depth):
@@ -92,14 +96,18 @@ def crawl(
     return CrawlResult(run.frontier(), run.levels)
 
 
+def _buckets_for(spark: SparkSession, pages: DataFrame) -> int:
+    most = min(int(spark.conf.get("spark.sql.shuffle.partitions")), _MAX_BUCKETS)
+    return max(1, min(most, -(-pages.count() // _PAGES_PER_BUCKET)))
+
+
 class _Crawl:
     """State of one crawl: paths and one number per written partition, no rows."""
 
-    def __init__(self, spark, path, database, quantity, catalog_root, as_of):
-        self.spark, self.path, self.quantity = spark, path, quantity
+    def __init__(self, spark, path, database, buckets, quantity, catalog_root, as_of):
+        self.spark, self.path, self.buckets, self.quantity = spark, path, buckets, quantity
         self.links_table, self.seen_table = f"{database}.outlinks", f"{database}.seen"
         self.catalog_root, self.as_of = catalog_root, as_of
-        self.buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), _MAX_BUCKETS)
         self.levels: list[int] = []
         self.offsets: list[tuple[int, int, int]] = []
         self.current: DataFrame | None = None

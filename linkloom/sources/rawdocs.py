@@ -303,7 +303,8 @@ def register(spark: SparkSession) -> None:
 
 # ---- order over all files -------------------------------------------------------------------
 
-_UNEVEN = 2
+_UNEVEN = 2  # times the mean
+_ROWS_PER_TASK = 1000
 
 
 def _by_id_ranges(ids: DataFrame, records: DataFrame, partitions: int | None) -> DataFrame:
@@ -314,16 +315,16 @@ def _by_id_ranges(ids: DataFrame, records: DataFrame, partitions: int | None) ->
     alone confirms that, and sampling remains for ids that are not.
     """
     spark = records.sparkSession
-    count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = ids.select(F.col("id" if "id" in ids.columns else "page_id").cast("long").alias("id"))
-    low, high = ids.agg(F.min("id"), F.max("id")).first()
+    low, high, total = ids.agg(F.min("id"), F.max("id"), F.count("id")).first()
     if low is None:
         return records.coalesce(1)
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    count = partitions or max(1, min(most, total // _ROWS_PER_TASK))
     width = -(-(high - low + 1) // count)
     part = F.expr(f"CAST((id - {low}L) div {width}L AS INT)")
-    sizes = ids.groupBy(part.alias("part")).count()
-    most, total = sizes.agg(F.max("count"), F.sum("count")).first()
-    if most * count > _UNEVEN * max(total, count):
+    fullest = ids.groupBy(part.alias("part")).count().agg(F.max("count")).first()[0]
+    if fullest * count > _UNEVEN * max(total, count):
         return records.repartitionByRange(count, "id")
     return records.repartitionById(count, part)
 

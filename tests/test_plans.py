@@ -112,7 +112,7 @@ def test_crawl_level_does_not_move_the_link_and_seen_tables(big, pages, monkeypa
 
     monkeypatch.setattr(plan._Crawl, "_append", spy)
     url = pages.first().url
-    plan.crawl(big, [url], pages, base="page", max_depth=1)
+    plan.crawl(big, [url], pages, base="page", max_depth=1, buckets=4)
     (level,) = seen
     assert level.count("Bucketed: true") == 2
     # The frontier by URL, and the found links by URL; neither bucketed table.
