@@ -404,7 +404,9 @@ doc AS (
   FROM pages
 ), page_patch AS (
   SELECT page_id AS id, url,
-         trim(regexp_replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&amp;', '&'), '[ \\t\\n\\f\\r]+', ' ', 'g')) AS title,
+         trim(regexp_replace(regexp_replace(
+           replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'),
+           '&amp;?', '&', 'g'), '[ \\t\\n\\f\\r]+', ' ', 'g')) AS title,
          CAST(octet_length(encode(html)) AS INTEGER) AS content_length
   FROM pages WHERE html <> ''
 ), patched AS (
