@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import functools
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-@functools.cache
+@lru_cache
 def _local_root() -> str:
     return tempfile.mkdtemp(prefix="linkloom-")
 
