@@ -24,6 +24,15 @@ from linkloom.sources import rawdocs
 from linkloom.streaming.links import stream_links
 from linkloom.streaming.store import record_stream, store_stream
 
+# The operators for training text are an optional subpackage; only its absence is excused.
+try:
+    import corpus_pipeline
+    from linkloom.llm import contract as llm
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "linkloom.llm"):
+        raise
+    corpus_pipeline = llm = None
+
 _CREATED = dt.datetime(2024, 1, 1)
 _STORED = dt.datetime(2024, 1, 2)
 _UNKNOWN = 1_000_000_000
@@ -374,6 +383,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named["stream_links"] = stream_links_query
     named["record_stream"] = record_stream_query
     named["store_stream"] = store_stream_query
+    if llm:
+        named |= llm.queries()
+        named["pipeline"] = corpus_pipeline.run
     return named
 
 
@@ -469,7 +481,10 @@ SELECT id, CAST(octet_length(record) AS INTEGER) AS bytes, md5(record) AS record
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for each query."""
     secure = "starts_with(url, 'https')"
-    return {
+    optional = llm.oracle_sql() if llm else {}
+    if corpus_pipeline and corpus_pipeline.ORACLE_SQL:
+        optional["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return optional | {
         "link_counts": f"WITH {_LINKS} SELECT url, count(DISTINCT src_id) AS pages FROM found GROUP BY url",
         "links_page": f"WITH {_LINKS} SELECT * FROM all_links",
         "links_strict": r"""
