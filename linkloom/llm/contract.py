@@ -5,14 +5,45 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from linkloom.llm import lines, simhash
+from linkloom.llm import lines, mixing, packing, quality, simhash
+
+#: Shares and epochs of ``op1_mixing``.
+_SHARE, _EPOCHS, _SEED = (9, 10), 3, 42
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+def training_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of ``labels`` from which models may learn."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    return labels.filter(~_held_out())
+
+
+def _held_out():
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(4)) == 2
+
+
+def op1_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    """Nine tenths of the tokens of ``documents``, shared by domain, language and source."""
+    docs = _documents(spark, sf)
+    return mixing.mix(docs, mixing.document_levels(), mixing.DOCUMENT_WEIGHTS, _SHARE, _EPOCHS, _SEED)
+
+
+def op2_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _documents(spark, sf)
+    scored = quality.score(docs, quality.fit(docs, training_labels(spark, sf)))
+    return scored.withColumn("held_out", _held_out())
+
+
+def op3_packing(spark: SparkSession, sf: str) -> DataFrame:
+    """Copies of a text, by hash of the whole of it, are one duplicate cluster."""
+    return packing.pack(_documents(spark, sf), F.xxhash64("text"))
+
+
 def op4_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf))
 
@@ -23,9 +54,66 @@ def op8_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_simhash, op8_line_dedup)}
+    named = (op1_mixing, op2_quality, op3_packing, op4_simhash, op8_line_dedup)
+    return {f.__name__: f for f in named}
+
+
+def _weight_sql(level: str) -> str:
+    own = mixing.DOCUMENT_WEIGHTS[level].items()
+    return f"CASE {level} " + " ".join(f"WHEN '{name}' THEN {weight}" for name, weight in own) + " ELSE 1 END"
+
+
+def _mixing_sql() -> str:
+    levels = ["domain", "lang", "source"]
+    steps = [f"""
+docs AS (
+  SELECT doc_id, CASE WHEN source IN ('src0', 'src1', 'src2', 'src3', 'src4') THEN 'web'
+                      WHEN starts_with(source, 'src1') THEN 'books' ELSE 'reference' END AS domain,
+         lang, source, coalesce((octet_length(encode(text)) + 3) // 4, 0)::BIGINT AS tokens FROM documents
+), stock AS (
+  SELECT domain, lang, source, sum(tokens)::HUGEINT AS tokens FROM docs GROUP BY ALL
+), given0 AS (
+  SELECT least(sum(tokens) * {_EPOCHS}, sum(tokens) * {_SHARE[0]} // {_SHARE[1]}) AS given FROM stock
+)"""]
+    for depth, level in enumerate(levels, 1):
+        path, parent = ", ".join(levels[:depth]), levels[: depth - 1]
+        join = " AND ".join(f"c.{p} IS NOT DISTINCT FROM g.{p}" for p in parent) or "true"
+        family = "PARTITION BY " + ", ".join([*parent, "1"])
+        steps.append(f"""
+kids{depth} AS (
+  SELECT c.*, g.given FROM (
+    SELECT {path}, sum(tokens) * {_EPOCHS} AS can, ({_weight_sql(level)})::HUGEINT AS weight FROM stock GROUP BY {path}
+  ) c JOIN given{depth - 1} g ON {join}
+), part{depth} AS (
+  SELECT *, given - coalesce(sum(can) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+         sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS sharers
+  FROM kids{depth} WINDOW o AS ({family} ORDER BY can::DOUBLE / weight::DOUBLE, {path})
+), unit{depth} AS (
+  SELECT *, can * sharers <= rest * weight AS short,
+         max(CASE WHEN can * sharers > rest * weight THEN {{'s': sharers, 'r': rest}} END) OVER ({family}) AS unit
+  FROM part{depth}
+), given{depth} AS (
+  SELECT {path}, CASE WHEN short THEN can ELSE unit.r * weight // unit.s END AS given FROM unit{depth}
+)""")
+    return "WITH " + ",".join(steps) + f"""
+, leaf AS (
+  SELECT s.domain, s.lang, s.source, CASE WHEN tokens > 0 THEN given // tokens ELSE 0 END AS epochs,
+         given - CASE WHEN tokens > 0 THEN given // tokens ELSE 0 END * tokens AS last_budget
+  FROM stock s JOIN given3 g ON s.domain IS NOT DISTINCT FROM g.domain AND s.lang IS NOT DISTINCT FROM g.lang
+       AND s.source IS NOT DISTINCT FROM g.source
+), placed AS (
+  SELECT d.*, l.epochs, l.last_budget,
+         md5('{_SEED}:' || l.epochs || ':' || coalesce(d.doc_id::VARCHAR, 'null')) AS place
+  FROM docs d JOIN leaf l ON d.domain IS NOT DISTINCT FROM l.domain AND d.lang IS NOT DISTINCT FROM l.lang
+       AND d.source IS NOT DISTINCT FROM l.source
+), summed AS (
+  SELECT *, coalesce(sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY place, tokens
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM placed
+)
+SELECT doc_id, domain, lang, source, tokens, epochs::BIGINT AS whole_epochs,
+       greatest(0, least(tokens, last_budget - before))::BIGINT AS last_tokens FROM summed"""
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL where SQL can express the query; brute-force tests hold the others."""
-    return {}
+    return {"op1_mixing": _mixing_sql()}

@@ -149,4 +149,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     groups = near_duplicates(docs)
     others = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti")
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
