@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import lines, mixing, packing, quality, simhash
+from linkloom.llm import covertree, lines, mixing, packing, quality, simhash, topk
 
 #: Shares and epochs of ``op1_mixing``.
 _SHARE, _EPOCHS, _SEED = (9, 10), 3, 42
@@ -53,8 +53,16 @@ def op8_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return lines.repeated_lines(_documents(spark, sf)).drop("text_key")
 
 
+def op9_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return topk.best_matches(spark.read.parquet(f"{sf}/embeddings.parquet"), "vec_id % 50 = 0", k=5)
+
+
+def op10_cover_tree(spark: SparkSession, sf: str) -> DataFrame:
+    return covertree.near_vectors(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_mixing, op2_quality, op3_packing, op4_simhash, op8_line_dedup)
+    named = (op1_mixing, op2_quality, op3_packing, op4_simhash, op8_line_dedup, op9_topk, op10_cover_tree)
     return {f.__name__: f for f in named}
 
 
@@ -114,6 +122,40 @@ SELECT doc_id, domain, lang, source, tokens, epochs::BIGINT AS whole_epochs,
        greatest(0, least(tokens, last_budget - before))::BIGINT AS last_tokens FROM summed"""
 
 
+_USABLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+_TOPK = f"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND {_USABLE}
+), scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.x, v.x)::BIGINT AS score
+  FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, row_number() OVER o::INTEGER AS rank, vec_id, score FROM scored
+WINDOW o AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER o <= 5"""
+
+_COSINE = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {_USABLE} AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.93
+), reached AS (
+  SELECT vec_id, vec_id AS other FROM embeddings
+  UNION
+  SELECT r.vec_id, l.b FROM reached r JOIN link l ON r.other = l.a
+), component AS (
+  SELECT vec_id, min(other) AS component_id FROM reached GROUP BY vec_id
+), counted AS (
+  SELECT a AS vec_id, count(*) AS n FROM link GROUP BY a
+)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM component LEFT JOIN counted USING (vec_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL where SQL can express the query; brute-force tests hold the others."""
-    return {"op1_mixing": _mixing_sql()}
+    return {"op1_mixing": _mixing_sql(), "op9_topk": _TOPK, "op10_cover_tree": _COSINE}
