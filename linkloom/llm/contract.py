@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import covertree, lines, mixing, packing, quality, simhash, topk
+from linkloom.llm import covertree, lines, mixing, packing, quality, secrets, simhash, topk
 
 #: Shares and epochs of ``op1_mixing``.
 _SHARE, _EPOCHS, _SEED = (9, 10), 3, 42
@@ -48,6 +48,10 @@ def op4_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf))
 
 
+def op5_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.find_secrets(_documents(spark, sf))
+
+
 def op8_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Lines that repeat an earlier one, by place."""
     return lines.repeated_lines(_documents(spark, sf)).drop("text_key")
@@ -62,7 +66,7 @@ def op10_cover_tree(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_mixing, op2_quality, op3_packing, op4_simhash, op8_line_dedup, op9_topk, op10_cover_tree)
+    named = (op1_mixing, op2_quality, op3_packing, op4_simhash, op5_secrets, op8_line_dedup, op9_topk, op10_cover_tree)
     return {f.__name__: f for f in named}
 
 
