@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import covertree, lines, mixing, packing, quality, secrets, simhash, topk, toxicity
+from linkloom.llm import covertree, lines, mixing, packing, quality, repeats, secrets, simhash, topk, toxicity
 
 #: Shares and epochs of ``op1_mixing``.
 _SHARE, _EPOCHS, _SEED = (9, 10), 3, 42
@@ -60,6 +60,10 @@ def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, training_labels(spark, sf), categories))
 
 
+def op7_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    return repeats.remove_repeats(_documents(spark, sf))
+
+
 def op8_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Lines that repeat an earlier one, by place."""
     return lines.repeated_lines(_documents(spark, sf)).drop("text_key")
@@ -74,7 +78,10 @@ def op10_cover_tree(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_mixing, op2_quality, op3_packing, op4_simhash, op5_secrets, op6_toxicity, op8_line_dedup, op9_topk, op10_cover_tree)
+    named = (
+        op1_mixing, op2_quality, op3_packing, op4_simhash, op5_secrets, op6_toxicity, op7_repeats, op8_line_dedup,
+        op9_topk, op10_cover_tree,
+    )
     return {f.__name__: f for f in named}
 
 

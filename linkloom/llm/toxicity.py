@@ -20,6 +20,8 @@ SAMPLE_TEXTS = 4000
 FEATURE_BITS = 20
 USED_FEATURES = 4096
 FOLDS = 3
+#: Descent of one model.
+STEPS, RIDGE = 300, 0.01
 THRESHOLD = 0.5
 _BASE = 0xD6E8FEB86659FD93
 #: Bytes of the beginnings of words that are features beside the words.
@@ -83,9 +85,9 @@ def _train(row: np.ndarray, at: np.ndarray, earlier: np.ndarray, y: np.ndarray,
         return w
     square = np.full(len(w), 1e-8)
     w[-1] = np.log(y.mean() / (1 - y.mean()))
-    for _ in range(150):
+    for _ in range(STEPS):
         error = _sigmoid(_margin(row, at, earlier, w, used)) - y
-        gradient = np.concatenate((np.bincount(at, error[row], minlength=used), error @ earlier, [error.sum()])) + 0.2 * w
+        gradient = np.concatenate((np.bincount(at, error[row], minlength=used), error @ earlier, [error.sum()])) + RIDGE * w
         square += gradient**2
         w -= 0.3 * gradient / np.sqrt(square)
     return w
