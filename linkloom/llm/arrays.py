@@ -22,6 +22,22 @@ def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+
+
+def word_ranges(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the runs between ASCII blanks in ``data``, which ends of rows cut too."""
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    blank = _BLANK[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[bounds] = True
+    starts = np.flatnonzero(~blank & (edge[:-1] | np.concatenate(([True], blank[:-1]))))
+    stops = np.flatnonzero(~blank & (edge[1:] | np.concatenate((blank[1:], [True])))) + 1
+    return starts, stops
+
+
 def small_pieces(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
     """``batch`` cut by rows so that each piece has about ``CHUNK_BYTES`` of text.
 
@@ -78,11 +94,23 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """``base`` to the powers below ``n``, in 64 bits."""
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
+class Powers:
+    """Powers of a number and of its inverse in 64 bits, kept as far as they were needed."""
+
+    def __init__(self, base: int):
+        self.bases = base, pow(base, -1, 1 << 64)
+        self.held = (np.ones(0, np.uint64),) * 2
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.held[0]) < n:
+            self.held = tuple(self._powers(b, n) for b in self.bases)
+        return self.held[0][:n], self.held[1][:n]
+
+    @staticmethod
+    def _powers(base: int, n: int) -> np.ndarray:
+        out = np.full(n, base, np.uint64)
+        out[:1] = 1
+        return np.cumprod(out, dtype=np.uint64)
 
 
 def running(values: np.ndarray) -> np.ndarray:

@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.arrays import flat_bytes, mixed, powers, running, small_pieces
+from linkloom.llm.arrays import Powers, flat_bytes, mixed, running, small_pieces, word_ranges
 from linkloom.scratch import written
 
 WORDS = 5
@@ -24,8 +26,6 @@ TASK_TOKENS = 1 << 20
 BLOCK_LINES = 1 << 14
 
 _BASE = 0x9E3779B97F4A7C15
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 11, 12, 13, 32]] = True
 
 
 class _Lines:
@@ -35,17 +35,12 @@ class _Lines:
     the other with ``bounds`` between them.
     """
 
-    def __init__(self, texts: pa.Array, width: int, rarity: np.ndarray | None):
+    def __init__(self, texts: pa.Array, width: int, powers: Powers, rank: np.ndarray | None = None):
         data, bounds = flat_bytes(texts)
         n = len(data)
-        is_break = data == 10
-        blank = _BLANK[data] | is_break
-        edge = np.zeros(n + 1, bool)
-        edge[bounds[:-1]] = True
-        starts = np.flatnonzero(~blank & (edge[:-1] | np.concatenate(([True], blank[:-1])))) if n else np.zeros(0, np.int64)
-        stops = np.flatnonzero(~blank & (edge[1:] | np.concatenate((blank[1:], [True])))) + 1 if n else np.zeros(0, np.int64)
+        starts, stops = word_ranges(data, bounds)
         # A line ends at each break and at each end of a text.
-        breaks = np.flatnonzero(is_break)
+        breaks = np.flatnonzero(data == 10)
         doc_of_break = np.searchsorted(bounds, breaks, side="right") - 1
         per_doc = np.bincount(doc_of_break, minlength=len(texts)) + 1
         self.doc = np.repeat(np.arange(len(texts)), per_doc)
@@ -54,22 +49,35 @@ class _Lines:
         # A word's line: breaks and ends of texts before it.
         line = np.searchsorted(breaks, starts) + np.searchsorted(bounds[1:], starts, side="right")
         # Word hashes: polynomials over the bytes, shifted down to the word's first place.
-        sums = running((data.astype(np.uint64) + np.uint64(1)) * powers(_BASE, n))
-        down = powers(pow(_BASE, -1, 1 << 64), n)
+        up, down = powers.upto(n)
+        sums = running((data.astype(np.uint64) + np.uint64(1)) * up)
         word = mixed((sums[stops] - sums[starts]) * down[starts])
         token, token_line = self._shingles(word, line, width)
-        if rarity is None:
+        if rank is None:
             self.tokens = token
             return
-        # As sets: by line, then by count, then by value; repeats go.
-        cell = rarity[token >> np.uint64(64 - RARITY_BITS)]
-        order = np.lexsort((token, cell, token_line))
+        # As sets: by line, then by rarity, then by value; repeats go.
+        order = self._order(token, token_line, rank)
         token, token_line = token[order], token_line[order]
         keep = np.ones(len(token), bool)
         keep[1:] = (token[1:] != token[:-1]) | (token_line[1:] != token_line[:-1])
         self.tokens, token_line = token[keep], token_line[keep]
         self.bounds = np.searchsorted(token_line, np.arange(len(self.doc) + 1))
 
+    @staticmethod
+    def _order(token: np.ndarray, line: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """By line, rank of the token's cell, token: in one sort where a 64-bit key tells all apart."""
+        cell = rank[token >> np.uint64(64 - RARITY_BITS)]
+        rest = 64 - 20 - RARITY_BITS
+        if not len(line) or line[-1] < 1 << 20:
+            low = token & np.uint64((1 << rest) - 1)
+            key = line.astype(np.uint64) << np.uint64(44) | cell << np.uint64(rest) | low
+            order = np.argsort(key)
+            key, sorted_token = key[order], token[order]
+            if not ((key[1:] == key[:-1]) & (sorted_token[1:] != sorted_token[:-1])).any():
+                return order
+        return np.lexsort((token & np.uint64((1 << 63) - 1), token & np.uint64((1 << rest) - 1), cell, line))
+
     @staticmethod
     def _shingles(word: np.ndarray, line: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of ``width`` following words of a line."""
@@ -99,9 +107,10 @@ def _rarity_cells(docs: DataFrame, width: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << RARITY_BITS, np.int64)
+        powers = Powers(_BASE)
         for batch in batches:
             for piece in small_pieces(batch, "text"):
-                tokens = _Lines(piece.column(0), width, None).tokens
+                tokens = _Lines(piece.column(0), width, powers).tokens
                 counts += np.bincount((tokens >> np.uint64(64 - RARITY_BITS)).astype(np.int64), minlength=len(counts))
         cells = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts[cells])], ["cell", "n"])
@@ -113,18 +122,28 @@ def _rarity_cells(docs: DataFrame, width: int) -> np.ndarray:
     return cells
 
 
-_POSTING = np.dtype([("token", "<u8"), ("set", "<i8"), ("size", "<i4"), ("place", "<i4")])
+def _ranks(rarity: np.ndarray) -> np.ndarray:
+    """Cells in the order of their counts."""
+    rank = np.empty(len(rarity), np.uint64)
+    rank[np.argsort(rarity, kind="stable")] = np.arange(len(rarity), dtype=np.uint64)
+    return rank
+
+
+#: What a packed row holds of each posting: columns one after the other.
+_POSTING = {"token": "<u8", "set": "<i8", "size": "<i4", "place": "<i4", "meet": "<i8"}
 
 
 def _postings(rarity: np.ndarray, width: int, tasks: int):
     """A packed row for each task and batch: the prefix tokens of the distinct sets of the batch."""
     top, low = SIMILAR
+    rank = _ranks(rarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers(_BASE)
         for batch in batches:
-            made, seen = [], np.zeros(0, np.int64)
+            made, seen = {name: [] for name in _POSTING}, np.zeros(0, np.int64)
             for piece in small_pieces(batch, "text"):
-                lines = _Lines(piece.column(0), width, rarity)
+                lines = _Lines(piece.column(0), width, powers, rank)
                 size = np.diff(lines.bounds)
                 sets, place = np.unique(lines.set_hashes(), return_index=True)
                 fresh = (size[place] > 0) & ~np.isin(sets, seen)
@@ -135,82 +154,108 @@ def _postings(rarity: np.ndarray, width: int, tasks: int):
                 prefix = size + (size * top) // -low + 1
                 row = np.repeat(np.arange(len(size)), prefix)
                 at = np.arange(len(row)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
-                out = np.empty(len(row), _POSTING)
-                out["token"] = lines.tokens[lines.bounds[place][row] + at]
-                out["set"], out["size"], out["place"] = sets[row], size[row], at
-                made.append(out)
-            out = np.concatenate(made) if made else np.empty(0, _POSTING)
+                for name, values in (
+                    ("token", lines.tokens[lines.bounds[place][row] + at]), ("set", sets[row]),
+                    ("size", size[row]), ("place", at),
+                ):
+                    made[name].append(values.astype(_POSTING[name]))
+            if not made["token"]:
+                continue
+            out = {name: np.concatenate(parts) for name, parts in made.items() if parts}
             # Tokens that may be frequent are cut into blocks, which meet pair by pair.
-            blocks = -(rarity[out["token"] >> np.uint64(64 - RARITY_BITS)] // -(BLOCK_LINES << 6)).astype(np.int64)
-            own = mixed(out["set"].view(np.uint64)) % np.maximum(blocks, 1).astype(np.uint64)
-            other = np.arange(int(blocks.sum())) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-            out, own = np.repeat(out, blocks), np.repeat(own.astype(np.int64), blocks)
-            meet = np.minimum(own, other) * 1_000_003 + np.maximum(own, other)
-            task = (mixed(out["token"] + mixed(meet.view(np.uint64))) % np.uint64(tasks)).astype(np.int64)
+            count = rarity[out["token"] >> np.uint64(64 - RARITY_BITS)]
+            blocks = np.maximum(1, -(count // -(BLOCK_LINES << 6))).astype(np.int64)
+            own = (mixed(out["set"].view(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
+            if blocks.max(initial=1) > 1:
+                other = np.arange(int(blocks.sum())) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                out, own = {name: np.repeat(v, blocks) for name, v in out.items()}, np.repeat(own, blocks)
+            else:
+                other = own
+            out["meet"] = np.minimum(own, other) * 1_000_003 + np.maximum(own, other)
+            spread = out["token"] + mixed(out["meet"].view(np.uint64))
+            task = (mixed(spread) % np.uint64(tasks)).astype(np.int32)
             order = np.argsort(task, kind="stable")
-            out, meet, task = out[order], meet[order], task[order]
-            ends = np.searchsorted(task, np.arange(tasks + 1))
+            out = {name: v[order] for name, v in out.items()}
+            ends = np.searchsorted(task[order], np.arange(tasks + 1))
             filled = np.flatnonzero(np.diff(ends))
+            packed = [b"".join(out[n][ends[t] : ends[t + 1]].tobytes() for n in _POSTING) for t in filled]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(filled.astype(np.int32)),
-                    pa.array([out[ends[t] : ends[t + 1]].tobytes() for t in filled], pa.binary()),
-                    pa.array([meet[ends[t] : ends[t + 1]].tobytes() for t in filled], pa.binary()),
-                ],
-                ["task", "postings", "meet"],
+                [pa.array(filled.astype(np.int32)), pa.array(packed, pa.binary())], ["task", "postings"]
             )
 
     return run
 
 
+def _unpacked(packed: bytes) -> dict[str, np.ndarray]:
+    n = len(packed) // sum(np.dtype(t).itemsize for t in _POSTING.values())
+    out, at = {}, 0
+    for name, kind in _POSTING.items():
+        out[name] = np.frombuffer(packed, kind, n, at)
+        at += n * np.dtype(kind).itemsize
+    return out
+
+
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of sets that share a prefix token and pass the length and positional filters."""
-    by_task: dict[int, tuple[list, list]] = {}
+    """Sets that share a prefix token with others and pass the length and positional filters.
+
+    A row for each token and set, not for each pair: which of a group are compared comes later.
+    """
+    by_task: dict[int, list] = {}
     for batch in batches:
-        for task, postings, meet in zip(*(c.to_pylist() for c in batch.columns)):
-            held = by_task.setdefault(task, ([], []))
-            held[0].append(np.frombuffer(postings, _POSTING))
-            held[1].append(np.frombuffer(meet, np.int64))
+        for task, postings in zip(*(c.to_pylist() for c in batch.columns)):
+            by_task.setdefault(task, []).append(postings)
     for task in list(by_task):
-        parts, meets = by_task.pop(task)
-        rows, meet = np.concatenate(parts), np.concatenate(meets)
-        order = np.lexsort((rows["set"], rows["size"], meet, rows["token"]))
-        rows, meet = rows[order], meet[order]
-        group = np.ones(len(rows), bool)
+        parts = [_unpacked(p) for p in by_task.pop(task)]
+        rows = {name: np.concatenate([p[name] for p in parts]) for name in _POSTING}
+        # Most tokens stand in one set alone; these go before the rest is put in order.
+        _, inverse, count = np.unique(rows["token"], return_inverse=True, return_counts=True)
+        several = count[inverse] > 1
+        rows = {name: v[several] for name, v in rows.items()}
+        order = np.lexsort((rows["set"], rows["size"], rows["meet"], rows["token"]))
+        rows = {name: v[order] for name, v in rows.items()}
+        meet = rows["meet"]
+        group = np.ones(len(meet), bool)
         group[1:] = (rows["token"][1:] != rows["token"][:-1]) | (meet[1:] != meet[:-1])
         keep = group.copy()
         keep[1:] |= rows["set"][1:] != rows["set"][:-1]  # a set that several batches held
         group = np.cumsum(group)
-        rows, meet, group = rows[keep], meet[keep], group[keep]
-        _, count = np.unique(group, return_counts=True)
-        several = np.repeat(count > 1, count)
-        rows, meet, group = rows[several], meet[several], group[several]
+        rows, group = {name: v[keep] for name, v in rows.items()}, group[keep]
         size, place, sets = rows["size"].astype(np.int64), rows["place"].astype(np.int64), rows["set"]
-        low, high = np.divmod(meet, 1_000_003)
-        at, step = np.arange(len(rows)), 1
+        partner = np.zeros(len(sets), bool)
+        at, step = np.arange(len(sets)), 1
         while len(at):
-            at = at[at + step < len(rows)]
+            at = at[at + step < len(sets)]
             to = at + step
             # Sorted by size: once a set is too long for a shorter one, so are all later ones.
-            near = (group[at] == group[to]) & (size[to] * SIMILAR[0] <= size[at] * SIMILAR[1])
+            near = (group[at] == group[to]) & _similar_sizes(size[at], size[to])
             at, to = at[near], to[near]
-            rest = 1 + np.minimum(size[at] - place[at] - 1, size[to] - place[to] - 1)
-            good = rest >= _needed(size[at], size[to])
-            a, b = at[good], to[good]
-            if len(a):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.minimum(sets[a], sets[b])), pa.array(np.maximum(sets[a], sets[b]))], ["a", "b"]
-                )
+            good = _reachable(size[at], place[at], size[to], place[to])
+            partner[at[good]] = partner[to[good]] = True
             step += 1
+        named = mixed(rows["token"] + mixed(rows["meet"].view(np.uint64))).view(np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(named[partner]), pa.array(sets[partner]), pa.array(rows["size"][partner]), pa.array(rows["place"][partner])],
+            ["group", "line_set", "size", "at"],
+        )
+
+
+def _similar_sizes(shorter: np.ndarray, longer: np.ndarray) -> np.ndarray:
+    return longer * SIMILAR[0] <= shorter * SIMILAR[1]
+
 
+def _reachable(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether sets of ``x`` and ``y`` tokens that share places ``i`` and ``j`` can be similar."""
+    return 1 + np.minimum(x - i - 1, y - j - 1) >= _needed(x, y)
 
-def _line_sets(rarity: np.ndarray, width: int):
-    """A row for each distinct set of a batch: where it is first, and how often."""
+
+def _line_sets(rank: np.ndarray, width: int):
+    """A row for each line that holds tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers(_BASE)
         for batch in batches:
             for piece in small_pieces(batch, "text"):
-                lines = _Lines(piece.column(2), width, rarity)
+                lines = _Lines(piece.column(2), width, powers, rank)
                 sets = lines.set_hashes()
                 used = np.flatnonzero(np.diff(lines.bounds) > 0)
                 doc = pa.array(lines.doc[used])
@@ -227,19 +272,34 @@ def _line_sets(rarity: np.ndarray, width: int):
     return run
 
 
-def _tokens_of(rarity: np.ndarray, width: int):
+def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The third column, texts, in compressed form: they are moved but once."""
+    press = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        packed = [press((t or "").encode()) for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["doc_id", "text_key", "packed"]
+        )
+
+
+def _tokens_of(rank: np.ndarray, width: int):
     """The tokens of chosen lines, packed; the second column has the lines' numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, plain = Powers(_BASE), zstandard.ZstdDecompressor().decompress
         for batch in batches:
+            texts = pa.array([plain(t).decode() for t in batch.column(0).to_pylist()], pa.string())
+            batch = pa.RecordBatch.from_arrays([texts, batch.column(1)], ["text", "wanted"])
             for piece in small_pieces(batch, "text"):
-                lines = _Lines(piece.column(0), width, rarity)
+                lines = _Lines(piece.column(0), width, powers, rank)
                 first = np.searchsorted(lines.doc, np.arange(piece.num_rows))
-                numbers = piece.column(1).to_pylist()
-                at = np.array([first[d] + n for d, own in enumerate(numbers) for n in own], np.int64)
-                sets = lines.set_hashes()[at]
+                numbers = piece.column(1)
+                text = np.repeat(np.arange(piece.num_rows), pc.list_value_length(numbers).to_numpy())
+                at = first[text] + numbers.flatten().to_numpy()
                 packed = [lines.tokens[lines.bounds[i] : lines.bounds[i + 1]].tobytes() for i in at]
-                yield pa.RecordBatch.from_arrays([pa.array(sets), pa.array(packed, pa.binary())], ["line_set", "tokens"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(lines.set_hashes()[at]), pa.array(packed, pa.binary())], ["line_set", "tokens"]
+                )
 
     return run
 
@@ -256,62 +316,86 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(2).take(keep), batch.column(3).take(keep)], ["a", "b"])
 
 
+def _may_match(x: str, y: str) -> str:
+    """SQL: the length and positional filters on the members ``x`` and ``y`` of a group."""
+    top, low = SIMILAR
+    return (
+        f"{x}.size * {top} <= {y}.size * {low} and {y}.size * {top} <= {x}.size * {low} and "
+        f"least({x}.size - {x}.at, {y}.size - {y}.at) * {top + low} >= ({x}.size + {y}.size) * {top}"
+    )
+
+
 def repeated_lines(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """Lines that repeat an earlier one: ``doc_id, text_key, line_no, first_doc_id, first_line_no``.
+    """Lines that repeat an earlier one: ``doc_id, text_key, line_no, match_doc_id, match_line_no``.
 
     A line is what stands between line breaks; its tokens are the distinct sequences of ``words``
     following words (cut at ASCII blanks, case kept).  Lines of fewer words hold no token and are
     never copies.  A line goes if an earlier line, by (``doc_id``, text, line number), has the same
     tokens or a Jaccard similarity of 0.8 or more to it, whether or not that line stays.  The
-    result names the earliest such line.
+    match is one such line, the first with the same tokens unless only others are similar.
 
     Lines with equal token sets are one node.  Nodes meet at the rarest tokens of their sets
-    (prefix filter), pass the length and positional filters, and are verified on whole sets.
+    (prefix filter) and pass the length and positional filters.  Each member of a group is first
+    verified on whole sets against two of it, the earliest and the most frequent; only those that
+    match neither are compared with all earlier members, so that copies make no pairs.
     ``text_key`` is the hash of the text: rows that agree in id and text are one document, and
     what is said of it holds for each.  Null ids come before others; null texts have no lines.
     """
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("string"))
     rarity = _rarity_cells(texts, words)
+    rank = _ranks(rarity)
     tasks = max(1, int(rarity.sum()) // 4 // TASK_TOKENS + 1)
-    lines = texts.mapInArrow(
-        _line_sets(rarity, words), "doc_id long, text_key long, line_no int, line_set long"
-    )
+    lines = texts.mapInArrow(_line_sets(rank, words), "doc_id long, text_key long, line_no int, line_set long")
     lines = written(lines, "lines")
     place = F.struct("doc_id", "text_key", "line_no")
-    firsts = written(lines.groupBy("line_set").agg(F.min(place).alias("place")), "line-sets")
+    firsts = lines.groupBy("line_set").agg(F.min(place).alias("place"), F.count("*").alias("n"))
+    firsts = written(firsts, "line-sets")
 
-    packed = texts.select("text").mapInArrow(
-        _postings(rarity, words, tasks), "task int, postings binary, meet binary"
-    )
-    pairs = packed.repartition(tasks, "task").mapInArrow(_candidates, "a long, b long").distinct()
-    pairs = written(pairs, "line-pairs")
+    packed = texts.select("text").mapInArrow(_postings(rarity, words, tasks), "task int, postings binary")
+    members = packed.repartition(tasks, "task").mapInArrow(_candidates, "group long, line_set long, size int, at int")
+    members = written(members.join(firsts, "line_set"), "line-groups")
 
     # Whole sets of the candidates, from the documents that hold them first.
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("line_set")).distinct()
-    wanted = firsts.join(ends, "line_set").groupBy("place.doc_id", "place.text_key")
+    wanted = members.select("line_set", "place").distinct().groupBy("place.doc_id", "place.text_key")
     wanted = wanted.agg(F.collect_list("place.line_no").alias("wanted"))  # lines of one text
-    holders = texts.distinct().alias("t").join(
+    packed = texts.mapInArrow(_compressed, "doc_id long, text_key long, packed binary")
+    holders = packed.alias("t").join(
         wanted.alias("w"),
         F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.text_key") == F.col("w.text_key")),
     )
-    tokens = holders.select("t.text", "wanted").mapInArrow(
-        _tokens_of(rarity, words), "line_set long, tokens binary"
+    tokens = holders.select("packed", "wanted").mapInArrow(_tokens_of(rank, words), "line_set long, tokens binary")
+    # Rows that agree in id and text hold the same.
+    tokens = written(tokens.groupBy("line_set").agg(F.first("tokens").alias("tokens")), "line-tokens")
+
+    def matches(pairs: DataFrame) -> DataFrame:
+        """Of pairs of a set and an earlier one: sets with the place of the first similar one."""
+        sets_a = tokens.select(F.col("line_set").alias("a"), F.col("tokens").alias("x"))
+        sets_b = tokens.select(F.col("line_set").alias("b"), F.col("tokens").alias("y"))
+        whole = pairs.select("a", "b").distinct().join(sets_a, "a").join(sets_b, "b").select("x", "y", "a", "b")
+        other = firsts.select(F.col("line_set").alias("b"), F.col("place").alias("other"))
+        similar = whole.mapInArrow(_verified, "a long, b long").join(other, "b")
+        return similar.groupBy(F.col("a").alias("line_set")).agg(F.min("other").alias("other"))
+
+    member = F.struct("line_set", "size", "at", "place")
+    hubs = members.groupBy("group").agg(
+        F.min_by(member, "place").alias("first"), F.max_by(member, F.struct("n", "line_set")).alias("frequent")
     )
-    tokens = written(tokens, "line-tokens")
-    sets_a = tokens.select(F.col("line_set").alias("a"), F.col("tokens").alias("x"))
-    sets_b = tokens.select(F.col("line_set").alias("b"), F.col("tokens").alias("y"))
-    similar = pairs.join(sets_a, "a").join(sets_b, "b").select("x", "y", "a", "b").mapInArrow(_verified, "a long, b long")
-    both = similar.select("a", "b").union(similar.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    other = firsts.select(F.col("line_set").alias("b"), F.col("place").alias("other"))
-    earlier = both.join(other, "b").groupBy(F.col("a").alias("line_set")).agg(F.min("other").alias("other"))
-    first = firsts.join(earlier, "line_set", "left").select(
-        "line_set", F.least("place", F.coalesce("other", "place")).alias("first")
+    hubs = hubs.select("group", F.explode(F.array("first", "frequent")).alias("y"))
+    sides = [F.col("x.line_set").alias("a"), F.col("y.line_set").alias("b")]
+    tried = members.alias("x").join(hubs, "group").filter("y.place < x.place and " + _may_match("x", "y")).select(*sides)
+    found = written(matches(tried), "line-matches")
+
+    rest = members.join(found, "line_set", "left_anti")
+    others = rest.alias("x").join(members.alias("y"), "group")
+    others = others.filter("y.place < x.place and " + _may_match("x", "y")).select(*sides)
+    found = found.union(matches(others))
+
+    first = firsts.join(found, "line_set", "left").select("line_set", "place", F.coalesce("other", "place").alias("match"))
+    same = F.col("place") < place
+    match = F.when(same, F.col("place")).otherwise(F.col("match"))
+    return lines.join(first, "line_set").filter(same | (F.col("match") < place)).select(
+        "doc_id", "text_key", "line_no", match["doc_id"].alias("match_doc_id"), match["line_no"].alias("match_line_no")
     )
-    found = lines.join(first, "line_set")
-    return found.filter(F.col("first") < place).select(
-        "doc_id", "text_key", "line_no",
-        F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"),
-    )
 
 
 def drop_repeated_lines(docs: DataFrame, words: int = WORDS) -> DataFrame:
