@@ -124,7 +124,7 @@ def is_crawlable(url: Column) -> Column:
 
 
 def host_of(url: Column) -> Column:
-    """Host of a URL, null when it has none."""
+    """Host of a URL, null when it has none; IPv6 addresses keep their brackets."""
     return F.nullif(
-        F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9.+-]*+://(?:[^/?#@]*+@)?([^/?#:@]*+)", 1), F.lit("")
+        F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9.+-]*+://(?:[^/?#@]*+@)?(\[[^\]/?#]*+\]|[^/?#:@]*+)", 1), F.lit("")
     )

@@ -13,7 +13,6 @@ from linkloom.schemas import CATALOG
 
 _FIELDS = [f.name for f in CATALOG if f.name != "id"]
 _BLOCKS = 4096
-_SHALLOW = 100_000
 
 
 def _moment(as_of: dt.datetime | Column | None) -> Column:
@@ -103,19 +102,30 @@ def _id_at_rank(catalog: DataFrame, rank: int, low: int, high: int) -> int | Non
         low, high = low + block * width, min(high, low + (block + 1) * width - 1)
 
 
+def _page_numbers(page: int, size: int) -> int:
+    if page < 1 or size < 0:
+        raise ValueError("page counts from 1 and size must not be negative")
+    return (page - 1) * size
+
+
 def catalog_page(catalog: DataFrame, page: int, size: int) -> DataFrame:
-    """Page ``page`` (from 1) of ``size`` rows by id.
+    """Page ``page`` (from 1) of ``size`` rows by id: a top-k over the rows up to its end.
 
-    Early pages are a top-k.  The bounds of deep or very large ones are found by counting, and
-    only rows between them are read and sorted.
+    For pages deep in a large catalogue :func:`deep_page` sorts the page alone.
     """
-    if page < 1 or size < 0:
-        raise ValueError("page counts from 1 and size must not be negative")
-    skip = (page - 1) * size
-    if skip + size <= _SHALLOW or size == 0:
-        return catalog.orderBy("id").offset(skip if size else 0).limit(size)
+    skip = _page_numbers(page, size)
+    return catalog.orderBy("id").offset(skip if size else 0).limit(size)
+
+
+def deep_page(catalog: DataFrame, page: int, size: int) -> DataFrame:
+    """The same page, wherever it lies: its id bounds are found by counting id ranges, now.
+
+    Only the rows between the bounds are sorted when the result is read; ids must be unique and
+    the catalogue must not change in between.
+    """
+    skip = _page_numbers(page, size)
     low, high = catalog.agg(F.min("id"), F.max("id")).first()
-    first = None if low is None else _id_at_rank(catalog, skip + 1, low, high)
+    first = None if low is None or not size else _id_at_rank(catalog, skip + 1, low, high)
     if first is None:
         return catalog.limit(0)
     last = _id_at_rank(catalog, skip + size, low, high)

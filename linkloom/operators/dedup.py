@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from linkloom.functions.hashing import BIT_MAP_SIZE, bit_positions
 
 
 _POSITIONS = 1 << 31
+#: What a bit map is made for unless told otherwise.
+EXPECTED_URLS, FALSE_POSITIVES = 100_000_000, 0.01
 
 
 def dedup_links(links: DataFrame) -> DataFrame:
@@ -45,32 +49,62 @@ def power_of_two_mask(num_bits: int) -> int:
     return num_bits - 1
 
 
+def bloom_bits(expected: int, fpp: float) -> int:
+    """Places of a bit map, a power of two, for ``expected`` URLs at ``fpp`` false positives."""
+    least = -expected * math.log(fpp) / math.log(2) ** 2
+    return 1 << max(0, math.ceil(math.log2(max(1.0, least))))
+
+
+def _mask(num_bits: int | None, mask: int | None, expected: int, fpp: float) -> int:
+    return power_of_two_mask(num_bits or bloom_bits(expected, fpp)) if mask is None else mask
+
+
 def bloom_first(
-    df: DataFrame, url: str, seq: str, num_bits: int = 1 << 27, mask: int | None = None
-) -> DataFrame:
+    df: DataFrame, url: str, seq: str, num_bits: int | None = None, mask: int | None = None,
+    expected: int = EXPECTED_URLS, fpp: float = FALSE_POSITIVES,
+) -> DataFrame:
     """``seq`` of the rows that a set-then-test bit map, filled in ``seq`` order, finds new.
 
     A row is new exactly if it is the first to set at least one of its bits, so the answer is
     the distinct ``min(seq)`` per bit: no row is ever grouped with the others of its bit.
-    Map-side aggregation leaves at most one row per bit and task to shuffle.
-    ``mask=BIT_MASK`` gives the fixed bit-map of 100,000,000 places.
+    Map-side aggregation leaves at most one row per bit and task to shuffle.  The map has
+    ``num_bits`` places, or as many as ``expected`` URLs need for ``fpp`` false positives; it is
+    never held in memory.  ``mask=BIT_MASK`` gives the fixed bit map of 100,000,000 places.
     """
-    mask = power_of_two_mask(num_bits) if mask is None else mask
+    mask = _mask(num_bits, mask, expected, fpp)
     bits = df.select(
         F.col(seq), F.explode(bit_positions(F.col(url), mask)).alias("_bit")
     )
     return bits.groupBy("_bit").agg(F.min(seq).alias(seq)).select(seq).distinct()
 
 
+def bloom_fill(
+    df: DataFrame, url: str = "url", num_bits: int | None = None, mask: int | None = None,
+    expected: int = EXPECTED_URLS, fpp: float = FALSE_POSITIVES,
+) -> DataFrame:
+    """``bits_set`` and ``fill``, the share of the map's places, once all of ``df`` is in it.
+
+    At a fill of a half about one new URL in a hundred is taken for a known one; beyond that the
+    map is too small.
+    """
+    mask = _mask(num_bits, mask, expected, fpp)
+    bits = df.select(F.explode(bit_positions(F.col(url), mask)).alias("_bit")).distinct()
+    places = 1 << bin(mask).count("1")  # a mask with gaps reaches fewer
+    count = bits.agg(F.count(F.lit(1)).alias("bits_set"))
+    return count.withColumn("fill", F.col("bits_set") / places)
+
+
 def bloom_dedup(
-    df: DataFrame, url: str = "url", seq: str = "seq", num_bits: int = 1 << 27, mask: int | None = None
-) -> DataFrame:
+    df: DataFrame, url: str = "url", seq: str = "seq", num_bits: int | None = None, mask: int | None = None,
+    expected: int = EXPECTED_URLS, fpp: float = FALSE_POSITIVES,
+) -> DataFrame:
     """``df`` with ``is_duplicate``: all bits of the row were set by rows with smaller ``seq``.
 
-    ``seq`` is unique.  A repeated URL is always flagged; a new one may be, by collision.
+    ``seq`` is unique.  A repeated URL is always flagged; a new one may be, by collision: see
+    :func:`bloom_first` for the size of the map and :func:`bloom_fill` for how full it gets.
     ``df`` is read twice, so hand over a written table rather than a costly plan.
     """
-    new = bloom_first(df, url, seq, num_bits, mask).withColumn("_new", F.lit(True))
+    new = bloom_first(df, url, seq, num_bits, mask, expected, fpp).withColumn("_new", F.lit(True))
     return (
         df.join(new, seq, "left")
         .withColumn("is_duplicate", F.col("_new").isNull())

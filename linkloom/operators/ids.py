@@ -21,18 +21,15 @@ class Numbered:
     count: int
 
 
-def write_in_order(
-    df: DataFrame, order_by: list[str | Column], path: str, one_task: bool = False
-) -> DataFrame:
+def write_in_order(df: DataFrame, order_by: list[str | Column], path: str) -> DataFrame:
     """Write ``df`` range-partitioned and sorted, with ``_part`` and ``_row``, and read it back.
 
     The pair is stored rather than recomputed: range bounds are sampled anew in every run, so
-    only written rows keep their place when an executor is lost.  ``one_task`` is for input that
-    is known to be small; it saves the sampling.
+    only written rows keep their place when an executor is lost.
     """
-    placed = df.coalesce(1) if one_task else df.repartitionByRange(*order_by)
     ordered = (
-        placed.sortWithinPartitions(*order_by)
+        df.repartitionByRange(*order_by)
+        .sortWithinPartitions(*order_by)
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS)))
     )
@@ -40,16 +37,10 @@ def write_in_order(
     return df.sparkSession.read.schema(ordered.schema).parquet(path)
 
 
-def number_written(rows: DataFrame, start: int = 0, one_task_rows: int | None = None) -> Numbered:
-    """Add ``id`` = ``start`` + 1, + 2, ... to rows of :func:`write_in_order`.
-
-    ``one_task_rows`` is the known row count of a ``one_task`` write.
-    """
-    if one_task_rows is not None:
-        sizes = [(0, one_task_rows)]
-    else:
-        # One row per partition of the write, never per data row.
-        sizes = sorted((r["_part"], r["count"]) for r in rows.groupBy("_part").count().collect())
+def number_written(rows: DataFrame, start: int = 0) -> Numbered:
+    """Add ``id`` = ``start`` + 1, + 2, ... to rows of :func:`write_in_order`."""
+    # One row per partition of the write, never per data row.
+    sizes = sorted((r["_part"], r["count"]) for r in rows.groupBy("_part").count().collect())
     offsets, last = [], start
     for part, size in sizes:
         offsets.append((part, last))

@@ -34,18 +34,18 @@ def seed_frontier(
 
 
 def answered(pages: DataFrame) -> DataFrame:
-    """Pages that count as fetched: a 2xx status where the table has ``status_code``."""
+    """Pages that count as fetched: with a body, and a 2xx status where there is ``status_code``."""
     if "status_code" in pages.columns:
-        return pages.filter(F.col("status_code").between(200, 299))
-    return pages
+        pages = pages.filter(F.col("status_code").between(200, 299))
+    return pages.filter(F.col("html").isNotNull() & (F.col("html") != ""))
 
 
 def fetch_snapshot(frontier: DataFrame, pages: DataFrame, unique_urls: bool = False) -> DataFrame:
-    """Frontier rows with the ``html`` of their page; URLs without a page give no row.
+    """Frontier rows with the ``html`` of their page; URLs without an answered page give no row.
 
-    Of several copies of a URL the answer is the one with the smallest ``page_id``; a narrow
-    aggregation finds it, so the copies' HTML never meets in one task.  ``unique_urls=True``
-    says there are no copies and saves that step.
+    Of several copies of a URL the answer is the one with a body and the smallest ``page_id``; a
+    narrow aggregation finds it, so the copies' HTML never meets in one task.
+    ``unique_urls=True`` says there are no copies and saves that step.
     """
     pages = answered(pages)
     if unique_urls:
@@ -54,9 +54,9 @@ def fetch_snapshot(frontier: DataFrame, pages: DataFrame, unique_urls: bool = Fa
         chosen = pages.groupBy("url").agg(F.min("page_id").alias("page_id"))
         hits = frontier.join(chosen, "url")
         found = hits.join(pages.select("page_id", "html"), "page_id").drop("page_id")
-    return found.filter(F.col("html").isNotNull()).select(*frontier.columns, "html")
+    return found.select(*frontier.columns, "html")
 
 
 def fetch_misses(frontier: DataFrame, pages: DataFrame) -> DataFrame:
-    """Frontier rows whose URL has no page."""
+    """Frontier rows that :func:`fetch_snapshot` has no page for."""
     return frontier.join(answered(pages).select("url"), "url", "left_anti")

@@ -3,7 +3,7 @@
 The HTML is read once: every page is reduced to its distinct crawlable links, written bucketed
 by URL.  Each level then joins the small frontier to that table without moving it, keeps the
 first occurrence of each URL, and drops the seen ones by an anti-join against a table with the
-same buckets.  All levels are written, so lineage stays short and a lost executor costs one stage.
+same buckets; neither is sorted.  All levels are written, so lineage stays short and a lost executor costs one stage.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions.urls import is_crawlable
@@ -23,12 +23,11 @@ from linkloom.operators.links import nonempty_pages, with_link_array
 from linkloom.operators.snapshot import answered, seed_frontier
 from linkloom.schemas import CrawlSpec
 from linkloom.scratch import work_dir
-from linkloom.sources.catalog import create_catalog, insert_rows
+from linkloom.sources.catalog import catalog_rows, create_catalog, insert_rows
 
 _MAX_BUCKETS = 100_000
-_PAGES_PER_BUCKET = 5_000
-_ONE_TASK = 50_000  # rows of (url, two numbers) that one task may sort
-_LEVEL = "url string, parent_id long, pos int, _part int, _row long, depth int"
+_PAGES_PER_BUCKET = 5_000  # whose links are about ten megabytes
+_LEVEL = "url string, parent_id long, pos long, _part int, _row long, depth int"
 
 
 @dataclass
@@ -40,13 +39,20 @@ class CrawlResult:
 
 
 def outlinks(pages: DataFrame, base: str = "strict", unique_urls: bool = False) -> DataFrame:
-    """One row per URL: ``url, links`` with its distinct crawlable links in page order."""
+    """One row per URL: ``url, links`` with its distinct crawlable links in page order.
+
+    Of several copies of a URL the one with the smallest ``page_id`` counts, as in
+    ``fetch_snapshot``; it is found on two narrow columns, so no link array is sorted.
+    """
     pages = nonempty_pages(answered(pages).select("page_id", "url", "html"))
     kept = F.array_distinct(F.filter("links", is_crawlable))
     linked = with_link_array(pages, base).select("page_id", "url", kept.alias("links"))
     if unique_urls:
         return linked.select("url", "links")
-    return linked.groupBy("url").agg(F.min_by("links", "page_id").alias("links"))
+    chosen = pages.groupBy("url").agg(F.min("page_id").alias("_first"))
+    # "<=" is "=" here, but leaves the join, and so the rows' places, to the URL alone.
+    found = linked.join(chosen.hint("shuffle_hash"), "url").filter("page_id <= _first")
+    return found.select("url", "links")
 
 
 def limit_crawl(frontier: DataFrame, quantity: int) -> DataFrame:
@@ -68,16 +74,25 @@ def crawl(
     as_of: dt.datetime | Column | None = None,
     path: str | None = None,
     buckets: int | None = None,
+    start: int = 0,
+    seen: DataFrame | None = None,
 ) -> CrawlResult:
     """Expand from the seeds until a level brings nothing new.
 
     Ids follow ``(depth, parent_id, pos)``, the order of one FIFO worker.  The loop also ends at
     ``max_depth``, at ``quantity`` ids, or when ``should_stop()`` is true between levels.
     ``seeds_seen=False`` neither dedups the seeds nor marks them seen.  With ``catalog_root``
-    every level is recorded there as a batch.  Everything is written below ``path`` (by default a
-    new folder in the shared scratch area).  ``buckets`` cuts the link and seen tables; by default
-    the shuffle partitions, or fewer where a count of the pages says that they are few.
+    every level is recorded there as a batch of this crawl's run; ids that it would give but that
+    are there already are an error before anything is written.  To go on in a catalogue, hand over
+    its last id as ``start`` and what an earlier crawl has seen (``url``) as ``seen``: neither is
+    given out again.  Everything is written below ``path`` (by default a new folder in the shared
+    scratch area).  ``buckets`` cuts the link and seen tables, by default as the pages are many.
     """
+    if catalog_root is not None:
+        create_catalog(spark, catalog_root)
+        last = catalog_rows(spark, catalog_root).agg(F.max("id")).first()[0]
+        if last is not None and last > start:
+            raise ValueError(f"the catalogue holds ids up to {last}, already present; start after them")
     if isinstance(seeds, CrawlSpec):
         quantity = seeds.crawl_quantity if quantity is None else quantity
         seeds = seeds.links
@@ -85,9 +100,9 @@ def crawl(
     database = f"linkloom_{uuid.uuid4().hex[:12]}"
     spark.sql(f"CREATE DATABASE {database} LOCATION '{path}/tables'")
     try:
-        buckets = buckets or _buckets_for(spark, pages)
-        run = _Crawl(spark, path, database, buckets, quantity, catalog_root, as_of)
-        run.start(seed_frontier(spark, seeds, dedup=seeds_seen, path=f"{path}/seeds"), seeds_seen)
+        buckets = buckets or _buckets_for(pages)
+        run = _Crawl(spark, path, database, buckets, quantity, catalog_root, as_of, start)
+        run.start(seed_frontier(spark, seeds, dedup=seeds_seen, path=f"{path}/seeds"), seeds_seen, seen)
         run.save_outlinks(outlinks(pages, base, unique_urls), unique_urls)
         while not run.done and not should_stop() and (max_depth is None or run.depth < max_depth):
             run.next_level()
@@ -96,18 +111,19 @@ def crawl(
     return CrawlResult(run.frontier(), run.levels)
 
 
-def _buckets_for(spark: SparkSession, pages: DataFrame) -> int:
-    most = min(int(spark.conf.get("spark.sql.shuffle.partitions")), _MAX_BUCKETS)
-    return max(1, min(most, -(-pages.count() // _PAGES_PER_BUCKET)))
+def _buckets_for(pages: DataFrame) -> int:
+    return max(1, min(_MAX_BUCKETS, -(-pages.count() // _PAGES_PER_BUCKET)))
 
 
 class _Crawl:
     """State of one crawl: paths and one number per written partition, no rows."""
 
-    def __init__(self, spark, path, database, buckets, quantity, catalog_root, as_of):
+    def __init__(self, spark, path, database, buckets, quantity, catalog_root, as_of, start):
         self.spark, self.path, self.buckets, self.quantity = spark, path, buckets, quantity
         self.links_table, self.seen_table = f"{database}.outlinks", f"{database}.seen"
         self.catalog_root, self.as_of = catalog_root, as_of
+        self.before, self.run = start, uuid.uuid4().hex[:12]
+        self.last = None if quantity is None else start + quantity
         self.levels: list[int] = []
         self.offsets: list[tuple[int, int, int]] = []
         self.current: DataFrame | None = None
@@ -122,16 +138,19 @@ class _Crawl:
         return full or self.levels[-1] == 0
 
     def _append(self, df: DataFrame, table: str, *partition: str) -> None:
-        writer = df.write.mode("append").bucketBy(self.buckets, "url").sortBy("url")
+        writer = df.write.mode("append").bucketBy(self.buckets, "url")
         (writer.partitionBy(*partition) if partition else writer).saveAsTable(table)
 
-    def start(self, seeds: DataFrame, seen: bool) -> None:
+    def start(self, seeds: DataFrame, keep: bool, seen: DataFrame | None) -> None:
         none = F.lit(None)
-        level = seeds.select(
-            "url", none.cast("long").alias("parent_id"), (F.col("id") - 1).cast("int").alias("pos")
-        )
+        level = seeds.select("url", none.cast("long").alias("parent_id"), (F.col("id") - 1).alias("pos"))
+        if seen is not None:
+            known = seen.select("url").distinct()
+            level = level.join(known, "url", "left_anti")
+            earlier = known.select("url", none.cast("long").alias("parent_id"), none.cast("long").alias("pos"))
+            self._append(earlier.withColumn("depth", F.lit(-1)), self.seen_table, "depth")
         self._append(
-            level.filter(F.lit(seen)).withColumn("depth", F.lit(0)), self.seen_table, "depth"
+            level.filter(F.lit(keep)).withColumn("depth", F.lit(0)), self.seen_table, "depth"
         )
         self._add_level(level)
 
@@ -140,46 +159,51 @@ class _Crawl:
         placed = links.repartition(self.buckets, "url") if unique_urls else links
         self._append(placed, self.links_table)
 
-    def next_level(self) -> None:
+    def _found(self) -> DataFrame:
+        """First occurrence of each URL that the current level links.
+
+        The hash table is built on the frontier; the links stream by in their buckets, unsorted.
+        """
         links = self.spark.table(self.links_table)
-        found = self.current.join(links, "url").select(
+        found = links.join(self.current.hint("shuffle_hash"), "url").select(
             F.col("id").alias("parent_id"), F.posexplode_outer("links").alias("pos", "url")
         )
         # A page's links are distinct, so no parent ties with itself for a URL.
-        first = (
+        return (
             found.filter(F.col("url").isNotNull())
             .groupBy("url")
-            .agg(F.min("parent_id").alias("parent_id"), F.min_by("pos", "parent_id").alias("pos"))
+            .agg(F.min("parent_id").alias("parent_id"), F.min_by("pos", "parent_id").cast("long").alias("pos"))
         )
-        seen = self.spark.table(self.seen_table)
-        depth = self.depth + 1
-        fresh = first.join(seen.select("url"), "url", "left_anti")
-        size = Observation()
-        counted = fresh.withColumn("depth", F.lit(depth)).observe(size, F.count(F.lit(1)).alias("n"))
-        self._append(counted, self.seen_table, "depth")
-        if size.get["n"] == 0:
-            self.levels.append(0)
-            return
-        level = self.spark.table(self.seen_table).filter(F.col("depth") == depth)
-        self._add_level(level.select("url", "parent_id", "pos"), size.get["n"])
 
-    def _add_level(self, rows: DataFrame, size: int | None = None) -> None:
-        """Number and write a level; ``size`` is its row count where that is known."""
+    def next_level(self) -> None:
         depth = self.depth + 1
-        folder = f"{self.path}/levels/depth={depth}"
-        small = size is not None and size <= _ONE_TASK
-        placed = write_in_order(rows, ["parent_id", "pos"], folder, one_task=small)
-        numbered = number_written(placed, sum(self.levels), size if small else None)
-        self.levels.append(numbered.count)
+        # Used twice below; written, so that the links are read once.
+        path = f"{self.path}/found/depth={depth}"
+        found = self._found()
+        found.write.parquet(path)
+        first = self.spark.read.schema(found.schema).parquet(path)
+        seen = self.spark.table(self.seen_table).select("url")
+        known = seen.join(first.select("url").hint("shuffle_hash"), "url", "left_semi")
+        fresh = first.join(known.hint("shuffle_hash"), "url", "left_anti")
+        self._append(fresh.withColumn("depth", F.lit(depth)), self.seen_table, "depth")
+        level = self.spark.table(self.seen_table).filter(F.col("depth") == depth)
+        self._add_level(level.select("url", "parent_id", "pos"))
+
+    def _add_level(self, rows: DataFrame) -> None:
+        """Number and write a level; its size is counted in what was written."""
+        depth, given = self.depth + 1, sum(self.levels)
+        placed = write_in_order(rows, ["parent_id", "pos"], f"{self.path}/levels/depth={depth}")
+        numbered = number_written(placed, self.before + given)
+        size = numbered.count if self.quantity is None else min(numbered.count, self.quantity - given)
+        self.levels.append(size)
         self.offsets += [(depth, part, before) for part, before in numbered.offsets]
-        self.current = numbered.rows.select("id", "url")
-        if self.quantity is not None:
-            self.current = limit_crawl(self.current, self.quantity)
-        if self.catalog_root is not None:
-            create_catalog(self.spark, self.catalog_root)
-            insert_rows(
-                self.spark, self.catalog_root, link_rows(self.current, self.as_of), depth, "crawl"
-            )
+        self.current = self._limited(numbered.rows.select("id", "url"))
+        if self.catalog_root is not None and size:
+            rows = link_rows(self.current, self.as_of)
+            insert_rows(self.spark, self.catalog_root, rows, depth, self.run)
+
+    def _limited(self, rows: DataFrame) -> DataFrame:
+        return rows if self.last is None else limit_crawl(rows, self.last)
 
     def frontier(self) -> DataFrame:
         table = self.spark.createDataFrame(self.offsets, "depth int, _part int, _before long")
@@ -188,4 +212,4 @@ class _Crawl:
         numbered = rows.join(F.broadcast(table), ["depth", "_part"]).select(
             (F.col("_before") + F.col("_row") + 1).alias("id"), "url", "depth", "parent_id", "pos"
         )
-        return numbered if self.quantity is None else limit_crawl(numbered, self.quantity)
+        return self._limited(numbered)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from linkloom.plans.crawl import CrawlResult, crawl
 from linkloom.schemas import CrawlSpec
-from linkloom.streaming.store import store_stream
+from linkloom.streaming.store import drain, store_stream
 
 
 def run_job(
@@ -25,8 +25,10 @@ def run_job(
 ) -> CrawlResult:
     """Crawl as ``spec`` says, into ``save_directory``: ``catalog`` and ``raw`` below it.
 
-    To store while the crawl still runs, start :func:`store_stream` on the catalogue yourself with
-    a ``processingTime`` trigger; here it drains the catalogue once the crawl has ended.
+    ``should_stop`` is asked between levels, and then between the micro-batches of storing, of
+    which each takes one level; what was stored stays.  To store while the crawl still runs, start
+    :func:`store_stream` on the catalogue yourself with a ``processingTime`` trigger; here it
+    drains the catalogue once the crawl has ended.
     """
     if not spec.save_directory:
         raise ValueError("the job has no save_directory")
@@ -36,10 +38,11 @@ def run_job(
         catalog_root=catalog_root, as_of=as_of,
     )
     if not should_stop():
-        store_stream(
+        drain(store_stream(
             spark, catalog_root, pages, f"{spec.save_directory}/raw",
             checkpoint=f"{spec.save_directory}/checkpoint", as_of=as_of, unique_urls=unique_urls,
             max_file_size=spec.max_file_size, file_prefix=spec.file_prefix,
-            file_suffix=spec.file_suffix, **rawdoc_options,
-        ).awaitTermination()
+            file_suffix=spec.file_suffix, should_stop=should_stop,
+            **({"max_files_per_trigger": 1} | rawdoc_options),
+        ))
     return result

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from functools import lru_cache
@@ -11,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 @lru_cache
 def _local_root() -> str:
-    return tempfile.mkdtemp(prefix="linkloom-")
+    root = tempfile.mkdtemp(prefix="linkloom-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)  # a local session's work ends with it
+    return root
 
 
 def work_dir(spark: SparkSession, purpose: str) -> str:

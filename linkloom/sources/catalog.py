@@ -1,93 +1,151 @@
-"""The catalogue on Parquet: inserted rows and patches in folders per writer and batch.
+"""The catalogue on Parquet: rows, patches and deletions, one folder for each write.
 
-Layout below the root: ``rows/writer=<name>/batch=<n>/`` and ``patches/writer=<name>/batch=<n>/``.
-A batch is written once under its writer and number, so writing it again after a failure replaces
-it.  Reading applies the patches; :func:`compact_catalog` writes the result as a new catalogue
-when they have grown.
+Layout below the root: ``rows``, ``patches`` and ``deletes``, each with folders
+``write=<version>-<run>-<batch>``.  The version counts all writes of the catalogue, so that later
+ones win whoever made them.  Run and batch name a write: the same pair written again, as after a
+failure, replaces it under its old version; any other write is checked against all rows there
+are.  :func:`compact_catalog` writes what readers see as a new catalogue.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from linkloom.files import folder_names
 from linkloom.operators.catalog import catalog_patch, catalog_view, check_insert
 from linkloom.schemas import CATALOG, PATCH
 
-_PLACE = [T.StructField("writer", T.StringType()), T.StructField("batch", T.LongType())]
+_DELETE = T.StructType([T.StructField("id", T.LongType())])
+_PARTS = {"rows": CATALOG, "patches": PATCH, "deletes": _DELETE}
+_WRITE = T.StructField("write", T.StringType())
 
 
 def stored_schema(schema: T.StructType) -> T.StructType:
-    """Schema of the files with the folder columns ``writer`` and ``batch``."""
-    return T.StructType([*schema.fields, *_PLACE])
+    """Schema of the files with the folder column ``write``."""
+    return T.StructType([*schema.fields, _WRITE])
 
 
 def create_catalog(spark: SparkSession, root: str) -> None:
     """Create an empty catalogue; an existing one is left alone."""
-    for part, schema in (("rows", CATALOG), ("patches", PATCH)):
+    for part, schema in _PARTS.items():
         empty = spark.createDataFrame([], schema)
-        empty.write.mode("ignore").parquet(f"{root}/{part}/writer=create/batch=0")
+        empty.write.mode("ignore").parquet(f"{root}/{part}/{_folder(0, 'create', 0)}")
+
+
+def _folder(version: int, run: str, batch: int) -> str:
+    return f"write={version:012d}-{run}-{batch}"
+
+
+def _writes(spark: SparkSession, root: str, part: str) -> dict[tuple[str, int], int]:
+    """Versions of the writes of a part by run and batch, from the names of the folders."""
+    named = [n.removeprefix("write=").split("-") for n in folder_names(spark, f"{root}/{part}") if n.startswith("write=")]
+    return {(run, int(batch)): int(version) for version, run, batch in named}
+
+
+def _write(df: DataFrame, root: str, part: str, run: str | None, batch: int) -> int:
+    """Write one batch, again under its old version if it was there, and count its rows."""
+    spark = df.sparkSession
+    known = {p: _writes(spark, root, p) for p in _PARTS}
+    run = run or uuid.uuid4().hex[:12]
+    last = max((v for writes in known.values() for v in writes.values()), default=0)
+    version = known[part].get((run, batch), last + 1)
+    path = f"{root}/{part}/{_folder(version, run, batch)}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path).count()
+
+
+def _version() -> F.Column:
+    return F.substring("write", 1, 12).cast("long")
+
+
+def _part(spark: SparkSession, root: str, part: str) -> DataFrame:
+    """Rows of a part that no later deletion names, with ``version`` and ``write``."""
+    df = spark.read.schema(stored_schema(_PARTS[part])).parquet(f"{root}/{part}").withColumn("version", _version())
+    if part == "deletes" or len(_writes(spark, root, "deletes")) < 2:  # the empty one alone
+        return df
+    gone = _part(spark, root, "deletes").groupBy("id").agg(F.max("version").alias("_gone"))
+    kept = df.join(gone, "id", "left").filter(F.col("_gone").isNull() | (F.col("version") > F.col("_gone")))
+    return kept.select(df.columns)
 
 
 def catalog_rows(spark: SparkSession, root: str) -> DataFrame:
-    """Inserted rows without patches, with their ``writer`` and ``batch``."""
-    return spark.read.schema(stored_schema(CATALOG)).parquet(f"{root}/rows")
+    """Inserted rows without patches, with their ``version`` and ``write``."""
+    return _part(spark, root, "rows")
 
 
 def catalog_patches(spark: SparkSession, root: str) -> DataFrame:
-    """Patch rows with their ``writer`` and ``batch``."""
-    return spark.read.schema(stored_schema(PATCH)).parquet(f"{root}/patches")
+    """Patch rows with their ``version`` and ``write``."""
+    return _part(spark, root, "patches")
 
 
 def read_catalog(spark: SparkSession, root: str, ordered: bool = False) -> DataFrame:
     """All rows with their patches applied, as the reader sees them."""
-    rows = catalog_rows(spark, root).drop("writer", "batch")
-    # Patches of a later batch win; inside a batch their own seq decides.
-    order = F.struct("batch", "writer", F.coalesce("seq", F.lit(0).cast("long"))).alias("seq")
+    rows = catalog_rows(spark, root).drop("version", "write")
+    # Patches of a later write win; inside a write their own seq decides.
+    order = F.struct("version", "write", F.coalesce("seq", F.lit(0).cast("long"))).alias("seq")
     fields = [f.name for f in PATCH if f.name not in ("seq", "id")]
     patches = catalog_patches(spark, root).select(order, "id", *fields)
     view = catalog_view(catalog_patch(rows, patches))
     return view.orderBy("id") if ordered else view
 
 
-def _other_batches(df: DataFrame, writer: str, batch: int) -> DataFrame:
-    return df.filter((F.col("writer") != writer) | (F.col("batch") != batch))
-
-
-def _replace(df: DataFrame, root: str, part: str, writer: str, batch: int) -> None:
-    df.write.mode("overwrite").parquet(f"{root}/{part}/writer={writer}/batch={batch}")
+def _others(df: DataFrame, run: str | None, batch: int) -> DataFrame:
+    return df if run is None else df.filter(~F.col("write").endswith(f"-{run}-{batch}"))
 
 
 def insert_rows(
-    spark: SparkSession, root: str, rows: DataFrame, batch: int, writer: str = "insert"
-) -> None:
-    """Insert catalogue rows as one batch: all of them, or none and an error.
+    spark: SparkSession, root: str, rows: DataFrame, batch: int = 0, run: str | None = None
+) -> int:
+    """Insert catalogue rows as one batch, all of them or none and an error; how many there were.
 
-    The probe reads only the id column of the other batches, so a repeated call for the same
-    batch replaces it.
+    A repeated call for the same ``run`` and ``batch`` replaces the rows; without a ``run`` every
+    call is a write of its own.  The probe reads the id column of the others, and of it only
+    what lies between the smallest and the largest new id, which file statistics find.
     """
-    check_insert(_other_batches(catalog_rows(spark, root), writer, batch), rows)
-    _replace(rows.select([f.name for f in CATALOG]), root, "rows", writer, batch)
+    low, high = rows.agg(F.min("id"), F.max("id")).first()
+    present = _others(catalog_rows(spark, root), run, batch)
+    if low is not None:
+        present = present.filter(F.col("id").between(low, high))
+    check_insert(present, rows)
+    return _write(rows.select([f.name for f in CATALOG]), root, "rows", run, batch)
 
 
-def insert_patches(root: str, patches: DataFrame, batch: int, writer: str = "patch") -> None:
-    """Add patch rows as one batch."""
+def insert_patches(root: str, patches: DataFrame, batch: int = 0, run: str | None = None) -> int:
+    """Add patch rows as one batch; how many rows of the catalogue they name."""
     columns = [
         (F.col(f.name) if f.name in patches.columns else F.lit(None)).cast(f.dataType).alias(f.name)
         for f in PATCH
     ]
-    _replace(patches.select(*columns), root, "patches", writer, batch)
+    spark, run = patches.sparkSession, run or uuid.uuid4().hex[:12]
+    _write(patches.select(*columns), root, "patches", run, batch)
+    named = catalog_patches(spark, root).filter(F.col("write").endswith(f"-{run}-{batch}"))
+    return catalog_rows(spark, root).join(named.select("id"), "id", "left_semi").count()
+
+
+def delete_rows(spark: SparkSession, root: str, ids: DataFrame, batch: int = 0, run: str | None = None) -> int:
+    """Remove the rows with these ids, and their patches; how many rows that were.
+
+    Ids may be inserted anew afterwards.  A repeated call for one ``run`` and ``batch`` says how
+    many rows are left to remove.
+    """
+    doomed = ids.filter(F.col("id").isNotNull()).select(F.col("id").cast("long")).distinct()
+    gone = catalog_rows(spark, root).join(doomed, "id", "left_semi").count()
+    _write(doomed, root, "deletes", run, batch)
+    return gone
 
 
-def stored_elsewhere(spark: SparkSession, root: str, writer: str, batch: int) -> DataFrame:
-    """Ids that some other batch has marked stored."""
-    patches = _other_batches(catalog_patches(spark, root), writer, batch)
+def stored_elsewhere(spark: SparkSession, root: str, run: str, batch: int) -> DataFrame:
+    """Ids that some other write has marked stored."""
+    patches = _others(catalog_patches(spark, root), run, batch)
     return patches.filter(F.col("stored")).select("id")
 
 
 def compact_catalog(spark: SparkSession, root: str, new_root: str) -> None:
-    """Write the patched rows, range-partitioned by id, as the only batch of a new catalogue."""
+    """Write what readers see, range-partitioned by id, as the only batch of a new catalogue."""
     create_catalog(spark, new_root)
     ordered = read_catalog(spark, root).repartitionByRange("id").sortWithinPartitions("id")
-    _replace(ordered, new_root, "rows", "compact", 0)
+    _write(ordered, new_root, "rows", "compact", 0)

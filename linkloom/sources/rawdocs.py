@@ -2,8 +2,7 @@
 
 Records are framed by Spark expressions.  A Python data source only moves the bytes: its writer
 rolls files by size inside each task, its reader streams byte ranges of files, so neither holds
-more than a chunk and one record.  The package must be installed (or shipped with ``--py-files``)
-on the executors.
+more than a chunk and one record.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
@@ -27,6 +27,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
+from linkloom.files import resolved
 from linkloom.schemas import (
     FIELD_SEPARATOR,
     FILE_END,
@@ -98,6 +99,7 @@ def _record(length_mode: str) -> Column:
 
 
 def _open_fs(path: str) -> tuple[fs.FileSystem, str]:
+    path = re.sub("^s3[an]://", "s3://", path)  # Spark's names for it
     if "://" in path or path.startswith("file:"):
         return fs.FileSystem.from_uri(path)
     return fs.LocalFileSystem(), path
@@ -120,22 +122,31 @@ class _RollingFiles:
         self.out = None
         self.size = self.total = self.records = 0
 
-    def add(self, record: bytes) -> None:
-        if self.out is None or (self.size and self.size + len(record) > self.limit):
-            self.close()
-            self.names.append(f"{self.stem}-{len(self.names):06d}")
-            self.out = self.filesystem.open_output_stream(self.names[-1], buffer_size=_CHUNK)
-            self.size = 0
-        self.out.write(record)
-        self.size += len(record)
-        self.total += len(record)
-        self.records += 1
+    def add(self, data: memoryview, ends: np.ndarray) -> None:
+        """Records that lie one after the other in ``data``; ``ends`` has where each ends."""
+        first = begin = 0
+        while first < len(ends):
+            last = int(np.searchsorted(ends, begin + self.limit - self.size, side="right"))
+            if last <= first:
+                if self.size:
+                    self.close()
+                    continue
+                last = first + 1  # longer than the limit: a file of its own
+            if self.out is None:
+                self.names.append(f"{self.stem}-{len(self.names):06d}")
+                self.out = self.filesystem.open_output_stream(self.names[-1], buffer_size=_CHUNK)
+            end = int(ends[last - 1])
+            self.out.write(data[begin:end])
+            self.size += end - begin
+            self.total += end - begin
+            self.records += last - first
+            first, begin = last, end
 
     def close(self) -> None:
         if self.out is not None:
             self.out.write(bytes([FILE_END]))
             self.out.close()
-            self.out = None
+            self.out, self.size = None, 0
 
 
 class _Writer(DataSourceArrowWriter):
@@ -155,8 +166,11 @@ class _Writer(DataSourceArrowWriter):
         stem = f"{root}/{self.staging}/{task.partitionId():06d}-{task.taskAttemptId()}"
         files = _RollingFiles(filesystem, stem, self.limit)
         for batch in iterator:
-            for record in batch.column(batch.schema.get_field_index("record")):
-                files.add(record.as_buffer().to_pybytes())
+            records = batch.column(batch.schema.get_field_index("record")).cast(pa.large_binary())
+            if len(records):
+                _, offsets, data = records.buffers()
+                ends = np.frombuffer(offsets, np.int64)[records.offset : records.offset + len(records) + 1]
+                files.add(memoryview(data)[ends[0] : ends[-1]], ends[1:] - ends[0])
         files.close()
         return _TaskFiles(task.partitionId(), files.names, files.records, files.total)
 
@@ -196,10 +210,11 @@ class _Range(InputPartition):
     path: str
     start: int
     end: int
+    last: bool = True
 
 
 # The length is decimal text or one byte of any value, the HTML holds no separator.
-_FRAME = re.compile(rb"doc_(-?[0-9]+)\x1f(?:[0-9]+|[\x00-\xff])\x1f([^\x1e\x1f]*)\x1e")
+_FRAME = re.compile(rb"doc_(-?[0-9]+)\x1f([0-9]+|[\x00-\xff])\x1f([^\x1e\x1f]*)\x1e")
 _NEXT = re.compile(rb"\x1edoc_-?[0-9]+\x1f")
 
 
@@ -213,10 +228,11 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         filesystem, root = _open_fs(self.path)
         ranges = [
-            _Range(info.path, start, min(start + self.split, info.size))
-            for info in filesystem.get_file_info(fs.FileSelector(root))
+            _Range(info.path, start, min(start + self.split, info.size), start + self.split >= info.size)
+            for info in filesystem.get_file_info(fs.FileSelector(root, recursive=True))
             if info.is_file and info.base_name.startswith(self.prefix) and info.base_name.endswith(self.suffix)
-            for start in range(0, info.size, self.split)
+            if "/_staging-" not in info.path
+            for start in range(0, max(info.size, 1), self.split)
         ]
         return ranges or [_Range("", 0, 0)]
 
@@ -227,7 +243,9 @@ class _Reader(DataSourceReader):
         filesystem, _ = _open_fs(self.path)
         ids, lengths, htmls, held = [], [], [], 0
         with filesystem.open_input_file(partition.path) as source:
-            for number, html in _frames(source, partition):
+            for number, length, html in _frames(source, partition):
+                if not _fits(length, html):
+                    raise ValueError(f"document {number.decode()} of {partition.path} has {len(html)} bytes, not as stored")
                 ids.append(f"doc_{number.decode()}")
                 lengths.append(len(html))
                 htmls.append(html.decode("utf-8"))
@@ -239,6 +257,11 @@ class _Reader(DataSourceReader):
             yield _batch(ids, lengths, htmls)
 
 
+def _fits(length: bytes, html: bytes) -> bool:
+    """Whether the stored length, decimal text or the low byte alone, is that of the HTML."""
+    return length == b"%d" % len(html) or length == bytes([len(html) & 255])
+
+
 def _batch(ids: list[str], lengths: list[int], htmls: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(ids, pa.string()), pa.array(lengths, pa.int32()), pa.array(htmls, pa.string())],
@@ -246,7 +269,7 @@ def _batch(ids: list[str], lengths: list[int], htmls: list[str]) -> pa.RecordBat
     )
 
 
-def _frames(source: pa.NativeFile, part: _Range) -> Iterator[tuple[bytes, bytes]]:
+def _frames(source: pa.NativeFile, part: _Range) -> Iterator[tuple[bytes, bytes, bytes]]:
     # Start one byte early: a record that begins at ``start`` follows the separator before it.
     offset = max(part.start - 1, 0)
     source.seek(offset)
@@ -274,10 +297,15 @@ def _frames(source: pa.NativeFile, part: _Range) -> Iterator[tuple[bytes, bytes]
             yield frame.groups()
             at = frame.end()
         held, offset = held[at:], offset + at
-        if offset >= part.end or held[:1] == bytes([FILE_END]):
+        if held[:1] == bytes([FILE_END]):
+            if held[1:] or source.read(1):
+                raise ValueError(f"bytes after the end mark at byte {offset} of {part.path}")
             return
-    if aligned and held.strip(bytes([FILE_END])):
-        raise ValueError(f"broken record at byte {offset} of {part.path}")
+        if offset >= part.end and not part.last:
+            return
+    # The file has ended without its mark, or in the middle of a record.
+    if aligned or (part.last and held[-1:] != bytes([FILE_END])):
+        raise ValueError(f"broken record or no end mark at byte {offset} of {part.path}")
 
 
 class RawDocs(DataSource):
@@ -304,7 +332,7 @@ def register(spark: SparkSession) -> None:
 # ---- order over all files -------------------------------------------------------------------
 
 _UNEVEN = 2  # times the mean
-_ROWS_PER_TASK = 1000
+_ROWS_PER_TASK = 10_000  # some hundred megabytes of HTML
 
 
 def _by_id_ranges(ids: DataFrame, records: DataFrame, partitions: int | None) -> DataFrame:
@@ -314,13 +342,11 @@ def _by_id_ranges(ids: DataFrame, records: DataFrame, partitions: int | None) ->
     Ids come from a counter, so equal ranges are about equally full; a count over the id column
     alone confirms that, and sampling remains for ids that are not.
     """
-    spark = records.sparkSession
     ids = ids.select(F.col("id" if "id" in ids.columns else "page_id").cast("long").alias("id"))
     low, high, total = ids.agg(F.min("id"), F.max("id"), F.count("id")).first()
     if low is None:
         return records.coalesce(1)
-    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    count = partitions or max(1, min(most, total // _ROWS_PER_TASK))
+    count = partitions or -(-total // _ROWS_PER_TASK)
     width = -(-(high - low + 1) // count)
     part = F.expr(f"CAST((id - {low}L) div {width}L AS INT)")
     fullest = ids.groupBy(part.alias("part")).count().agg(F.max("count")).first()[0]
@@ -329,6 +355,14 @@ def _by_id_ranges(ids: DataFrame, records: DataFrame, partitions: int | None) ->
     return records.repartitionById(count, part)
 
 
+def _shared(spark: SparkSession, path: str) -> str:
+    """The path as executors must open it: named with its file system, and not a local one on a cluster."""
+    path = resolved(spark, path)
+    if path.startswith("file:") and not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError(f"{path} is a local folder, which executors do not share")
+    return path
+
+
 # ---- public sink and source ----------------------------------------------------------------
 
 
@@ -366,7 +400,7 @@ def write_rawdocs(
         .option("maxfilesize", str(max_file_size or MAX_FILE_SIZE))
         .option("fileprefix", file_prefix or FILE_PREFIX)
         .option("filesuffix", file_suffix or FILE_SUFFIX)
-        .save(path)
+        .save(_shared(pages.sparkSession, path))
     )
 
 
@@ -384,5 +418,5 @@ def read_rawdocs(
         .option("fileprefix", file_prefix or FILE_PREFIX)
         .option("filesuffix", file_suffix or FILE_SUFFIX)
         .option("splitsize", str(split_size))
-        .load(path)
+        .load(_shared(spark, path))
     )

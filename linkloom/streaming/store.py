@@ -1,18 +1,21 @@
 """Streams into the catalogue: recording links and storing pages.
 
-Every micro-batch writes under its own number, so a batch that is replayed after a failure
-replaces what it had written.
+Every micro-batch writes under its number and the run that its checkpoint belongs to, so a batch
+that is replayed after a failure replaces what it had written, and nothing that another run wrote.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 from typing import Any
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from linkloom.files import lasting_id
 from linkloom.operators.catalog import link_rows, page_patches
 from linkloom.operators.snapshot import fetch_snapshot
 from linkloom.schemas import CATALOG
@@ -27,10 +30,29 @@ from linkloom.sources.catalog import (
 from linkloom.sources.rawdocs import read_rawdocs, write_rawdocs
 
 
-def _start(stream: DataFrame, each, checkpoint: str | None, trigger: dict[str, Any] | None):
+class Stopped(Exception):
+    """A stream was asked to stop between two micro-batches."""
+
+
+def drain(query: StreamingQuery) -> bool:
+    """Wait for a stream to end; whether it took all there was, or stopped when asked to."""
+    try:
+        query.awaitTermination()
+    except StreamingQueryException as error:
+        if Stopped.__name__ not in str(error):
+            raise
+        return False
+    return True
+
+
+def _start(stream: DataFrame, each: Callable, checkpoint: str | None, trigger: dict[str, Any] | None):
+    """Start ``each(batch, number, run)`` on the stream; the run's id lies in the checkpoint."""
+    spark = stream.sparkSession
+    checkpoint = checkpoint or work_dir(spark, "stream")
+    run = lasting_id(spark, f"{checkpoint}/run")
     return (
-        stream.writeStream.foreachBatch(each)
-        .option("checkpointLocation", checkpoint or work_dir(stream.sparkSession, "stream"))
+        stream.writeStream.foreachBatch(lambda batch, number: each(batch, number, run))
+        .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
@@ -41,20 +63,20 @@ def record_stream(
     root: str,
     checkpoint: str | None = None,
     as_of: dt.datetime | Column | None = None,
-    writer: str = "record",
     trigger: dict[str, Any] | None = None,
 ) -> StreamingQuery:
     """Record a stream of ``id, url`` in the catalogue, one insert per micro-batch.
 
     The batch size is the source's (``maxFilesPerTrigger`` and the like); the default trigger
-    takes all that is there, the rest included, and ends.
+    takes all that is there, the rest included, and ends.  Without a ``checkpoint`` each call is a
+    run of its own; entries that are in the catalogue already are then an error.
     """
     create_catalog(entries.sparkSession, root)
 
-    def record(batch: DataFrame, number: int) -> None:
+    def record(batch: DataFrame, number: int, run: str) -> None:
         rows = link_rows(batch, as_of).persist()
         try:
-            insert_rows(batch.sparkSession, root, rows, number, writer)
+            insert_rows(batch.sparkSession, root, rows, number, run)
         finally:
             rows.unpersist()
 
@@ -68,15 +90,17 @@ def store_stream(
     path: str,
     checkpoint: str | None = None,
     as_of: dt.datetime | Column | None = None,
-    writer: str = "store",
     trigger: dict[str, Any] | None = None,
     max_files_per_trigger: int | None = None,
     unique_urls: bool = False,
+    should_stop: Callable[[], bool] = lambda: False,
     **rawdoc_options: Any,
 ) -> StreamingQuery:
     """Follow the catalogue: fetch the pages of new rows, write raw records, patch the rows.
 
-    Records of micro-batch ``n`` lie in ``path/batch=n``.  The patches are made from the records
+    Records of micro-batch ``n`` lie in ``path/run=<run>/batch=n``.  Rows that any earlier run has
+    stored are passed over.  ``should_stop`` is asked before each micro-batch; once it is true, the
+    rest of the rows is left for a later call with the same ``checkpoint``.  The patches are made from the records
     just written, so the join with the snapshot runs once and ``stored`` means what is on disk.
     Each micro-batch scans the snapshot's URLs; prefer few large ones.
     """
@@ -86,21 +110,23 @@ def store_stream(
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     rows = reader.parquet(f"{root}/rows")
 
-    def store(batch: DataFrame, number: int) -> None:
+    def store(batch: DataFrame, number: int, run: str) -> None:
+        if should_stop():
+            raise Stopped
         session = batch.sparkSession
-        done = stored_elsewhere(session, root, writer, number)
+        done = stored_elsewhere(session, root, run, number)
         todo = (
             batch.filter(~F.coalesce("stored", F.lit(False)))
             .select("id", "url")
             .join(done, "id", "left_anti")
         )
-        folder = f"{path}/batch={number}"
+        folder = f"{path}/run={run}/batch={number}"
         fetched = fetch_snapshot(todo, pages, unique_urls)
         write_rawdocs(fetched, folder, mode="overwrite", ids=todo, **rawdoc_options)
         naming = {k: v for k, v in rawdoc_options.items() if k in ("file_prefix", "file_suffix")}
         written = read_rawdocs(session, folder, **naming).select(
             F.substring("id", 5, 32).cast("long").alias("id"), "html"
         )
-        insert_patches(root, page_patches(written, as_of), number, writer)
+        insert_patches(root, page_patches(written, as_of), number, run)
 
     return _start(rows, store, checkpoint, trigger)

@@ -115,27 +115,27 @@ def test_insert_without_id(spark):
 
 
 @pytest.mark.parametrize(
-    "shallow, blocks, asked",
-    [(10**6, 4096, [(1, 3), (4, 3), (5, 3)]), (0, 64, [(2, 4), (3, 4), (4, 4)]), (0, 4096, [(2, 3), (1, 20)])],
+    "deep, blocks, asked",
+    [(False, 4096, [(1, 3), (4, 3), (5, 3)]), (True, 64, [(2, 4), (3, 4), (4, 4)]), (True, 4096, [(2, 3), (1, 20)])],
 )
-def test_pages(spark, monkeypatch, shallow, blocks, asked):
-    monkeypatch.setattr(cat, "_SHALLOW", shallow)
+def test_pages(spark, monkeypatch, deep, blocks, asked):
+    page_of = cat.deep_page if deep else cat.catalog_page
     monkeypatch.setattr(cat, "_BLOCKS", blocks)
     ids = [-50, 3, 4, 5, 9, 100, 101, 5000, 70_000, 70_001, 10**12]
     catalog = frame(spark, [row(i) for i in ids])
     for page, size in asked:
         want = ids[(page - 1) * size : page * size]
-        assert [r.id for r in cat.catalog_page(catalog, page, size).collect()] == want
+        assert [r.id for r in page_of(catalog, page, size).collect()] == want
 
 
-def test_page_edges(spark, monkeypatch):
+def test_page_edges(spark):
     catalog = frame(spark, [row(1)])
-    assert cat.catalog_page(catalog, 1, 0).count() == 0
-    for page, size in ((0, 1), (1, -1)):
-        with pytest.raises(ValueError):
-            cat.catalog_page(catalog, page, size)
-    monkeypatch.setattr(cat, "_SHALLOW", 0)
-    assert cat.catalog_page(catalog.limit(0), 2, 3).count() == 0
+    for page_of in (cat.catalog_page, cat.deep_page):
+        assert page_of(catalog, 1, 0).count() == 0
+        for page, size in ((0, 1), (1, -1)):
+            with pytest.raises(ValueError):
+                page_of(catalog, page, size)
+    assert cat.deep_page(catalog.limit(0), 2, 3).count() == 0
 
 
 def test_counts(spark):
@@ -162,14 +162,16 @@ def test_parquet_catalogue(spark, tmp_path):
     root = str(tmp_path / "catalog")
     store.create_catalog(spark, root)
     assert store.read_catalog(spark, root).count() == 0
-    store.insert_rows(spark, root, frame(spark, [row(i) for i in range(5)]), 0)
+    assert store.insert_rows(spark, root, frame(spark, [row(i) for i in range(5)])) == 5
     store.create_catalog(spark, root)  # an existing catalogue stays
-    store.insert_rows(spark, root, frame(spark, [row(i) for i in range(5, 8)]), 1)
+    assert store.insert_rows(spark, root, frame(spark, [row(i) for i in range(5, 8)]), 1, "run") == 3
     with pytest.raises(ValueError):
-        store.insert_rows(spark, root, frame(spark, [row(2)]), 2)
-    store.insert_rows(spark, root, frame(spark, [row(i) for i in range(5, 9)]), 1)  # replayed batch
-    store.insert_patches(root, patches(spark, [(9, 1, "early", True, 3, T0)]), 0)
-    store.insert_patches(root, patches(spark, [(1, 1, "late", None, None, T1)]), 1)
+        store.insert_rows(spark, root, frame(spark, [row(2)]))
+    with pytest.raises(ValueError):  # the number alone does not make it the same batch
+        store.insert_rows(spark, root, frame(spark, [row(6)]), 1)
+    store.insert_rows(spark, root, frame(spark, [row(i) for i in range(5, 9)]), 1, "run")  # replayed batch
+    assert store.insert_patches(root, patches(spark, [(9, 1, "early", True, 3, T0), (0, 77, "x", None, 1, T0)]), 5) == 1
+    store.insert_patches(root, patches(spark, [(1, 1, "late", None, None, T1)]))
     got = store.read_catalog(spark, root, ordered=True).collect()
     assert [r.id for r in got] == list(range(9))
     assert (got[1].title, got[1].stored, got[1].content_length, got[1].update_time) == ("late", True, 3, T1)
@@ -177,3 +179,23 @@ def test_parquet_catalogue(spark, tmp_path):
     store.compact_catalog(spark, root, new)
     assert store.read_catalog(spark, new, ordered=True).collect() == got
     assert [f.name for f in store.read_catalog(spark, new).schema] == [f.name for f in CATALOG]
+
+
+def test_the_later_write_wins_and_deletion_is_lasting(spark, tmp_path):
+    root = str(tmp_path / "catalog")
+    store.create_catalog(spark, root)
+    store.insert_rows(spark, root, frame(spark, [row(i) for i in range(6)]))
+    store.insert_patches(root, patches(spark, [(1, 2, "old", True, 3, T0)]), batch=9, run="z")
+    store.insert_patches(root, patches(spark, [(1, 2, "new", None, None, T1)]), batch=0, run="a")
+    assert store.read_catalog(spark, root).filter("id = 2").first().title == "new"
+    doomed = spark.createDataFrame([(2,), (3,), (2,), (99,), (None,)], "id long")
+    assert store.delete_rows(spark, root, doomed) == 2
+    assert sorted(r.id for r in store.read_catalog(spark, root).collect()) == [0, 1, 4, 5]
+    store.insert_rows(spark, root, frame(spark, [row(2)]))
+    again = store.read_catalog(spark, root).filter("id = 2").first()
+    assert (again.title, again.stored) == (None, False)
+
+
+def test_domain_of_ipv6(spark):
+    df = cat.derive_domain(frame(spark, [row(1, "http://[2001:db8::1]:80/x"), row(2, "http://u@[::1]")]))
+    assert {r.id: r.domain for r in df.collect()} == {1: "[2001:db8::1]", 2: "[::1]"}

@@ -65,9 +65,24 @@ def test_crawl_equals_fifo(spark, pages, tmp_path):
     assert [tuple(r) for r in recorded] == [(i, u, False) for i, u, _, _ in rows_of(result)]
 
 
-def test_crawl_with_range_partitioned_levels(spark, pages, monkeypatch):
-    monkeypatch.setattr(plan, "_ONE_TASK", 0)
-    assert rows_of(crawl(spark, ["http://c/1"], pages)) == fifo(["http://c/1"])
+def test_limited_levels_count_what_is_in_the_result(spark, pages):
+    result = crawl(spark, ["http://c/1"], pages, quantity=10)
+    assert sum(result.levels) == result.frontier.count() == 10
+
+
+def test_a_second_crawl_goes_on_or_is_refused(spark, pages, tmp_path):
+    root = str(tmp_path / "catalog")
+    first = crawl(spark, ["http://c/1"], pages, quantity=10, catalog_root=root)
+    before = read_catalog(spark, root, ordered=True).collect()
+    with pytest.raises(ValueError, match="already present"):
+        crawl(spark, ["http://c/2"], pages, catalog_root=root)
+    assert read_catalog(spark, root, ordered=True).collect() == before
+    known = first.frontier.select("url")
+    later = crawl(spark, ["http://c/2", "http://c/999", "http://c/7"], pages, catalog_root=root, start=10, seen=known)
+    recorded = read_catalog(spark, root, ordered=True).collect()
+    assert [r.id for r in recorded] == list(range(1, len(recorded) + 1))
+    assert len({r.url for r in recorded}) == len(recorded) == 10 + sum(later.levels)
+    assert later.frontier.filter("url = 'http://c/999'").count() == 1
 
 
 def test_seeds_not_seen(spark, pages):

@@ -102,3 +102,15 @@ def test_ids_with_one_hot_leading_key(spark):
     df = spark.range(9000).select(F.when(F.col("id") < 6000, 5).otherwise(F.col("id") % 10).alias("p"), "id")
     got = assign_ids(df.withColumnRenamed("id", "pos"), ["p", "pos"]).orderBy("p", "pos").collect()
     assert [r.id for r in got] == list(range(1, 9001))
+
+
+def test_bloom_map_is_sized_for_what_is_expected(spark):
+    from linkloom.operators.dedup import bloom_bits, bloom_fill
+
+    assert bloom_bits(100_000_000, 0.01) == 1 << 30
+    assert bloom_bits(1, 0.5) == 2
+    df = spark.range(2000).selectExpr("id as seq", "concat('http://x/', id) as url")
+    got = bloom_fill(df, expected=2000, fpp=0.01).first()
+    assert 0.2 < got.fill < 0.6 and got.bits_set == round(got.fill * bloom_bits(2000, 0.01))
+    flagged = bloom_dedup(df, expected=2000, fpp=0.01).filter("is_duplicate").count()
+    assert flagged < 100

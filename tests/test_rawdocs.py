@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from linkloom.sources import rawdocs
 from linkloom.sources.rawdocs import encode_records, read_rawdocs, write_rawdocs
 
 PAGES = "id long, html string"
@@ -117,6 +118,39 @@ def test_broken_file_is_reported(spark, tmp_path):
         read_rawdocs(spark, str(path)).collect()
 
 
+@pytest.mark.parametrize(
+    "data", [_framed(1, "a"), _framed(1, "a") + b"\x17x", b"doc_1\x1f99\x1fabc\x1e\x17", b"", _framed(1, "abc" * 50)[:-9] + b"\x17"]
+)
+@pytest.mark.parametrize("split", [20, 10**6])
+def test_damaged_files_are_reported(spark, tmp_path, data, split):
+    path = tmp_path / "out"
+    path.mkdir()
+    (path / "doc_raw_0.bin").write_bytes(data)
+    with pytest.raises(Exception, match="broken record|end mark|not as stored"):
+        read_rawdocs(spark, str(path), split_size=split).collect()
+
+
+def test_folders_below_are_read(spark, tmp_path):
+    df = spark.createDataFrame(DOCS, PAGES)
+    for part in (0, 1):
+        write_rawdocs(df.filter(F.col("id") % 2 == part), str(tmp_path / f"raw/run=x/batch={part}"))
+    assert _read(spark, str(tmp_path / "raw")) == WANT
+
+
+def test_paths_are_shared_ones(spark, tmp_path, monkeypatch):
+    assert rawdocs._shared(spark, str(tmp_path)).startswith("file:/")
+    assert rawdocs._open_fs("file:" + str(tmp_path))[1] == str(tmp_path)
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda *a: "spark://somewhere:7077")
+
+    monkeypatch.setattr(rawdocs, "resolved", lambda _, path: path)
+    with pytest.raises(ValueError, match="local folder"):
+        rawdocs._shared(Cluster, "file:/corpus")
+    assert rawdocs._shared(Cluster, "s3a://corpus/raw") == "s3a://corpus/raw"
+
+
 def test_wrong_options(spark):
     df = spark.createDataFrame(DOCS, PAGES)
     with pytest.raises(ValueError):

@@ -10,7 +10,7 @@ from linkloom.operators.links import extract_links, filter_crawlable
 from linkloom.sources.catalog import create_catalog, insert_rows, read_catalog
 from linkloom.sources.rawdocs import read_rawdocs
 from linkloom.streaming.links import stream_links
-from linkloom.streaming.store import record_stream, store_stream
+from linkloom.streaming.store import drain, record_stream, store_stream
 
 PAGES = "page_id long, url string, html string"
 T1 = dt.datetime(2024, 2, 1)
@@ -79,11 +79,11 @@ def test_store_stream_follows_the_catalogue(spark, tmp_path):
         rows = read_catalog(spark, root, ordered=True).collect()
         return [r.id for r in rows if r.stored], rows
 
-    insert_rows(spark, root, link_rows(entries.filter("id < 10"), T1), 0)
+    insert_rows(spark, root, link_rows(entries.filter("id < 10"), T1))
     assert run()[0] == list(range(10))
-    insert_rows(spark, root, link_rows(entries.filter("id >= 10"), T1), 1)
+    insert_rows(spark, root, link_rows(entries.filter("id >= 10"), T1), 1, "run")
     unknown = spark.createDataFrame([(99, "http://p/none")], "id long, url string")
-    insert_rows(spark, root, link_rows(unknown, T1), 2)
+    insert_rows(spark, root, link_rows(unknown, T1))
     stored, rows = run()
     assert stored == list(range(30))
     assert [(r.title, r.content_length, r.update_time) for r in rows[:30]] == [
@@ -91,7 +91,45 @@ def test_store_stream_follows_the_catalogue(spark, tmp_path):
     ]
     assert (rows[30].id, rows[30].stored, rows[30].title) == (99, False, None)
     # A replayed batch of rows arrives again as new files, but is stored already.
-    insert_rows(spark, root, link_rows(entries.filter("id >= 10"), T1), 1)
+    insert_rows(spark, root, link_rows(entries.filter("id >= 10"), T1), 1, "run")
     assert run()[1] == rows
-    records = [r.html for n in range(3) for r in read_rawdocs(spark, f"{out}/batch={n}").collect()]
+    records = [r.html for r in read_rawdocs(spark, out).collect()]
     assert sorted(records) == sorted(page(k)[2] for k in range(30))
+
+
+def test_runs_without_a_checkpoint_keep_what_earlier_ones_wrote(spark, tmp_path):
+    root, out = (str(tmp_path / n) for n in ("catalog", "out"))
+    pages = spark.createDataFrame([page(k) for k in range(6)], PAGES)
+    for part in (0, 1):
+        source = str(tmp_path / f"in{part}")
+        pages.filter(F.col("page_id") % 2 == part).selectExpr("page_id as id", "url").write.parquet(source)
+        record_stream(spark.readStream.schema("id long, url string").parquet(source), root, as_of=T1).awaitTermination()
+    assert sorted(r.id for r in read_catalog(spark, root).collect()) == list(range(6))
+    for part in (1, 0):
+        store_stream(spark, root, pages.filter(F.col("page_id") % 2 == part), out, as_of=T1).awaitTermination()
+    rows = read_catalog(spark, root).collect()
+    assert all(r.stored and r.title == f"t{r.id}" for r in rows) and len(rows) == 6
+    assert sorted(r.html for r in read_rawdocs(spark, out).collect()) == sorted(page(k)[2] for k in range(6))
+
+
+def test_storing_stops_between_batches_and_goes_on_later(spark, tmp_path):
+    root, out, checkpoint = (str(tmp_path / n) for n in ("catalog", "out", "checkpoint"))
+    pages = spark.createDataFrame([page(k) for k in range(9)], PAGES)
+    create_catalog(spark, root)
+    for low in (0, 3, 6):
+        entries = pages.filter(F.col("page_id").between(low, low + 2)).selectExpr("page_id as id", "url")
+        insert_rows(spark, root, link_rows(entries.coalesce(1), T1))
+    asked = []
+
+    def stop():
+        asked.append(1)
+        return len(asked) > 2
+
+    def run(should_stop):
+        options = {"max_files_per_trigger": 1, "should_stop": should_stop}
+        done = drain(store_stream(spark, root, pages, out, checkpoint, as_of=T1, **options))
+        return done, read_catalog(spark, root).filter("stored").count()
+
+    done, stored = run(stop)
+    assert not done and 0 < stored < 9
+    assert run(lambda: False) == (True, 9)
