@@ -65,8 +65,8 @@ def op7_repeats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines that repeat an earlier one, by place."""
-    return lines.repeated_lines(_documents(spark, sf)).drop("text_key")
+    """Lines that repeat an earlier one, by document and number."""
+    return lines.repeated_lines(_documents(spark, sf)).select("doc_id", "line_no")
 
 
 def op9_topk(spark: SparkSession, sf: str) -> DataFrame:
@@ -141,6 +141,75 @@ SELECT doc_id, domain, lang, source, tokens, epochs::BIGINT AS whole_epochs,
        greatest(0, least(tokens, last_budget - before))::BIGINT AS last_tokens FROM summed"""
 
 
+def _secrets_sql() -> str:
+    kinds = list(secrets.BASE | secrets.WEAK)
+    found = " UNION ALL ".join(
+        f"""SELECT row, doc_id, {i} AS kind, regexp_extract_all(t, $p$(?s:(.*?))({p})$p$, 1) AS g,
+            regexp_extract_all(t, $p$(?s:(.*?))({p})$p$, 2) AS w, regexp_extract_all(t, $p$(?s:(.*?))({p})$p$, 3) AS v
+            FROM d WHERE regexp_matches(t, $p${p}$p$)"""
+        for i, p in enumerate((secrets.BASE | secrets.WEAK).values())
+    )
+    names = ", ".join(f"'{k}'" for k in kinds)
+    secret = "kind IN (" + ", ".join(str(kinds.index(k)) for k in secrets.SECRET) + ")"
+
+    def beside(these: str, most: int) -> str:
+        return f"""(coalesce(max("end") FILTER ({these}) OVER before + {most} > start, false)
+            OR coalesce(min(start) FILTER ({these}) OVER after - {most} < "end", false))"""
+
+    near = secrets.SCOPE + 1
+    return f"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents
+), found AS (
+  {found}
+), part AS (
+  SELECT row, kind, unnest(range(len(g))) AS nth, unnest(g) AS gap, unnest(w) AS width, unnest(v) AS value FROM found
+), place AS (
+  SELECT *, sum(length(gap) + length(width)) OVER (PARTITION BY row, kind ORDER BY nth)::BIGINT AS "end" FROM part
+), span AS (
+  SELECT row, kind, "end" - length(width) AS start, "end" FROM place WHERE kind > 0 OR length(value) >= {secrets.SHORTEST_VALUE}
+), judged AS (
+  SELECT *, kind < {len(secrets.BASE)} AS base, CASE WHEN {secret} THEN {beside("NOT " + secret, near)}
+         ELSE {beside(secret, near)} END AND NOT {beside(f"kind < {len(secrets.BASE)}", 0)} AS linked
+  FROM span WINDOW before AS (PARTITION BY row ORDER BY start, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+                   after AS (PARTITION BY row ORDER BY start, kind ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)
+), kept AS (
+  SELECT *, concat_ws(':', [{names}][kind + 1], start, "end") AS shown FROM judged WHERE base OR linked
+), listed AS (
+  SELECT row, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS b, count(*) FILTER (kind = 2) AS c,
+         count(*) FILTER (NOT base) AS n, string_agg(shown, ',' ORDER BY start, kind) AS spans,
+         string_agg(shown, ',' ORDER BY start, kind) FILTER (base) AS base_spans
+  FROM kept GROUP BY row
+)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, coalesce(n, 0) AS n_linked,
+       sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN listed USING (row)"""
+
+
+_LINES = f"""
+WITH line AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10)))))::INTEGER AS line_no
+  FROM documents WHERE text IS NOT NULL
+), worded AS (
+  SELECT doc_id, line_no, regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+') AS w FROM line
+), shingled AS (
+  SELECT doc_id, line_no, list_sort(list_distinct(list_transform(
+    range(len(w) - {lines.WORDS - 1}), lambda i: array_to_string(w[i + 1:i + {lines.WORDS}], ' ')))) AS tokens
+  FROM worded WHERE len(w) >= {lines.WORDS}
+), same AS (
+  SELECT tokens, min((doc_id, line_no)) AS first, row_number() OVER () AS id FROM shingled GROUP BY tokens
+), held AS (
+  SELECT id, first, len(tokens) AS size, unnest(tokens) AS token FROM same
+), alike AS (
+  SELECT a.id, min(b.first) AS other FROM (
+    SELECT x.id AS a, y.id AS b FROM held x JOIN held y ON x.token = y.token AND y.first < x.first
+    GROUP BY x.id, y.id, x.size, y.size
+    HAVING count(*) * {lines.SIMILAR[1]} >= (x.size + y.size - count(*)) * {lines.SIMILAR[0]}
+  ) JOIN same a ON a.id = a JOIN same b ON b.id = b GROUP BY a.id
+)
+SELECT doc_id, line_no FROM shingled JOIN same USING (tokens) LEFT JOIN alike USING (id)
+WHERE first < (doc_id, line_no) OR other < (doc_id, line_no)"""
+
 _USABLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
 
 _TOPK = f"""
@@ -177,4 +246,10 @@ FROM component LEFT JOIN counted USING (vec_id)"""
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL where SQL can express the query; brute-force tests hold the others."""
-    return {"op1_mixing": _mixing_sql(), "op9_topk": _TOPK, "op10_cover_tree": _COSINE}
+    return {
+        "op1_mixing": _mixing_sql(),
+        "op5_secrets": _secrets_sql(),
+        "op8_line_dedup": _LINES,
+        "op9_topk": _TOPK,
+        "op10_cover_tree": _COSINE,
+    }
