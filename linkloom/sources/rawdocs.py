@@ -64,7 +64,7 @@ def encode_records(
     page_id = "id" if "id" in pages.columns else "page_id"
     html = F.col("html")
     if on_separator == "strip":
-        html = F.translate(html, _SEPARATORS, "")
+        html = without_separators(html)
     else:
         message = F.concat(F.lit("separator byte in the HTML of document "), F.col("id").cast("string"))
         html = F.when(html.rlike(f"[{_SEPARATORS}]"), F.raise_error(message)).otherwise(html)
@@ -76,6 +76,11 @@ def encode_records(
     return rows.select("id", _record(length_mode).alias("record"))
 
 
+def without_separators(html: Column) -> Column:
+    """HTML without the bytes that frame records."""
+    return F.translate(html, _SEPARATORS, "")
+
+
 def _record(length_mode: str) -> Column:
     def raw(code: int) -> Column:
         return F.unhex(F.lit(f"{code:02X}"))

@@ -27,7 +27,7 @@ from linkloom.sources.catalog import (
     stored_elsewhere,
     stored_schema,
 )
-from linkloom.sources.rawdocs import read_rawdocs, write_rawdocs
+from linkloom.sources.rawdocs import without_separators, write_rawdocs
 
 
 class Stopped(Exception):
@@ -100,8 +100,8 @@ def store_stream(
 
     Records of micro-batch ``n`` lie in ``path/run=<run>/batch=n``.  Rows that any earlier run has
     stored are passed over.  ``should_stop`` is asked before each micro-batch; once it is true, the
-    rest of the rows is left for a later call with the same ``checkpoint``.  The patches are made from the records
-    just written, so the join with the snapshot runs once and ``stored`` means what is on disk.
+    rest of the rows is left for a later call with the same ``checkpoint``.  The patches are written
+    after the records, from the same fetched pages, so ``stored`` means what is on disk.
     Each micro-batch scans the snapshot's URLs; prefer few large ones.
     """
     create_catalog(spark, root)
@@ -119,14 +119,18 @@ def store_stream(
             batch.filter(~F.coalesce("stored", F.lit(False)))
             .select("id", "url")
             .join(done, "id", "left_anti")
+            .persist()
         )
-        folder = f"{path}/run={run}/batch={number}"
         fetched = fetch_snapshot(todo, pages, unique_urls)
-        write_rawdocs(fetched, folder, mode="overwrite", ids=todo, **rawdoc_options)
-        naming = {k: v for k, v in rawdoc_options.items() if k in ("file_prefix", "file_suffix")}
-        written = read_rawdocs(session, folder, **naming).select(
-            F.substring("id", 5, 32).cast("long").alias("id"), "html"
-        )
-        insert_patches(root, page_patches(written, as_of), number, run)
+        if rawdoc_options.get("on_separator") == "strip":
+            fetched = fetched.withColumn("html", without_separators(F.col("html")))
+        fetched = fetched.persist()  # its HTML is moved once, for the records and the patches
+        try:
+            folder = f"{path}/run={run}/batch={number}"
+            write_rawdocs(fetched, folder, mode="overwrite", ids=todo, **rawdoc_options)
+            insert_patches(root, page_patches(fetched, as_of), number, run)
+        finally:
+            fetched.unpersist()
+            todo.unpersist()
 
     return _start(rows, store, checkpoint, trigger)
