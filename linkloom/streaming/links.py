@@ -11,17 +11,31 @@ from pyspark.sql import DataFrame
 from linkloom.operators.links import extract_links, filter_crawlable
 
 
-def _distinct_per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: URLs that a task remembers: as many of the latest, and as many of those before them.
+_HELD = 100_000
+
+
+def _distinct_per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    recent: set[str] = set()
+    older: set[str] = set()
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([pc.unique(batch.column(0))], names=["url"])
+        fresh = []
+        for url in pc.unique(batch.column(0)).to_pylist():
+            if url not in recent:
+                recent.add(url)  # one that comes again stays among the recent ones
+                if url not in older:
+                    fresh.append(url)
+                if len(recent) >= _HELD:
+                    recent, older = set(), recent
+        yield pa.RecordBatch.from_arrays([pa.array(fresh, pa.string())], names=["url"])
 
 
 def stream_links(pages: DataFrame, base: str = "strict") -> DataFrame:
     """Streaming ``url``: crawlable links of the pages, deduped against all earlier ones.
 
     The state never expires, as nothing may be crawled twice; use the RocksDB state store for
-    large ones.  ``dropDuplicates`` itself has no map-side step, so repeats are first dropped
-    inside each Arrow batch: a URL that most pages carry does not flood one state partition.
+    large ones.  ``dropDuplicates`` itself has no map-side step, so repeats of what a task has sent
+    lately are dropped first: a URL that most pages carry does not flood one state partition.
     """
     links = filter_crawlable(extract_links(pages, base)).select("url")
-    return links.mapInArrow(_distinct_per_batch, "url string").dropDuplicates(["url"])
+    return links.mapInArrow(_distinct_per_task, "url string").dropDuplicates(["url"])

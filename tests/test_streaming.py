@@ -133,3 +133,14 @@ def test_storing_stops_between_batches_and_goes_on_later(spark, tmp_path):
     done, stored = run(stop)
     assert not done and 0 < stored < 9
     assert run(lambda: False) == (True, 9)
+
+
+def test_a_task_remembers_a_bounded_number_of_links(monkeypatch):
+    import pyarrow as pa
+
+    from linkloom.streaming import links
+
+    monkeypatch.setattr(links, "_HELD", 3)
+    batches = [["hot", "a", "hot"], ["hot", "b", "c"], ["hot", "d", "e", "f"], ["hot", "a"]]
+    sent = [b.column(0).to_pylist() for b in links._distinct_per_task(pa.RecordBatch.from_arrays([pa.array(x)], ["url"]) for x in batches)]
+    assert sent == [["hot", "a"], ["b", "c"], ["d", "e", "f"], ["a"]]
