@@ -22,7 +22,7 @@ LENGTH = 400
 GRAM, WINDOW = 32, 200
 KEY = LENGTH - WINDOW + 1
 #: Anchors of one bucket, on average, and surroundings of one key that one task sorts.
-BUCKET_ANCHORS = 1 << 20
+BUCKET_ANCHORS = 1 << 18
 KEY_CONTEXTS = 1 << 13
 _BASE = 0xA24BAED4963EE407
 
@@ -367,11 +367,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     buckets = int(size * 2 // (WINDOW + 1) // BUCKET_ANCHORS) + 1
     own = texts.select("id", "tag", "text")
     dealt = own.mapInArrow(_deal(buckets), "bucket int, packed binary")
-    met = written(dealt.repartition(buckets, "bucket").mapInArrow(_meet, _SHOWN), "anchors")
+    # A bucket is a partition, so that none gets several while others get none.
+    placed = dealt.repartitionById(buckets, F.pmod("bucket", F.lit(buckets)))
+    met = written(placed.mapInArrow(_meet, _SHOWN), "anchors")
 
     anchor = F.struct("key", "at", "before", "after", "many", "hot")
     open_ = F.col("key").isNotNull()
-    involved = met.groupBy("id", "tag").agg(F.collect_list(F.when(open_, anchor)).alias("anchors"))
+    involved = met.groupBy("id", "tag").agg(F.collect_set(F.when(open_, anchor)).alias("anchors"))
     packed = own.mapInArrow(_compressed, "id long, tag int, packed binary")
     # Rows that agree in id and text are one here; each gets what is found.
     involved = written(packed.join(involved, ["id", "tag"]), "involved")
