@@ -21,7 +21,7 @@ SIMILAR = (4, 5)
 #: fixed size for any input: tokens share a cell when there are more, which costs some speed.
 RARITY_BITS = 16
 #: Tokens of prefixes that one task joins.
-TASK_TOKENS = 1 << 20
+TASK_TOKENS = 1 << 18
 #: Lines of one token that are compared in one go.  A token counted more often is cut into blocks.
 BLOCK_LINES = 1 << 14
 
@@ -352,7 +352,7 @@ def repeated_lines(docs: DataFrame, words: int = WORDS) -> DataFrame:
     firsts = written(firsts, "line-sets")
 
     packed = texts.select("text").mapInArrow(_postings(rarity, words, tasks), "task int, postings binary")
-    members = packed.repartition(tasks, "task").mapInArrow(_candidates, "group long, line_set long, size int, at int")
+    members = packed.repartitionById(tasks, F.col("task")).mapInArrow(_candidates, "group long, line_set long, size int, at int")
     members = written(members.join(firsts, "line_set"), "line-groups")
 
     # Whole sets of the candidates, from the documents that hold them first.
