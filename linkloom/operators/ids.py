@@ -21,15 +21,18 @@ class Numbered:
     count: int
 
 
-def write_in_order(df: DataFrame, order_by: list[str | Column], path: str) -> DataFrame:
+def write_in_order(
+    df: DataFrame, order_by: list[str | Column], path: str, ranges: tuple[int, Column] | None = None
+) -> DataFrame:
     """Write ``df`` range-partitioned and sorted, with ``_part`` and ``_row``, and read it back.
 
     The pair is stored rather than recomputed: range bounds are sampled anew in every run, so
-    only written rows keep their place when an executor is lost.
+    only written rows keep their place when an executor is lost.  ``ranges`` names a number of
+    partitions and each row's, in order, where the caller knows them; it saves the sampling.
     """
+    placed = df.repartitionByRange(*order_by) if ranges is None else df.repartitionById(*ranges)
     ordered = (
-        df.repartitionByRange(*order_by)
-        .sortWithinPartitions(*order_by)
+        placed.sortWithinPartitions(*order_by)
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS)))
     )

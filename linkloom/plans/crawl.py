@@ -27,6 +27,7 @@ from linkloom.sources.catalog import catalog_rows, create_catalog, insert_rows
 
 _MAX_BUCKETS = 100_000
 _PAGES_PER_BUCKET = 5_000  # whose links are about ten megabytes
+_PARENTS_PER_TASK = 20_000  # whose new links one task sorts
 _LEVEL = "url string, parent_id long, pos long, _part int, _row long, depth int"
 
 
@@ -192,7 +193,8 @@ class _Crawl:
     def _add_level(self, rows: DataFrame) -> None:
         """Number and write a level; its size is counted in what was written."""
         depth, given = self.depth + 1, sum(self.levels)
-        placed = write_in_order(rows, ["parent_id", "pos"], f"{self.path}/levels/depth={depth}")
+        path = f"{self.path}/levels/depth={depth}"
+        placed = write_in_order(rows, ["parent_id", "pos"], path, self._parent_ranges() if depth else None)
         numbered = number_written(placed, self.before + given)
         size = numbered.count if self.quantity is None else min(numbered.count, self.quantity - given)
         self.levels.append(size)
@@ -202,6 +204,14 @@ class _Crawl:
             rows = link_rows(self.current, self.as_of)
             insert_rows(self.spark, self.catalog_root, rows, depth, self.run)
 
+    def _parent_ranges(self) -> tuple[int, Column]:
+        """Equal ranges of the parents' ids, which are those of the level before and dense."""
+        parents = max(1, self.levels[-1])
+        first = self.before + sum(self.levels) - self.levels[-1] + 1
+        parts = -(-parents // _PARENTS_PER_TASK)
+        part = F.expr(f"cast((parent_id - {first}L) * {parts}L div {parents}L as int)")
+        return parts, part
+
     def _limited(self, rows: DataFrame) -> DataFrame:
         return rows if self.last is None else limit_crawl(rows, self.last)
 
