@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,16 @@ BLOCK_LINES = 1 << 14
 _BASE = 0x9E3779B97F4A7C15
 
 
+class Cut(NamedTuple):
+    """How texts are cut into lines and lines into tokens of ``words`` following words."""
+
+    words: int = WORDS
+    #: Whether a line of fewer words is one token; otherwise it holds none.
+    short: bool = False
+    #: Whether a text is one line, and A-Z in it count as lower case.
+    whole: bool = False
+
+
 class _Lines:
     """The lines of some texts as sets of hashed tokens, rarest token first.
 
@@ -35,12 +46,14 @@ class _Lines:
     the other with ``bounds`` between them.
     """
 
-    def __init__(self, texts: pa.Array, width: int, powers: Powers, rank: np.ndarray | None = None):
+    def __init__(self, texts: pa.Array, cut: Cut, powers: Powers, rank: np.ndarray | None = None):
         data, bounds = flat_bytes(texts)
+        if cut.whole:
+            data = data | ((data - np.uint8(65) < 26) << 5).astype(np.uint8)
         n = len(data)
         starts, stops = word_ranges(data, bounds)
         # A line ends at each break and at each end of a text.
-        breaks = np.flatnonzero(data == 10)
+        breaks = np.flatnonzero((data == 10) & (not cut.whole))
         doc_of_break = np.searchsorted(bounds, breaks, side="right") - 1
         per_doc = np.bincount(doc_of_break, minlength=len(texts)) + 1
         self.doc = np.repeat(np.arange(len(texts)), per_doc)
@@ -52,7 +65,7 @@ class _Lines:
         up, down = powers.upto(n)
         sums = running((data.astype(np.uint64) + np.uint64(1)) * up)
         word = mixed((sums[stops] - sums[starts]) * down[starts])
-        token, token_line = self._shingles(word, line, width)
+        token, token_line = self._shingles(word, line, cut)
         if rank is None:
             self.tokens = token
             return
@@ -69,7 +82,7 @@ class _Lines:
         """By line, rank of the token's cell, token: in one sort where a 64-bit key tells all apart."""
         cell = rank[token >> np.uint64(64 - RARITY_BITS)]
         rest = 64 - 20 - RARITY_BITS
-        if not len(line) or line[-1] < 1 << 20:
+        if line.max(initial=0) < 1 << 20:
             low = token & np.uint64((1 << rest) - 1)
             key = line.astype(np.uint64) << np.uint64(44) | cell << np.uint64(rest) | low
             order = np.argsort(key)
@@ -79,16 +92,24 @@ class _Lines:
         return np.lexsort((token & np.uint64((1 << 63) - 1), token & np.uint64((1 << rest) - 1), cell, line))
 
     @staticmethod
-    def _shingles(word: np.ndarray, line: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of ``width`` following words of a line."""
-        m = len(word) - width + 1
-        if m <= 0:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    def _shingles(word: np.ndarray, line: np.ndarray, cut: Cut) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of ``cut.words`` following words of a line, and of shorter lines if they count."""
+        width = cut.words
+        m = max(0, len(word) - width + 1)
         whole = np.flatnonzero(line[:m] == line[width - 1 :])
         token = np.zeros(len(whole), np.uint64)
         for k in range(width):
             token = token * np.uint64(_BASE) + word[whole + k]
-        return mixed(token), line[whole]
+        if not cut.short:
+            return mixed(token), line[whole]
+        first = np.flatnonzero(np.diff(line, prepend=-1))
+        n = np.diff(first, append=len(line))
+        first, n = first[n < width], n[n < width]
+        all_of_it = n.astype(np.uint64)
+        for k in range(width - 1):
+            longer = n > k
+            all_of_it[longer] = all_of_it[longer] * np.uint64(_BASE) + word[first[longer] + k]
+        return mixed(np.concatenate((token, all_of_it))), line[np.concatenate((whole, first))]
 
     def set_hashes(self) -> np.ndarray:
         """One 64-bit value for each line's set: equal for equal sets in any order."""
@@ -102,7 +123,7 @@ def _needed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return -((x + y) * top // -(top + low))
 
 
-def _rarity_cells(docs: DataFrame, width: int) -> np.ndarray:
+def _rarity_cells(docs: DataFrame, cut: Cut) -> np.ndarray:
     """How many tokens of all lines fall in each cell; ``2**RARITY_BITS`` counts at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +131,7 @@ def _rarity_cells(docs: DataFrame, width: int) -> np.ndarray:
         powers = Powers(_BASE)
         for batch in batches:
             for piece in small_pieces(batch, "text"):
-                tokens = _Lines(piece.column(0), width, powers).tokens
+                tokens = _Lines(piece.column(0), cut, powers).tokens
                 counts += np.bincount((tokens >> np.uint64(64 - RARITY_BITS)).astype(np.int64), minlength=len(counts))
         cells = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts[cells])], ["cell", "n"])
@@ -133,7 +154,7 @@ def _ranks(rarity: np.ndarray) -> np.ndarray:
 _POSTING = {"token": "<u8", "set": "<i8", "size": "<i4", "place": "<i4", "meet": "<i8"}
 
 
-def _postings(rarity: np.ndarray, width: int, tasks: int):
+def _postings(rarity: np.ndarray, cut: Cut, tasks: int):
     """A packed row for each task and batch: the prefix tokens of the distinct sets of the batch."""
     top, low = SIMILAR
     rank = _ranks(rarity)
@@ -143,7 +164,7 @@ def _postings(rarity: np.ndarray, width: int, tasks: int):
         for batch in batches:
             made, seen = {name: [] for name in _POSTING}, np.zeros(0, np.int64)
             for piece in small_pieces(batch, "text"):
-                lines = _Lines(piece.column(0), width, powers, rank)
+                lines = _Lines(piece.column(0), cut, powers, rank)
                 size = np.diff(lines.bounds)
                 sets, place = np.unique(lines.set_hashes(), return_index=True)
                 fresh = (size[place] > 0) & ~np.isin(sets, seen)
@@ -248,16 +269,16 @@ def _reachable(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> np
     return 1 + np.minimum(x - i - 1, y - j - 1) >= _needed(x, y)
 
 
-def _line_sets(rank: np.ndarray, width: int):
-    """A row for each line that holds tokens."""
+def _line_sets(rank: np.ndarray, cut: Cut):
+    """A row for each line that holds tokens, or for each text that is one line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers(_BASE)
         for batch in batches:
             for piece in small_pieces(batch, "text"):
-                lines = _Lines(piece.column(2), width, powers, rank)
+                lines = _Lines(piece.column(2), cut, powers, rank)
                 sets = lines.set_hashes()
-                used = np.flatnonzero(np.diff(lines.bounds) > 0)
+                used = np.flatnonzero((np.diff(lines.bounds) > 0) | cut.whole)
                 doc = pa.array(lines.doc[used])
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -282,7 +303,7 @@ def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _tokens_of(rank: np.ndarray, width: int):
+def _tokens_of(rank: np.ndarray, cut: Cut):
     """The tokens of chosen lines, packed; the second column has the lines' numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +312,7 @@ def _tokens_of(rank: np.ndarray, width: int):
             texts = pa.array([plain(t).decode() for t in batch.column(0).to_pylist()], pa.string())
             batch = pa.RecordBatch.from_arrays([texts, batch.column(1)], ["text", "wanted"])
             for piece in small_pieces(batch, "text"):
-                lines = _Lines(piece.column(0), width, powers, rank)
+                lines = _Lines(piece.column(0), cut, powers, rank)
                 first = np.searchsorted(lines.doc, np.arange(piece.num_rows))
                 numbers = piece.column(1)
                 text = np.repeat(np.arange(piece.num_rows), pc.list_value_length(numbers).to_numpy())
@@ -316,7 +337,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(2).take(keep), batch.column(3).take(keep)], ["a", "b"])
 
 
-def _may_match(x: str, y: str) -> str:
+def may_match(x: str, y: str) -> str:
     """SQL: the length and positional filters on the members ``x`` and ``y`` of a group."""
     top, low = SIMILAR
     return (
@@ -325,33 +346,49 @@ def _may_match(x: str, y: str) -> str:
     )
 
 
-def repeated_lines(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """Lines that repeat an earlier one: ``doc_id, text_key, line_no, match_doc_id, match_line_no``.
+class SetGroups(NamedTuple):
+    """The lines of a table as sets of tokens, and groups in which similar sets meet."""
 
-    A line is what stands between line breaks; its tokens are the distinct sequences of ``words``
-    following words (cut at ASCII blanks, case kept).  Lines of fewer words hold no token and are
-    never copies.  A line goes if an earlier line, by (``doc_id``, text, line number), has the same
-    tokens or a Jaccard similarity of 0.8 or more to it, whether or not that line stays.  The
-    match is one such line, the first with the same tokens unless only others are similar.
+    #: ``doc_id, text_key, line_no, line_set`` for each line.
+    lines: DataFrame
+    #: ``line_set, place, n``: the first place and the number of each distinct set.
+    firsts: DataFrame
+    #: ``group, line_set, size, at, place, n``: two similar sets meet in a group at least.
+    members: DataFrame
+    #: ``line_set, tokens`` of the members.
+    tokens: DataFrame
 
-    Lines with equal token sets are one node.  Nodes meet at the rarest tokens of their sets
-    (prefix filter) and pass the length and positional filters.  Each member of a group is first
-    verified on whole sets against two of it, the earliest and the most frequent; only those that
-    match neither are compared with all earlier members, so that copies make no pairs.
-    ``text_key`` is the hash of the text: rows that agree in id and text are one document, and
-    what is said of it holds for each.  Null ids come before others; null texts have no lines.
-    """
+    def tried(self) -> DataFrame:
+        """``a, b``: each member with an earlier one, the earliest or the most frequent of its group."""
+        member = F.struct("line_set", "size", "at", "place")
+        hubs = self.members.groupBy("group").agg(
+            F.min_by(member, "place").alias("first"), F.max_by(member, F.struct("n", "line_set")).alias("frequent")
+        )
+        hubs = hubs.select("group", F.explode(F.array("first", "frequent")).alias("y"))
+        pairs = self.members.alias("x").join(hubs, "group").filter("y.place < x.place and " + may_match("x", "y"))
+        return pairs.select(F.col("x.line_set").alias("a"), F.col("y.line_set").alias("b"))
+
+    def similar(self, pairs: DataFrame) -> DataFrame:
+        """The ``pairs`` (``a, b``) whose whole sets are similar, each once."""
+        sets_a = self.tokens.select(F.col("line_set").alias("a"), F.col("tokens").alias("x"))
+        sets_b = self.tokens.select(F.col("line_set").alias("b"), F.col("tokens").alias("y"))
+        whole = pairs.select("a", "b").distinct().join(sets_a, "a").join(sets_b, "b").select("x", "y", "a", "b")
+        return whole.mapInArrow(_verified, "a long, b long")
+
+
+def set_groups(docs: DataFrame, cut: Cut) -> SetGroups:
+    """Sets of the lines of ``docs`` (``doc_id``, ``text``), by the prefix, length and positional filters."""
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("string"))
-    rarity = _rarity_cells(texts, words)
+    rarity = _rarity_cells(texts, cut)
     rank = _ranks(rarity)
     tasks = max(1, int(rarity.sum()) // 4 // TASK_TOKENS + 1)
-    lines = texts.mapInArrow(_line_sets(rank, words), "doc_id long, text_key long, line_no int, line_set long")
+    lines = texts.mapInArrow(_line_sets(rank, cut), "doc_id long, text_key long, line_no int, line_set long")
     lines = written(lines, "lines")
     place = F.struct("doc_id", "text_key", "line_no")
     firsts = lines.groupBy("line_set").agg(F.min(place).alias("place"), F.count("*").alias("n"))
     firsts = written(firsts, "line-sets")
 
-    packed = texts.select("text").mapInArrow(_postings(rarity, words, tasks), "task int, postings binary")
+    packed = texts.select("text").mapInArrow(_postings(rarity, cut, tasks), "task int, postings binary")
     members = packed.repartitionById(tasks, F.col("task")).mapInArrow(_candidates, "group long, line_set long, size int, at int")
     members = written(members.join(firsts, "line_set"), "line-groups")
 
@@ -363,33 +400,43 @@ def repeated_lines(docs: DataFrame, words: int = WORDS) -> DataFrame:
         wanted.alias("w"),
         F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.text_key") == F.col("w.text_key")),
     )
-    tokens = holders.select("packed", "wanted").mapInArrow(_tokens_of(rank, words), "line_set long, tokens binary")
+    tokens = holders.select("packed", "wanted").mapInArrow(_tokens_of(rank, cut), "line_set long, tokens binary")
     # Rows that agree in id and text hold the same.
     tokens = written(tokens.groupBy("line_set").agg(F.first("tokens").alias("tokens")), "line-tokens")
+    return SetGroups(lines, firsts, members, tokens)
+
+
+def repeated_lines(docs: DataFrame, words: int = WORDS, short: bool = False) -> DataFrame:
+    """Lines that repeat an earlier one: ``doc_id, text_key, line_no, match_doc_id, match_line_no``.
+
+    A line is what stands between line breaks; its tokens are the distinct sequences of ``words``
+    following words (cut at ASCII blanks, case kept).  A line of fewer words is one token with
+    ``short``; without, it holds none and is never a copy.  Nor is a blank line.  A line goes if an
+    earlier line, by (``doc_id``, text, line number), has the same tokens or a Jaccard similarity
+    of 0.8 or more to it, whether or not that line stays.  The match is one such line, the first
+    with the same tokens unless only others are similar.
+
+    Lines with equal token sets are one node.  Nodes meet at the rarest tokens of their sets
+    (prefix filter) and pass the length and positional filters.  Each member of a group is first
+    verified on whole sets against two of it, the earliest and the most frequent; only those that
+    match neither are compared with all earlier members, so that copies make no pairs.
+    ``text_key`` is the hash of the text: rows that agree in id and text are one document, and
+    what is said of it holds for each.  Null ids come before others; null texts have no lines.
+    """
+    sets = set_groups(docs, Cut(words, short))
+    lines, firsts, members = sets.lines, sets.firsts, sets.members
 
     def matches(pairs: DataFrame) -> DataFrame:
         """Of pairs of a set and an earlier one: sets with the place of the first similar one."""
-        sets_a = tokens.select(F.col("line_set").alias("a"), F.col("tokens").alias("x"))
-        sets_b = tokens.select(F.col("line_set").alias("b"), F.col("tokens").alias("y"))
-        whole = pairs.select("a", "b").distinct().join(sets_a, "a").join(sets_b, "b").select("x", "y", "a", "b")
         other = firsts.select(F.col("line_set").alias("b"), F.col("place").alias("other"))
-        similar = whole.mapInArrow(_verified, "a long, b long").join(other, "b")
-        return similar.groupBy(F.col("a").alias("line_set")).agg(F.min("other").alias("other"))
-
-    member = F.struct("line_set", "size", "at", "place")
-    hubs = members.groupBy("group").agg(
-        F.min_by(member, "place").alias("first"), F.max_by(member, F.struct("n", "line_set")).alias("frequent")
-    )
-    hubs = hubs.select("group", F.explode(F.array("first", "frequent")).alias("y"))
-    sides = [F.col("x.line_set").alias("a"), F.col("y.line_set").alias("b")]
-    tried = members.alias("x").join(hubs, "group").filter("y.place < x.place and " + _may_match("x", "y")).select(*sides)
-    found = written(matches(tried), "line-matches")
+        return sets.similar(pairs).join(other, "b").groupBy(F.col("a").alias("line_set")).agg(F.min("other").alias("other"))
 
+    found = written(matches(sets.tried()), "line-matches")
     rest = members.join(found, "line_set", "left_anti")
-    others = rest.alias("x").join(members.alias("y"), "group")
-    others = others.filter("y.place < x.place and " + _may_match("x", "y")).select(*sides)
-    found = found.union(matches(others))
+    others = rest.alias("x").join(members.alias("y"), "group").filter("y.place < x.place and " + may_match("x", "y"))
+    found = found.union(matches(others.select(F.col("x.line_set").alias("a"), F.col("y.line_set").alias("b"))))
 
+    place = F.struct("doc_id", "text_key", "line_no")
     first = firsts.join(found, "line_set", "left").select("line_set", "place", F.coalesce("other", "place").alias("match"))
     same = F.col("place") < place
     match = F.when(same, F.col("place")).otherwise(F.col("match"))
@@ -398,13 +445,13 @@ def repeated_lines(docs: DataFrame, words: int = WORDS) -> DataFrame:
     )
 
 
-def drop_repeated_lines(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, words: int = WORDS, short: bool = False) -> DataFrame:
     """``docs`` with the lines of :func:`repeated_lines` cut from ``text``; ``n_chars`` follows.
 
     All columns and rows stay but those of texts that lose every line.  A text without a repeated
     line, also null or empty, stays as it is.
     """
-    gone = repeated_lines(docs, words).groupBy("doc_id", "text_key").agg(F.collect_list("line_no").alias("gone"))
+    gone = repeated_lines(docs, words, short).groupBy("doc_id", "text_key").agg(F.collect_list("line_no").alias("gone"))
     d, g = docs.alias("d"), gone.alias("g")
     key = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.xxhash64("d.text") == F.col("g.text_key"))
     kept = F.filter(F.split("d.text", "\n"), lambda line, i: ~F.array_contains(F.col("g.gone"), i))
