@@ -71,3 +71,25 @@ def test_groups_that_the_first_links_leave_apart_are_compared(spark):
         frame = spark.createDataFrame(rows, "doc_id long, text string")
         got = {r.doc_id: r.component_id for r in neardup.similar_documents(frame).collect()}
         assert got == _components(rows) == {0: 0, 1: 0, 2: 0}
+
+
+def test_short_lines_are_copies_of_equal_ones(spark):
+    """Lines of one to four words are one token; blank ones hold none."""
+    texts = ["Home\nAbout us\n\nHome\none two three four five six", "Home \n about us\n\nAbout  us", "one two three four\n \nfour three two one"]
+    texts += ["one two three four five six\none two three four\none two three\nHome five"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen, want, left = defaultdict(list), set(), {}
+    for doc, text in enumerate(texts):
+        held = []
+        for number, line in enumerate(text.split("\n")):
+            words = tuple(line.split())
+            if words and seen[words]:
+                want.add((doc, number))
+            else:
+                held.append(line)
+            seen[words].append((doc, number))
+        left[doc] = "\n".join(held)
+    got = lines.repeated_lines(frame, short=True).collect()
+    assert {(r.doc_id, r.line_no) for r in got} == want and len(got) == len(want) == 5
+    stayed = corpus_pipeline.line_dedup(spark, frame, "")
+    assert {r.doc_id: r.text for r in stayed.collect()} == left
