@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import covertree, lines, mixing, packing, quality, repeats, secrets, simhash, topk, toxicity
+from linkloom.llm import covertree, interactions, lines, mixing, packing, quality, repeats, secrets, simhash, topk, toxicity
 
 #: Shares and epochs of ``op1_mixing``.
 _SHARE, _EPOCHS, _SEED = (9, 10), 3, 42
@@ -77,10 +77,16 @@ def op10_cover_tree(spark: SparkSession, sf: str) -> DataFrame:
     return covertree.near_vectors(spark.read.parquet(f"{sf}/embeddings.parquet"))
 
 
+def op11_interactions(spark: SparkSession, sf: str) -> DataFrame:
+    """Five filters in all orders, by source."""
+    docs, labels = _documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
+    return interactions.audit(docs, labels, interactions.text_failures(F.col("text")), repeats="E")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_mixing, op2_quality, op3_packing, op4_simhash, op5_secrets, op6_toxicity, op7_repeats, op8_line_dedup,
-        op9_topk, op10_cover_tree,
+        op9_topk, op10_cover_tree, op11_interactions,
     )
     return {f.__name__: f for f in named}
 
@@ -244,6 +250,40 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = compone
 FROM component LEFT JOIN counted USING (vec_id)"""
 
 
+_AUDIT = """
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), said AS (
+  SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic
+  FROM labels GROUP BY doc_id
+), judged AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         concat(CASE WHEN len(w) < 50 THEN 'A' END, CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' END,
+                CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 'C' END,
+                CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END,
+                CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' END) AS fails
+  FROM d LEFT JOIN said USING (doc_id)
+), letter AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS o FROM letter a, letter b, letter c, letter d, letter e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), gone AS (
+  SELECT judged.*, o, list_min(list_transform(string_split(fails, ''), lambda f: instr(o, f))) AS place
+  FROM judged, orders
+), stepped AS (
+  SELECT part, o, step, substr(o, step, 1) AS own, good, toxic, fails,
+         CASE WHEN fails = '' THEN 9 ELSE place END AS place FROM gone, range(1, 6) AS r(step)
+), counted AS (
+  SELECT part, o AS filter_order, step::INTEGER AS step, own, count(*) FILTER (place > step) AS kept,
+         count(*) FILTER (place = step) AS removed, count(*) FILTER (contains(fails, own) AND place < step) AS redundant,
+         count(*) FILTER (fails = own) AS unique_fails, count(*) FILTER (place = step AND good) AS good_lost,
+         count(*) FILTER (place = step AND toxic) AS toxic_lost FROM stepped GROUP BY ALL
+)
+SELECT * EXCLUDE (own), (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM counted"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL where SQL can express the query; brute-force tests hold the others."""
     return {
@@ -252,4 +292,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_line_dedup": _LINES,
         "op9_topk": _TOPK,
         "op10_cover_tree": _COSINE,
+        "op11_interactions": _AUDIT,
     }
