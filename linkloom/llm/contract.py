@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import covertree, interactions, lines, mixing, packing, quality, repeats, secrets, simhash, topk, toxicity
+from linkloom.llm import alignment, covertree, interactions, lines, mixing, packing, quality, repeats, secrets, simhash, topk, toxicity
 
 #: Shares and epochs of ``op1_mixing``.
 _SHARE, _EPOCHS, _SEED = (9, 10), 3, 42
@@ -83,10 +83,14 @@ def op11_interactions(spark: SparkSession, sf: str) -> DataFrame:
     return interactions.audit(docs, labels, interactions.text_failures(F.col("text")), repeats="E")
 
 
+def op12_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    return alignment.alignment(_documents(spark, sf))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_mixing, op2_quality, op3_packing, op4_simhash, op5_secrets, op6_toxicity, op7_repeats, op8_line_dedup,
-        op9_topk, op10_cover_tree, op11_interactions,
+        op9_topk, op10_cover_tree, op11_interactions, op12_alignment,
     )
     return {f.__name__: f for f in named}
 
