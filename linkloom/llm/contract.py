@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import alignment, covertree, interactions, lines, mixing, packing, quality, repeats, secrets, simhash, topk, toxicity
+from linkloom.llm import alignment, covertree, interactions, lines, mixing, mixture, packing, quality, repeats, secrets, simhash, topk, toxicity
 
 #: Shares and epochs of ``op1_mixing``.
 _SHARE, _EPOCHS, _SEED = (9, 10), 3, 42
@@ -87,10 +87,17 @@ def op12_alignment(spark: SparkSession, sf: str) -> DataFrame:
     return alignment.alignment(_documents(spark, sf))
 
 
+def op13_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    """Nine tenths of the documents, by hash of the id, are learned from; all are scored."""
+    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(10)) == 0
+    scored = mixture.score(_documents(spark, sf), ~held_out)
+    return scored.withColumn("held_out", ~F.col("learned")).drop("learned")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_mixing, op2_quality, op3_packing, op4_simhash, op5_secrets, op6_toxicity, op7_repeats, op8_line_dedup,
-        op9_topk, op10_cover_tree, op11_interactions, op12_alignment,
+        op9_topk, op10_cover_tree, op11_interactions, op12_alignment, op13_mixture,
     )
     return {f.__name__: f for f in named}
 
