@@ -343,29 +343,30 @@ def crawl_limit(spark, sf):
 _EVEN = "http://c.example/2"
 
 
-def _two_crawls(spark, sf, root: str):
-    """A bounded crawl and one that goes on after it in the same catalogue."""
-    pages = _graph_pages(spark, sf)
-    first = crawl(spark, ["http://c.example/1"], pages, quantity=100, catalog_root=root, as_of=_CREATED)
-    seen = first.frontier.select("url")
-    seeds = [_EVEN, "http://c.example/999"]
-    return first, crawl(
-        spark, seeds, pages, quantity=50, catalog_root=root, as_of=_CREATED, start=sum(first.levels), seen=seen
-    )
-
-
 def crawl_resume(spark, sf):
-    root = work_dir(spark, "catalog")
-    _two_crawls(spark, sf, root)
+    """Some levels and, in the same catalogue, another crawl that goes on from other seeds to its end."""
+    root, pages = work_dir(spark, "catalog"), _graph_pages(spark, sf)
+    first = crawl(spark, ["http://c.example/1"], pages, max_depth=5, catalog_root=root, as_of=_CREATED)
+    seeds, seen = [_EVEN, "http://c.example/999"], first.frontier.select("url")
+    crawl(spark, seeds, pages, catalog_root=root, as_of=_CREATED, start=sum(first.levels), seen=seen)
     return store.read_catalog(spark, root).select("id", "url")
 
 
+def crawl_unfinished(spark, sf):
+    """A crawl stopped by its depth, then on request, and then finished: the rows and ids of one crawl."""
+    root, state, pages = work_dir(spark, "catalog"), work_dir(spark, "crawl-state"), _graph_pages(spark, sf)
+    for bound in ({"max_depth": 3}, {"max_depth": 8}, {"should_stop": lambda: True}, {}):
+        result = crawl(spark, ["http://c.example/1"], pages, state=state, catalog_root=root, as_of=_CREATED, **bound)
+    known = result.frontier.select("id", "depth", "parent_id")
+    return store.read_catalog(spark, root).select("id", "url").join(known, "id")
+
+
 def crawl_twice(spark, sf):
     """A second crawl that would give the same ids is refused; the catalogue stays as it was."""
     root, pages = work_dir(spark, "catalog"), _graph_pages(spark, sf)
-    crawl(spark, ["http://c.example/1"], pages, quantity=100, catalog_root=root, as_of=_CREATED)
+    crawl(spark, ["http://c.example/1"], pages, max_depth=6, catalog_root=root, as_of=_CREATED)
     try:
-        crawl(spark, [_EVEN], pages, quantity=10, catalog_root=root, as_of=_CREATED)
+        crawl(spark, [_EVEN], pages, catalog_root=root, as_of=_CREATED)
     except ValueError as refused:
         assert "already present" in str(refused)
     return store.read_catalog(spark, root).select("id", "url")
@@ -474,7 +475,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         read_catalog, catalog_view, catalog_get, catalog_page, catalog_count, catalog_patch,
         catalog_delete, deleted_count, catalog_insert, crawl_progress, pending_docs, crawl_graph,
         crawl_limit, encode_records, encode_low_byte, rawdocs_roundtrip, deep_page, patch_writers,
-        delete_rows, crawl_resume, crawl_twice, record_twice, store_twice, rawdocs_batches,
+        delete_rows, crawl_resume, crawl_unfinished, crawl_twice, record_twice, store_twice, rawdocs_batches,
     ]
     named = {f.__name__: f for f in plain}
     named["stream_links"] = stream_links_query
@@ -576,7 +577,7 @@ _ONE = "SELECT 'http://c.example/1' AS url, 0 AS pos"
 _GRAPH = "RECURSIVE " + _EDGES + "," + _walk_sql("numbered", _ONE)
 _RESUMED = (
     _GRAPH
-    + ", first AS (SELECT id, url FROM numbered WHERE id <= 100),"
+    + ", first AS (SELECT id, url FROM numbered WHERE depth <= 5),"
     + _walk_sql(
         "later",
         "SELECT * FROM (VALUES ('http://c.example/2', 0), ('http://c.example/999', 1)) s(url, pos) "
@@ -660,9 +661,12 @@ WHERE NOT d.stored""",
 WITH {_GRAPH} SELECT c.id, c.url, c.depth, p.id AS parent_id
 FROM numbered c LEFT JOIN numbered p ON c.parent = p.url""",
         "crawl_limit": f"WITH {_GRAPH} SELECT id, url, depth FROM numbered WHERE id <= 100",
-        "crawl_twice": f"WITH {_GRAPH} SELECT id, url FROM numbered WHERE id <= 100",
+        "crawl_twice": f"WITH {_GRAPH} SELECT id, url FROM numbered WHERE depth <= 6",
+        "crawl_unfinished": f"""
+WITH {_GRAPH} SELECT c.id, c.url, c.depth, p.id AS parent_id
+FROM numbered c LEFT JOIN numbered p ON c.parent = p.url""",
         "crawl_resume": f"""
-WITH {_RESUMED} SELECT id, url FROM first UNION ALL SELECT id + (SELECT count(*) FROM first), url FROM later WHERE id <= 50""",
+WITH {_RESUMED} SELECT id, url FROM first UNION ALL SELECT id + (SELECT count(*) FROM first), url FROM later""",
         "encode_records": _record_sql("encode(octet_length(encode(html))::VARCHAR)"),
         "encode_low_byte": _record_sql("from_hex(printf('%02X', octet_length(encode(html)) % 256))"),
         "rawdocs_roundtrip": """

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -41,3 +43,48 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder with all that is in it."""
     system, place = _place(spark, path)
     system.delete(place, True)
+
+
+def put_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file in one step, whole or not at all; False if there is one of that name.
+
+    The text is written beside it and moved there by an operation that never replaces, so of
+    several callers one succeeds, on local disks and on file systems whose rename is atomic.
+    """
+    system, place = _place(spark, path)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    system.mkdirs(place.getParent())
+    beside = hadoop.Path(place.getParent(), f"_{place.getName()}-{uuid.uuid4().hex}")
+    stream = system.create(beside, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    try:
+        if place.toUri().getScheme() in (None, "file") and system.getUri().getScheme() == "file":
+            os.link(beside.toUri().getPath(), place.toUri().getPath())
+        else:
+            rename = spark._jvm.java.lang.reflect.Array.newInstance(
+                spark._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 0
+            )
+            context = hadoop.FileContext.getFileContext(system.getUri(), spark._jsc.hadoopConfiguration())
+            context.rename(beside, place, rename)
+    except FileExistsError:
+        return False
+    except Py4JJavaError as error:
+        if "FileAlreadyExistsException" not in str(error.java_exception):
+            raise
+        return False
+    finally:
+        system.delete(beside, False)
+    return True
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file; None if there is none."""
+    system, place = _place(spark, path)
+    if not system.exists(place):
+        return None
+    stream = system.open(place)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()

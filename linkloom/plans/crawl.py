@@ -4,11 +4,15 @@ The HTML is read once: every page is reduced to its distinct crawlable links, wr
 by URL.  Each level then joins the small frontier to that table without moving it, keeps the
 first occurrence of each URL, and drops the seen ones by an anti-join against a table with the
 same buckets; neither is sorted.  All levels are written, so lineage stays short and a lost executor costs one stage.
+
+With ``state`` a crawl can be finished later.  A mark beside each level says that it is written
+and recorded whole; the last marked level is the frontier that is known but not expanded.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import json
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -16,9 +20,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkloom.files import folder_names, lasting_id, put_new, read_text, remove
 from linkloom.functions.urls import is_crawlable
 from linkloom.operators.catalog import link_rows
-from linkloom.operators.ids import number_written, write_in_order
+from linkloom.operators.ids import Numbered, number_written, with_ids, write_in_order
 from linkloom.operators.links import nonempty_pages, with_link_array
 from linkloom.operators.snapshot import answered, seed_frontier
 from linkloom.schemas import CrawlSpec
@@ -77,6 +82,7 @@ def crawl(
     buckets: int | None = None,
     start: int = 0,
     seen: DataFrame | None = None,
+    state: str | None = None,
 ) -> CrawlResult:
     """Expand from the seeds until a level brings nothing new.
 
@@ -86,25 +92,44 @@ def crawl(
     every level is recorded there as a batch of this crawl's run; ids that it would give but that
     are there already are an error before anything is written.  To go on in a catalogue, hand over
     its last id as ``start`` and what an earlier crawl has seen (``url``) as ``seen``: neither is
-    given out again.  Everything is written below ``path`` (by default a new folder in the shared
+    given out again; known URLs are not expanded.  Everything is written below ``path`` (by default a new folder in the shared
     scratch area).  ``buckets`` cuts the link and seen tables, by default as the pages are many.
+
+    ``state`` names a lasting folder instead.  A crawl that ended there early, for whatever reason, a crash
+    included, is taken up by the next call with it: levels written whole stay with their ids, an
+    unfinished one is done anew, and the last one is expanded.  Links come from the pages of the
+    first call, as do seeds, ``start`` and ``seen``; the limits of each call bound all levels
+    together.  However often it was stopped, the rows are those of one crawl.
     """
+    marks = _marks(spark, state) if state else {}
     if catalog_root is not None:
         create_catalog(spark, catalog_root)
-        last = catalog_rows(spark, catalog_root).agg(F.max("id")).first()[0]
+    if catalog_root is not None and "level-0" not in marks:
+        others = catalog_rows(spark, catalog_root)
+        if state:  # this crawl may have got as far as its first level
+            others = others.filter(~F.col("write").contains(f"-{lasting_id(spark, f'{state}/run')}-"))
+        last = others.agg(F.max("id")).first()[0]
         if last is not None and last > start:
             raise ValueError(f"the catalogue holds ids up to {last}, already present; start after them")
     if isinstance(seeds, CrawlSpec):
         quantity = seeds.crawl_quantity if quantity is None else quantity
         seeds = seeds.links
-    path = path or work_dir(spark, "crawl")
+    path = state or path or work_dir(spark, "crawl")
     database = f"linkloom_{uuid.uuid4().hex[:12]}"
-    spark.sql(f"CREATE DATABASE {database} LOCATION '{path}/tables'")
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{path}/tables-{database}'")
     try:
-        buckets = buckets or _buckets_for(pages)
-        run = _Crawl(spark, path, database, buckets, quantity, catalog_root, as_of, start)
-        run.start(seed_frontier(spark, seeds, dedup=seeds_seen, path=f"{path}/seeds"), seeds_seen, seen)
-        run.save_outlinks(outlinks(pages, base, unique_urls), unique_urls)
+        buckets = marks.get("outlinks", {}).get("buckets") or buckets or _buckets_for(pages)
+        start = marks.get("level-0", {}).get("start", start)
+        run = _Crawl(spark, path, database, buckets, quantity, catalog_root, as_of, start, state is not None)
+        if "level-0" in marks:
+            run.restore(marks)
+        else:
+            remove(spark, f"{path}/seeds")
+            run.start(seed_frontier(spark, seeds, dedup=seeds_seen, path=f"{path}/seeds"), seeds_seen, seen)
+        if "outlinks" in marks:
+            run.find_outlinks()
+        else:
+            run.save_outlinks(outlinks(pages, base, unique_urls), unique_urls)
         while not run.done and not should_stop() and (max_depth is None or run.depth < max_depth):
             run.next_level()
     finally:
@@ -112,6 +137,12 @@ def crawl(
     return CrawlResult(run.frontier(), run.levels)
 
 
+def _marks(spark: SparkSession, state: str) -> dict[str, dict]:
+    """What is done of a crawl, by name: the links, and each level."""
+    names = [n for n in folder_names(spark, f"{state}/marks") if not n.startswith(("_", "."))]
+    return {n: json.loads(read_text(spark, f"{state}/marks/{n}")) for n in names}
+
+
 def _buckets_for(pages: DataFrame) -> int:
     return max(1, min(_MAX_BUCKETS, -(-pages.count() // _PAGES_PER_BUCKET)))
 
@@ -119,11 +150,12 @@ def _buckets_for(pages: DataFrame) -> int:
 class _Crawl:
     """State of one crawl: paths and one number per written partition, no rows."""
 
-    def __init__(self, spark, path, database, buckets, quantity, catalog_root, as_of, start):
+    def __init__(self, spark, path, database, buckets, quantity, catalog_root, as_of, start, lasting):
         self.spark, self.path, self.buckets, self.quantity = spark, path, buckets, quantity
         self.links_table, self.seen_table = f"{database}.outlinks", f"{database}.seen"
         self.catalog_root, self.as_of = catalog_root, as_of
-        self.before, self.run = start, uuid.uuid4().hex[:12]
+        self.before, self.lasting = start, lasting
+        self.run = lasting_id(spark, f"{path}/run") if lasting else uuid.uuid4().hex[:12]
         self.last = None if quantity is None else start + quantity
         self.levels: list[int] = []
         self.offsets: list[tuple[int, int, int]] = []
@@ -138,27 +170,65 @@ class _Crawl:
         full = self.quantity is not None and sum(self.levels) >= self.quantity
         return full or self.levels[-1] == 0
 
-    def _append(self, df: DataFrame, table: str, *partition: str) -> None:
+    def _append(self, df: DataFrame, table: str, *partition: str, path: str | None = None) -> None:
         writer = df.write.mode("append").bucketBy(self.buckets, "url")
+        writer = writer.option("path", path) if path else writer
         (writer.partitionBy(*partition) if partition else writer).saveAsTable(table)
 
+    def _mark(self, name: str, **what) -> None:
+        if self.lasting:
+            put_new(self.spark, f"{self.path}/marks/{name}", json.dumps(what))
+
+    def _add_known(self, urls: DataFrame) -> None:
+        none = F.lit(None).cast("long")
+        earlier = urls.select("url", none.alias("parent_id"), none.alias("pos"), F.lit(-1).alias("depth"))
+        self._append(earlier, self.seen_table, "depth")
+
     def start(self, seeds: DataFrame, keep: bool, seen: DataFrame | None) -> None:
         none = F.lit(None)
         level = seeds.select("url", none.cast("long").alias("parent_id"), (F.col("id") - 1).alias("pos"))
         if seen is not None:
             known = seen.select("url").distinct()
+            if self.lasting:
+                known.write.mode("overwrite").parquet(f"{self.path}/known")
+                known = self.spark.read.schema("url string").parquet(f"{self.path}/known")
             level = level.join(known, "url", "left_anti")
-            earlier = known.select("url", none.cast("long").alias("parent_id"), none.cast("long").alias("pos"))
-            self._append(earlier.withColumn("depth", F.lit(-1)), self.seen_table, "depth")
+            self._add_known(known)
         self._append(
             level.filter(F.lit(keep)).withColumn("depth", F.lit(0)), self.seen_table, "depth"
         )
-        self._add_level(level)
+        self._add_level(level, start=self.before, keep=keep, known=seen is not None)
+
+    def restore(self, marks: dict[str, dict]) -> None:
+        """Take up the marked levels: their ids, and from their rows the seen table."""
+        if marks["level-0"]["known"]:
+            self._add_known(self.spark.read.schema("url string").parquet(f"{self.path}/known"))
+        depths = sum(name.startswith("level-") for name in marks)
+        rows = self.spark.read.schema(_LEVEL).parquet(f"{self.path}/levels").filter(F.col("depth") < depths)
+        seen = rows if marks["level-0"]["keep"] else rows.filter("depth > 0")
+        self._append(seen.select("url", "parent_id", "pos", "depth").repartition(self.buckets, "url"), self.seen_table, "depth")
+        for depth in range(depths):
+            path, mark = f"{self.path}/levels/depth={depth}", marks[f"level-{depth}"]
+            schema = ", ".join(c for c in _LEVEL.split(", ") if not c.startswith("depth"))
+            placed = self.spark.read.schema(schema).parquet(path)
+            self._take(depth, Numbered(with_ids(placed, mark["offsets"]), mark["offsets"], mark["count"]))
 
     def save_outlinks(self, links: DataFrame, unique_urls: bool) -> None:
         # After the per-URL aggregation rows already lie by URL; otherwise one shuffle puts them so.
         placed = links.repartition(self.buckets, "url") if unique_urls else links
-        self._append(placed, self.links_table)
+        if not self.lasting:
+            self._append(placed, self.links_table)
+            return
+        remove(self.spark, f"{self.path}/outlinks")
+        self._append(placed, self.links_table, path=f"{self.path}/outlinks")
+        self._mark("outlinks", buckets=self.buckets)
+
+    def find_outlinks(self) -> None:
+        """The links that an earlier call wrote, with their buckets."""
+        self.spark.sql(
+            f"CREATE TABLE {self.links_table} (url STRING, links ARRAY<STRING>) USING parquet "
+            f"CLUSTERED BY (url) INTO {self.buckets} BUCKETS LOCATION '{self.path}/outlinks'"
+        )
 
     def _found(self) -> DataFrame:
         """First occurrence of each URL that the current level links.
@@ -181,7 +251,7 @@ class _Crawl:
         # Used twice below; written, so that the links are read once.
         path = f"{self.path}/found/depth={depth}"
         found = self._found()
-        found.write.parquet(path)
+        found.write.mode("overwrite").parquet(path)
         first = self.spark.read.schema(found.schema).parquet(path)
         seen = self.spark.table(self.seen_table).select("url")
         known = seen.join(first.select("url").hint("shuffle_hash"), "url", "left_semi")
@@ -190,20 +260,34 @@ class _Crawl:
         level = self.spark.table(self.seen_table).filter(F.col("depth") == depth)
         self._add_level(level.select("url", "parent_id", "pos"))
 
-    def _add_level(self, rows: DataFrame) -> None:
+    def _add_level(self, rows: DataFrame, **more) -> None:
         """Number and write a level; its size is counted in what was written."""
-        depth, given = self.depth + 1, sum(self.levels)
+        depth = self.depth + 1
         path = f"{self.path}/levels/depth={depth}"
+        if self.lasting:
+            remove(self.spark, path)  # what a call that ended in the midst of it has left
         placed = write_in_order(rows, ["parent_id", "pos"], path, self._parent_ranges() if depth else None)
-        numbered = number_written(placed, self.before + given)
-        size = numbered.count if self.quantity is None else min(numbered.count, self.quantity - given)
+        numbered = number_written(placed, self.before + sum(self.levels))
+        self._take(depth, numbered)
+        self._mark(f"level-{depth}", offsets=numbered.offsets, count=numbered.count, **more)
+
+    def _take(self, depth: int, numbered: Numbered) -> None:
+        given = sum(self.levels)
+        size = numbered.count if self.quantity is None else max(0, min(numbered.count, self.quantity - given))
         self.levels.append(size)
         self.offsets += [(depth, part, before) for part, before in numbered.offsets]
         self.current = self._limited(numbered.rows.select("id", "url"))
-        if self.catalog_root is not None and size:
+        if self.catalog_root is not None and size > self._recorded(depth):
             rows = link_rows(self.current, self.as_of)
             insert_rows(self.spark, self.catalog_root, rows, depth, self.run)
 
+    def _recorded(self, depth: int) -> int:
+        """Rows of a level that the catalogue has from an earlier call; fewer if a limit cut it."""
+        if not self.lasting:
+            return 0
+        written = F.col("write").endswith(f"-{self.run}-{depth}")
+        return catalog_rows(self.spark, self.catalog_root).filter(written).count()
+
     def _parent_ranges(self) -> tuple[int, Column]:
         """Equal ranges of the parents' ids, which are those of the level before and dense."""
         parents = max(1, self.levels[-1])

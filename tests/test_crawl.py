@@ -1,8 +1,11 @@
 """Crawl, seeds and snapshot against a plain FIFO queue."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
 
+from linkloom.files import folder_names, put_new, read_text
 from linkloom.operators.ids import write_in_order
 from linkloom.operators.snapshot import fetch_misses, fetch_snapshot, seed_frontier
 from linkloom.plans import crawl as plan
@@ -85,6 +88,56 @@ def test_a_second_crawl_goes_on_or_is_refused(spark, pages, tmp_path):
     assert later.frontier.filter("url = 'http://c/999'").count() == 1
 
 
+def test_an_unfinished_crawl_is_taken_up(spark, pages, tmp_path):
+    whole, seeds = fifo(["http://c/1"]), ["http://c/1"]
+    state, root = str(tmp_path / "state"), str(tmp_path / "catalog")
+    bounds = [{"max_depth": 1}, {"quantity": 10}, {"quantity": 11}, {"should_stop": lambda: True}, {"max_depth": 4}, {}, {}]
+    for bound in bounds:
+        result = crawl(spark, seeds, pages, state=state, catalog_root=root, **bound)
+        got = rows_of(result)
+        assert got == whole[: len(got)] and sum(result.levels) == len(got)
+        recorded = {(r.id, r.url) for r in read_catalog(spark, root).select("id", "url").collect()}
+        assert {r[:2] for r in got} <= recorded <= {r[:2] for r in whole}
+    assert got == whole and recorded == {r[:2] for r in whole}
+    # Another crawl into the same catalogue is still refused.
+    with pytest.raises(ValueError, match="already present"):
+        crawl(spark, ["http://c/2"], pages, state=str(tmp_path / "other"), catalog_root=root)
+
+
+@pytest.mark.parametrize("crash", ["outlinks", "level-0", "level-2", "level-3"])
+def test_a_crashed_crawl_is_taken_up(spark, pages, tmp_path, monkeypatch, crash):
+    state, root = str(tmp_path / "state"), str(tmp_path / "catalog")
+    put_new = plan.put_new
+
+    def failing(spark, path, text):
+        if path.endswith(crash):
+            raise OSError("lost")
+        return put_new(spark, path, text)
+
+    known = spark.createDataFrame([("http://c/4",)], "url string")
+    monkeypatch.setattr(plan, "put_new", failing)
+    with pytest.raises(OSError):
+        crawl(spark, ["http://c/1"], pages, state=state, catalog_root=root, start=5, seen=known)
+    monkeypatch.setattr(plan, "put_new", put_new)
+    # A level of which just a part was written has no mark either.
+    spark.range(3).write.mode("append").parquet(f"{state}/levels/depth=3/half")
+    result = crawl(spark, ["http://c/1"], pages, state=state, catalog_root=root, start=5, seen=known)
+    want = rows_of(crawl(spark, ["http://c/1"], pages, start=5, seen=known))
+    assert rows_of(result) == want and want[0][0] == 6 and "http://c/4" not in {r[1] for r in want}
+    assert sorted((r.id, r.url) for r in read_catalog(spark, root).collect()) == [r[:2] for r in want]
+
+
+def test_small_files_are_made_once(spark, tmp_path):
+    path = str(tmp_path / "folder" / "name")
+    assert read_text(spark, path) is None
+    assert put_new(spark, path, "first é") and not put_new(spark, path, "second")
+    assert read_text(spark, path) == "first é"
+    assert [n for n in folder_names(spark, str(tmp_path / "folder")) if not n.startswith(".")] == ["name"]
+    with ThreadPoolExecutor(8) as pool:
+        made = list(pool.map(lambda i: put_new(spark, f"{path}-x", str(i)), range(16)))
+    assert sum(made) == 1 and read_text(spark, f"{path}-x") == str(made.index(True))
+
+
 def test_seeds_not_seen(spark, pages):
     seeds = ["http://c/1", "http://c/1", "http://c/2"]
     want = fifo(seeds, seeds_seen=False)
