@@ -22,6 +22,7 @@ from linkloom.scratch import work_dir, written
 from linkloom.sources import catalog as store
 from linkloom.sources import rawdocs
 from linkloom.streaming.links import stream_links
+from linkloom.streaming.numbered import number_stream
 from linkloom.streaming.store import record_stream, store_stream
 
 # The operators for training text are an optional subpackage; only its absence is excused.
@@ -397,6 +398,20 @@ def _page_stream(spark, sf, columns):
     return reader.parquet(folder)
 
 
+def number_links(spark, sf):
+    """Pages that arrive in three lots, in the order of their ids; a second call finds nothing new."""
+    pages, folder = _pages(spark, sf).select("page_id", "url", "html"), work_dir(spark, "page-files")
+    last = pages.agg(F.max("page_id")).first()[0]
+    for lot in range(3):
+        rows = pages.filter(F.floor(F.col("page_id") * 3 / (last + 1)) == lot)
+        rows.repartition(2, "page_id").write.mode("append").parquet(folder)
+    root, checkpoint = work_dir(spark, "catalog"), work_dir(spark, "stream")
+    for _ in range(2):
+        stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+        number_stream(stream, root, "page", checkpoint, _CREATED, start=1000, seen=pages).awaitTermination()
+    return store.read_catalog(spark, root).select("id", "url")
+
+
 def stream_links_query(spark, sf):
     stream = stream_links(_page_stream(spark, sf, ["page_id", "url", "html"]), base="page")
     out = work_dir(spark, "stream-links")
@@ -475,7 +490,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         read_catalog, catalog_view, catalog_get, catalog_page, catalog_count, catalog_patch,
         catalog_delete, deleted_count, catalog_insert, crawl_progress, pending_docs, crawl_graph,
         crawl_limit, encode_records, encode_low_byte, rawdocs_roundtrip, deep_page, patch_writers,
-        delete_rows, crawl_resume, crawl_unfinished, crawl_twice, record_twice, store_twice, rawdocs_batches,
+        delete_rows, number_links, crawl_resume, crawl_unfinished, crawl_twice, record_twice, store_twice, rawdocs_batches,
     ]
     named = {f.__name__: f for f in plain}
     named["stream_links"] = stream_links_query
@@ -673,6 +688,9 @@ WITH {_RESUMED} SELECT id, url FROM first UNION ALL SELECT id + (SELECT count(*)
 SELECT 'doc_' || page_id AS id, CAST(octet_length(encode(html)) AS INTEGER) AS length, md5(html) AS html_md5
 FROM pages WHERE html <> ''""",
         "stream_links": f"WITH {_LINKS} SELECT DISTINCT url FROM found",
+        "number_links": f"""
+WITH {_LINKS} SELECT 1000 + row_number() OVER (ORDER BY src_id, pos) AS id, url FROM first_links
+WHERE url NOT IN (SELECT url FROM pages)""",
         "record_stream": f"WITH {_CATALOG_CTE} SELECT {_VIEW} FROM doc",
         "record_twice": f"WITH {_CATALOG_CTE} SELECT {_VIEW} FROM doc",
         "deep_page": f"WITH {_CATALOG_CTE} SELECT * FROM doc ORDER BY id LIMIT 15 OFFSET 30",

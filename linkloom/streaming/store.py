@@ -45,7 +45,7 @@ def drain(query: StreamingQuery) -> bool:
     return True
 
 
-def _start(stream: DataFrame, each: Callable, checkpoint: str | None, trigger: dict[str, Any] | None):
+def start_batches(stream: DataFrame, each: Callable, checkpoint: str | None, trigger: dict[str, Any] | None):
     """Start ``each(batch, number, run)`` on the stream; the run's id lies in the checkpoint."""
     spark = stream.sparkSession
     checkpoint = checkpoint or work_dir(spark, "stream")
@@ -80,7 +80,7 @@ def record_stream(
         finally:
             rows.unpersist()
 
-    return _start(entries, record, checkpoint, trigger)
+    return start_batches(entries, record, checkpoint, trigger)
 
 
 def store_stream(
@@ -133,4 +133,4 @@ def store_stream(
             fetched.unpersist()
             todo.unpersist()
 
-    return _start(rows, store, checkpoint, trigger)
+    return start_batches(rows, store, checkpoint, trigger)

@@ -3,13 +3,17 @@
 import datetime as dt
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from linkloom.operators.catalog import link_rows
 from linkloom.operators.links import extract_links, filter_crawlable
+from linkloom.plans.crawl import crawl
 from linkloom.sources.catalog import create_catalog, insert_rows, read_catalog
 from linkloom.sources.rawdocs import read_rawdocs
+from linkloom.streaming import numbered
 from linkloom.streaming.links import stream_links
+from linkloom.streaming.numbered import number_stream
 from linkloom.streaming.store import drain, record_stream, store_stream
 
 PAGES = "page_id long, url string, html string"
@@ -144,3 +148,39 @@ def test_a_task_remembers_a_bounded_number_of_links(monkeypatch):
     batches = [["hot", "a", "hot"], ["hot", "b", "c"], ["hot", "d", "e", "f"], ["hot", "a"]]
     sent = [b.column(0).to_pylist() for b in links._distinct_per_task(pa.RecordBatch.from_arrays([pa.array(x)], ["url"]) for x in batches)]
     assert sent == [["hot", "a"], ["b", "c"], ["d", "e", "f"], ["a"]]
+
+
+@pytest.mark.parametrize("crash", [None, "batch-0", "batch-1"])
+def test_numbered_links_equal_a_level_of_a_crawl(spark, tmp_path, monkeypatch, crash):
+    made = [
+        (k, f"http://n/{k}", "".join(f'<a href="http://n/{t}">x</a>' for t in (k * 3, k * 5 + 1, 7, k + 100, k * 3)))
+        for k in range(1, 31)
+    ]
+    pages = spark.createDataFrame(made, "page_id long, url string, html string")
+    folder, root, checkpoint = (str(tmp_path / name) for name in ("pages", "catalog", "checkpoint"))
+    for lot in range(3):
+        pages.filter(F.floor((F.col("page_id") - 1) / 10) == lot).coalesce(1).write.mode("append").parquet(folder)
+    seeds = [url for _, url, _ in made]
+
+    def run():
+        stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        number_stream(stream, root, checkpoint=checkpoint, start=30, seen=pages).awaitTermination()
+
+    if crash:
+        put_new = numbered.put_new
+
+        def failing(spark, path, text):
+            if path.endswith(crash):
+                raise OSError("lost after the write")
+            return put_new(spark, path, text)
+
+        monkeypatch.setattr(numbered, "put_new", failing)
+        with pytest.raises(StreamingQueryException):
+            run()
+        assert read_catalog(spark, root).count() > 0  # written, but the micro-batch isn't committed
+        monkeypatch.setattr(numbered, "put_new", put_new)
+    run()
+    run()
+    want = crawl(spark, seeds, pages, max_depth=1).frontier.filter("depth = 1").select("id", "url")
+    got = sorted((r.id, r.url) for r in read_catalog(spark, root).collect())
+    assert got == sorted(map(tuple, want.collect())) and got[0][0] == 31
