@@ -20,7 +20,7 @@ from linkloom.plans.stages import Stage, run_stages
 from linkloom.schemas import CATALOG
 from linkloom.scratch import work_dir, written
 from linkloom.sources import catalog as store
-from linkloom.sources import rawdocs
+from linkloom.sources import bitmap, rawdocs
 from linkloom.streaming.links import stream_links
 from linkloom.streaming.numbered import number_stream
 from linkloom.streaming.store import record_stream, store_stream
@@ -180,6 +180,19 @@ def bloom_links(spark, sf):
     return dedup.bloom_dedup(found.select(F.col("id").alias("seq"), "url"), mask=dedup.BIT_MASK)
 
 
+def bloom_stored(spark, sf):
+    """The links of :func:`bloom_links` in three batches against a stored map, one of them replayed."""
+    found = ids.assign_ids(_page_links(spark, sf).select("src_id", "pos", "url"), ["src_id", "pos"])
+    found = found.select(F.col("id").alias("seq"), "url")
+    table, out = work_dir(spark, "bits"), []
+    bitmap.create_bit_table(spark, table, mask=dedup.BIT_MASK)
+    last = found.agg(F.max("seq")).first()[0] or 1
+    for batch in (0, 1, 1, 2):
+        rows = found.filter(F.floor((F.col("seq") - 1) * 3 / last) == batch)
+        out = [*out[:batch], bitmap.bit_table_dedup(rows, table, batch)]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 def assign_ids(spark, sf):
     first = dedup.dedup_links(_crawlable(spark, sf))
     return ids.assign_ids(first, ["src_id", "pos"], start=1000)
@@ -485,7 +498,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One entry per operator; each takes ``(spark, sf_dir)``."""
     plain = [
         link_counts, links_page, links_strict, links_crawlable, staged_links, nonempty_pages,
-        drop_seen, bloom_hosts, bloom_links, assign_ids, seed_frontier, extend_frontier,
+        drop_seen, bloom_hosts, bloom_links, bloom_stored, assign_ids, seed_frontier, extend_frontier,
         fetch_snapshot, fetch_misses, link_rows, page_patches, domains, create_catalog,
         read_catalog, catalog_view, catalog_get, catalog_page, catalog_count, catalog_patch,
         catalog_delete, deleted_count, catalog_insert, crawl_progress, pending_docs, crawl_graph,
@@ -639,6 +652,8 @@ WHERE NOT EXISTS (SELECT 1 FROM found s WHERE starts_with(s.src_url, 'https') AN
         + _bloom_sql("SELECT page_id AS seq, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS url FROM pages", dedup.bloom_bits(dedup.EXPECTED_URLS, dedup.FALSE_POSITIVES) - 1),
         "bloom_links": f"WITH {_LINKS}, "
         + _bloom_sql("SELECT row_number() OVER (ORDER BY src_id, pos) AS seq, url FROM all_links", dedup.BIT_MASK),
+        "bloom_stored": f"WITH {_LINKS}, "
+        + _bloom_sql("SELECT row_number() OVER (ORDER BY src_id, pos) AS seq, url FROM all_links", dedup.BIT_MASK),
         "assign_ids": f"""
 WITH {_LINKS} SELECT 1000 + row_number() OVER (ORDER BY src_id, pos) AS id, url, src_id, pos FROM first_links""",
         "seed_frontier": """

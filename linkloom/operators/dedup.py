@@ -55,7 +55,8 @@ def bloom_bits(expected: int, fpp: float) -> int:
     return 1 << max(0, math.ceil(math.log2(max(1.0, least))))
 
 
-def _mask(num_bits: int | None, mask: int | None, expected: int, fpp: float) -> int:
+def bloom_mask(num_bits: int | None, mask: int | None, expected: int, fpp: float) -> int:
+    """The bit mask that these arguments stand for."""
     return power_of_two_mask(num_bits or bloom_bits(expected, fpp)) if mask is None else mask
 
 
@@ -71,7 +72,7 @@ def bloom_first(
     ``num_bits`` places, or as many as ``expected`` URLs need for ``fpp`` false positives; it is
     never held in memory.  ``mask=BIT_MASK`` gives the fixed bit map of 100,000,000 places.
     """
-    mask = _mask(num_bits, mask, expected, fpp)
+    mask = bloom_mask(num_bits, mask, expected, fpp)
     bits = df.select(
         F.col(seq), F.explode(bit_positions(F.col(url), mask)).alias("_bit")
     )
@@ -87,7 +88,7 @@ def bloom_fill(
     At a fill of a half about one new URL in a hundred is taken for a known one; beyond that the
     map is too small.
     """
-    mask = _mask(num_bits, mask, expected, fpp)
+    mask = bloom_mask(num_bits, mask, expected, fpp)
     bits = df.select(F.explode(bit_positions(F.col(url), mask)).alias("_bit")).distinct()
     places = 1 << bin(mask).count("1")  # a mask with gaps reaches fewer
     count = bits.agg(F.count(F.lit(1)).alias("bits_set"))

@@ -9,12 +9,14 @@ from linkloom.functions.hashing import SEEDS, bit_positions
 from linkloom.operators.dedup import (
     BIT_MASK,
     bloom_dedup,
+    bloom_fill,
     dedup_links,
     drop_seen,
     extend_frontier,
     power_of_two_mask,
 )
 from linkloom.operators.ids import assign_ids
+from linkloom.sources import bitmap
 
 
 def _units(text):
@@ -53,6 +55,39 @@ def test_bloom_equals_sequential_run(spark, mask):
         seen.add(url)
 
 
+@pytest.mark.parametrize("mask", [power_of_two_mask(1 << 27), BIT_MASK, power_of_two_mask(64), 0])
+def test_stored_map_equals_one_run(spark, tmp_path, mask):
+    rows, path = list(enumerate(URLS)), str(tmp_path / "map")
+    bitmap.create_bit_table(spark, path, mask=mask)
+    bitmap.create_bit_table(spark, path, mask=mask)
+    with pytest.raises(ValueError, match="another size"):
+        bitmap.create_bit_table(spark, path, mask=1)
+    assert bitmap.bit_table_fill(spark, path).first().bits_set == 0
+    got = {}
+    for batch, begin in ((0, 0), (1, 150), (1, 150), (2, 400), (0, 0), (3, 700)):  # some are replayed
+        own = rows[begin : {0: 150, 150: 400}.get(begin, 700)]
+        df = spark.createDataFrame(own, "seq long, url string").repartition(3)
+        got |= {r.seq: r.is_duplicate for r in bitmap.bit_table_dedup(df, path, batch).collect()}
+    assert got == _sequential_bloom(rows, mask)
+    fill = bloom_fill(spark.createDataFrame(rows, "seq long, url string"), mask=mask).first()
+    assert bitmap.bit_table_fill(spark, path).first() == fill
+
+
+def test_stored_map_stays_where_it_is(spark, tmp_path):
+    path = str(tmp_path / "map")
+    bitmap.create_bit_table(spark, path, mask=(1 << 29) - 1)
+    df = spark.createDataFrame(list(enumerate(URLS)), "seq long, url string")
+    bitmap.bit_table_dedup(df, path, 0)
+    with bitmap._bitmaps(spark, path, 4) as table:
+        bits = spark.createDataFrame([(5, 1, 4)], "bit long, bucket long, place long").repartition(2)
+        plan = bitmap.known_bits(spark.table(table).drop("batch"), bits)._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    scan = next(i for i, line in enumerate(lines) if "FileScan" in line)
+    join = next(i for i, line in enumerate(lines) if "ShuffledHashJoin" in line)
+    assert "Bucketed: true" in lines[scan]
+    assert not any("Exchange" in line for line in lines[join:scan])
+
+
 def test_bloom_default_size_and_errors(spark):
     df = spark.createDataFrame([(2, "a"), (1, "a"), (3, "b")], "seq long, url string")
     assert {r.seq: r.is_duplicate for r in bloom_dedup(df).collect()} == {1: False, 2: True, 3: False}
