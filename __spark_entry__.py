@@ -6,6 +6,7 @@ import datetime as dt
 import os
 import sys
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -354,6 +355,26 @@ def crawl_limit(spark, sf):
     return limit_crawl(result.frontier, 100).select("id", "url", "depth")
 
 
+def insert_race(spark, sf):
+    """Three writers at once, two of them with the same rows: one of these is refused."""
+    root, docs = work_dir(spark, "catalog"), written(_catalog(spark, sf), "docs")
+    store.create_catalog(spark, root)
+    secure = F.col("url").startswith("https")
+
+    def insert(rows: DataFrame) -> bool:
+        try:
+            store.insert_rows(spark, root, rows)
+        except ValueError as refused:
+            assert "already present" in str(refused)
+            return False
+        return True
+
+    with ThreadPoolExecutor(3) as pool:
+        won = list(pool.map(insert, [docs.filter(secure), docs.filter(~secure), docs.filter(secure)]))
+    assert won[1] and won[0] != won[2]
+    return store.read_catalog(spark, root)
+
+
 _EVEN = "http://c.example/2"
 
 
@@ -503,7 +524,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         read_catalog, catalog_view, catalog_get, catalog_page, catalog_count, catalog_patch,
         catalog_delete, deleted_count, catalog_insert, crawl_progress, pending_docs, crawl_graph,
         crawl_limit, encode_records, encode_low_byte, rawdocs_roundtrip, deep_page, patch_writers,
-        delete_rows, number_links, crawl_resume, crawl_unfinished, crawl_twice, record_twice, store_twice, rawdocs_batches,
+        delete_rows, insert_race, number_links, crawl_resume, crawl_unfinished, crawl_twice, record_twice, store_twice, rawdocs_batches,
     ]
     named = {f.__name__: f for f in plain}
     named["stream_links"] = stream_links_query
@@ -706,6 +727,7 @@ FROM pages WHERE html <> ''""",
         "number_links": f"""
 WITH {_LINKS} SELECT 1000 + row_number() OVER (ORDER BY src_id, pos) AS id, url FROM first_links
 WHERE url NOT IN (SELECT url FROM pages)""",
+        "insert_race": f"WITH {_CATALOG_CTE} SELECT {_VIEW} FROM doc",
         "record_stream": f"WITH {_CATALOG_CTE} SELECT {_VIEW} FROM doc",
         "record_twice": f"WITH {_CATALOG_CTE} SELECT {_VIEW} FROM doc",
         "deep_page": f"WITH {_CATALOG_CTE} SELECT * FROM doc ORDER BY id LIMIT 15 OFFSET 30",

@@ -88,3 +88,11 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         return bytes(stream.readAllBytes()).decode()
     finally:
         stream.close()
+
+
+def move(spark: SparkSession, source: str, target: str) -> bool:
+    """Rename a folder to a name that is not taken; False if ``source`` is gone."""
+    system, place = _place(spark, source)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(target)
+    system.mkdirs(hadoop.getParent())
+    return system.exists(place) and system.rename(place, hadoop)

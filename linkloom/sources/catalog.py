@@ -5,17 +5,24 @@ Layout below the root: ``rows``, ``patches`` and ``deletes``, each with folders
 ones win whoever made them.  Run and batch name a write: the same pair written again, as after a
 failure, replaces it under its old version; any other write is checked against all rows there
 are.  :func:`compact_catalog` writes what readers see as a new catalogue.
+
+Several writers at once: a write is prepared in ``_staging`` and committed by creating
+``_commits/<version>``, which succeeds for one writer only.  One that finds its version taken
+checks again, against what the other has committed, and takes the next.  Then the folder is moved to
+its place; if the writer is lost in between, the next reader or writer moves it.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkloom.files import folder_names
+from linkloom.files import folder_names, move, put_new, read_text, remove
 from linkloom.operators.catalog import catalog_patch, catalog_view, check_insert
 from linkloom.schemas import CATALOG, PATCH
 
@@ -46,16 +53,55 @@ def _writes(spark: SparkSession, root: str, part: str) -> dict[tuple[str, int],
     return {(run, int(batch)): int(version) for version, run, batch in named}
 
 
-def _write(df: DataFrame, root: str, part: str, run: str | None, batch: int) -> int:
-    """Write one batch, again under its old version if it was there, and count its rows."""
-    spark = df.sparkSession
-    known = {p: _writes(spark, root, p) for p in _PARTS}
-    run = run or uuid.uuid4().hex[:12]
-    last = max((v for writes in known.values() for v in writes.values()), default=0)
-    version = known[part].get((run, batch), last + 1)
-    path = f"{root}/{part}/{_folder(version, run, batch)}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path).count()
+def _commits(spark: SparkSession, root: str) -> list[str]:
+    return sorted(n for n in folder_names(spark, f"{root}/_commits") if n.isdecimal())
+
+
+def _settle(spark: SparkSession, root: str) -> int:
+    """Move what is committed but not in its place, and give the last version."""
+    placed = {p: folder_names(spark, f"{root}/{p}") for p in _PARTS}
+    versions = {int(n.removeprefix("write=").split("-")[0]) for names in placed.values() for n in names if n.startswith("write=")}
+    commits = [int(n) for n in _commits(spark, root)]
+    for version in commits:
+        if version not in versions:
+            commit = json.loads(read_text(spark, f"{root}/_commits/{version:012d}"))
+            move(spark, f"{root}/_staging/{commit['staging']}", f"{root}/{commit['folder']}")
+    return max([*versions, *commits], default=0)
+
+
+def _write(
+    df: DataFrame, root: str, part: str, run: str | None, batch: int, probe: Callable[[], None] = lambda: None
+) -> int:
+    """Commit one batch, again under its old version if it was there, and count its rows.
+
+    ``probe`` raises if the batch may not be written; it is asked again whenever another writer was faster.
+    """
+    spark, run = df.sparkSession, run or uuid.uuid4().hex[:12]
+    last = _settle(spark, root)
+    probe()
+    staging = f"{run}-{batch}-{uuid.uuid4().hex[:12]}"
+    prepared = f"{root}/_staging/{staging}"
+    df.write.parquet(prepared)
+    count = spark.read.schema(df.schema).parquet(prepared).count()
+    known = _writes(spark, root, part).get((run, batch))
+    if known is not None:
+        folder = f"{root}/{part}/{_folder(known, run, batch)}"
+        remove(spark, folder)
+        move(spark, prepared, folder)
+        return count
+    while True:
+        folder = f"{part}/{_folder(last + 1, run, batch)}"
+        commit = json.dumps({"staging": staging, "folder": folder})
+        if put_new(spark, f"{root}/_commits/{last + 1:012d}", commit):
+            break
+        last = _settle(spark, root)
+        try:
+            probe()
+        except ValueError:
+            remove(spark, prepared)
+            raise
+    move(spark, prepared, f"{root}/{folder}")
+    return count
 
 
 def _version() -> F.Column:
@@ -64,6 +110,7 @@ def _version() -> F.Column:
 
 def _part(spark: SparkSession, root: str, part: str) -> DataFrame:
     """Rows of a part that no later deletion names, with ``version`` and ``write``."""
+    _settle(spark, root)
     df = spark.read.schema(stored_schema(_PARTS[part])).parquet(f"{root}/{part}").withColumn("version", _version())
     if part == "deletes" or len(_writes(spark, root, "deletes")) < 2:  # the empty one alone
         return df
@@ -107,11 +154,14 @@ def insert_rows(
     what lies between the smallest and the largest new id, which file statistics find.
     """
     low, high = rows.agg(F.min("id"), F.max("id")).first()
-    present = _others(catalog_rows(spark, root), run, batch)
-    if low is not None:
-        present = present.filter(F.col("id").between(low, high))
-    check_insert(present, rows)
-    return _write(rows.select([f.name for f in CATALOG]), root, "rows", run, batch)
+
+    def probe() -> None:
+        present = _others(catalog_rows(spark, root), run, batch)
+        if low is not None:
+            present = present.filter(F.col("id").between(low, high))
+        check_insert(present, rows)
+
+    return _write(rows.select([f.name for f in CATALOG]), root, "rows", run, batch, probe)
 
 
 def insert_patches(root: str, patches: DataFrame, batch: int = 0, run: str | None = None) -> int:

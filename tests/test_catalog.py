@@ -1,6 +1,8 @@
 """Catalogue operators and the Parquet catalogue."""
 
 import datetime as dt
+import threading
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -199,3 +201,58 @@ def test_the_later_write_wins_and_deletion_is_lasting(spark, tmp_path):
 def test_domain_of_ipv6(spark):
     df = cat.derive_domain(frame(spark, [row(1, "http://[2001:db8::1]:80/x"), row(2, "http://u@[::1]")]))
     assert {r.id: r.domain for r in df.collect()} == {1: "[2001:db8::1]", 2: "[::1]"}
+
+
+def _rows(spark, ids):
+    return cat.link_rows(spark.createDataFrame([(i, f"http://h/{i}") for i in ids], "id long, url string"), T0)
+
+
+def test_two_writers_of_one_id(spark, tmp_path, monkeypatch):
+    root, barrier = str(tmp_path / "catalog"), threading.Barrier(2, timeout=120)
+    store.create_catalog(spark, root)
+    put_new, waited = store.put_new, threading.local()
+
+    def together(spark, path, text):
+        if not getattr(waited, "once", False):  # both have probed, and neither has committed
+            waited.once = True
+            barrier.wait()
+        return put_new(spark, path, text)
+
+    monkeypatch.setattr(store, "put_new", together)
+
+    def insert(ids):
+        try:
+            return store.insert_rows(spark, root, _rows(spark, ids))
+        except ValueError as refused:
+            return str(refused)
+
+    with ThreadPoolExecutor(2) as pool:
+        got = list(pool.map(insert, [[1, 2], [2, 3]]))
+        assert sorted(map(type, got), key=str) == [int, str] and "already present" in str(got)
+        won = [1, 2] if got[0] == 2 else [2, 3]
+        assert sorted(r.id for r in store.read_catalog(spark, root).collect()) == won
+    with ThreadPoolExecutor(2) as pool:
+        assert list(pool.map(insert, [[10], [11, 12]])) == [1, 2]
+    assert sorted(r.id for r in store.read_catalog(spark, root).collect()) == [*won, 10, 11, 12]
+
+
+def test_a_lost_writer(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "catalog")
+    store.create_catalog(spark, root)
+
+    def lost(*args):
+        raise OSError("lost")
+
+    for name, visible in (("put_new", []), ("move", [1])):
+        real = getattr(store, name)
+        monkeypatch.setattr(store, name, lost)
+        with pytest.raises(OSError):
+            store.insert_rows(spark, root, _rows(spark, [1]))
+        monkeypatch.setattr(store, name, real)
+        # Not committed: not there.  Committed, but not moved: the reader moves it.
+        assert [r.id for r in store.read_catalog(spark, root).collect()] == visible
+    with pytest.raises(ValueError, match="already present"):
+        store.insert_rows(spark, root, _rows(spark, [1]))
+    assert store.delete_rows(spark, root, spark.createDataFrame([(1,)], "id long")) == 1
+    assert store.insert_rows(spark, root, _rows(spark, [1])) == 1
+    assert [r.id for r in store.read_catalog(spark, root).collect()] == [1]
