@@ -37,14 +37,15 @@ def _matches(text: Column, pattern: str, kind: str) -> Column:
     walk = F.lit(rf"\G(?s:(.*?))({pattern})")
     gaps, whole = (F.regexp_extract_all(text, walk, F.lit(i)) for i in (1, 2))
     values = F.regexp_extract_all(text, walk, F.lit(3)) if kind == "assign" else whole
+    # Brought together first: what a lambda calls on the whole text is done again for each match.
     parts = F.transform(
-        gaps,
-        lambda gap, i: F.struct(
+        F.arrays_zip(gaps, whole, values),
+        lambda match, i: F.struct(
             F.lit(_KINDS.index(kind)).alias("kind"),
             i.alias("nth"),
-            F.length(gap).alias("gap"),
-            F.length(F.get(whole, i)).alias("width"),
-            F.length(F.get(values, i)).alias("value"),
+            F.length(match["0"]).alias("gap"),
+            F.length(match["1"]).alias("width"),
+            F.length(match["2"]).alias("value"),
         ),
     )
     return F.when(text.rlike(pattern), parts).otherwise(F.array().cast(_PARTS))
@@ -89,7 +90,10 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     secret = F.col("kind").isin([_KINDS.index(k) for k in SECRET])
     ordered = Window.partitionBy("row").orderBy("start", "kind")
     earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    later = ordered.rowsBetween(1, Window.unboundedFollowing)
+    # The rows behind, as those before in the opposite order: a frame that ends at the last row is
+    # computed anew for each row.
+    backwards = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("kind"))
+    later = backwards.rowsBetween(Window.unboundedPreceding, -1)
 
     def beside(these: Column, most: Column) -> Column:
         """Whether one of ``these`` ends after, or starts before, what ``most`` allows."""

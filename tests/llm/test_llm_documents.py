@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -213,6 +214,20 @@ def test_secrets(spark, docs, rows, no_docs):
     assert secrets.find_secrets(no_docs).count() == 0
 
 
+def test_secrets_take_time_in_proportion_to_the_matches(spark):
+    def seconds(matches):
+        text = " ".join(f"{i:024x}" for i in range(matches)) + " password=abcdef1" * 10
+        frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        begin = time.perf_counter()
+        got = secrets.find_secrets(frame).first()
+        assert (got.n_hex, got.n_assign) == (matches, 10)
+        return time.perf_counter() - begin
+
+    seconds(10)
+    few, many = seconds(4_000), seconds(32_000)
+    assert many < 8 * few + 5 and many < 60
+
+
 def test_mixing(docs, no_docs):
     levels, weights = mixing.document_levels(), mixing.DOCUMENT_WEIGHTS
     got = mixing.mix(docs, levels, weights, (9, 10), 3).collect()
