@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -94,6 +95,32 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return x
 
 
+_EIGHT = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Bytes from which a word is hashed by itself.
+_LONG_WORD = 512
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words, eight bytes after eight mixed in; long words have cryptographic ones.
+
+    Unlike a polynomial in 64 bits it has no pairs of words that collide whatever its constants.
+    """
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(data) + 1,), "<u8", padded.data, 0, (1,))  # at every place, so unaligned
+    size = stops - starts
+    out = mixed(size.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) ^ (eight[starts] & _EIGHT[np.minimum(size, 8)]))
+    for i in np.flatnonzero(size > _LONG_WORD).tolist():
+        digest = hashlib.blake2b(data[starts[i] : stops[i]].tobytes(), digest_size=8).digest()
+        out[i] = int.from_bytes(digest, "little")
+    more, skipped = np.flatnonzero((size > 8) & (size <= _LONG_WORD)), 8
+    while len(more):
+        block = eight[starts[more] + skipped] & _EIGHT[np.minimum(size[more] - skipped, 8)]
+        out[more] = mixed(out[more] * np.uint64(0xD6E8FEB86659FD93) + block)
+        skipped += 8
+        more = more[size[more] > skipped]
+    return out
+
+
 class Powers:
     """Powers of a number and of its inverse in 64 bits, kept as far as they were needed."""
 

@@ -203,7 +203,7 @@ SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(
 FROM d LEFT JOIN listed USING (row)"""
 
 
-_LINES = f"""
+_LINES = """
 WITH line AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10)))))::INTEGER AS line_no
   FROM documents WHERE text IS NOT NULL
@@ -211,8 +211,8 @@ WITH line AS (
   SELECT doc_id, line_no, regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+') AS w FROM line
 ), shingled AS (
   SELECT doc_id, line_no, list_sort(list_distinct(list_transform(
-    range(len(w) - {lines.WORDS - 1}), lambda i: array_to_string(w[i + 1:i + {lines.WORDS}], ' ')))) AS tokens
-  FROM worded WHERE len(w) >= {lines.WORDS}
+    range(greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i + 1:i + 5], ' ')))) AS tokens
+  FROM worded WHERE len(w) > 0
 ), same AS (
   SELECT tokens, min((doc_id, line_no)) AS first, row_number() OVER () AS id FROM shingled GROUP BY tokens
 ), held AS (
@@ -221,7 +221,7 @@ WITH line AS (
   SELECT a.id, min(b.first) AS other FROM (
     SELECT x.id AS a, y.id AS b FROM held x JOIN held y ON x.token = y.token AND y.first < x.first
     GROUP BY x.id, y.id, x.size, y.size
-    HAVING count(*) * {lines.SIMILAR[1]} >= (x.size + y.size - count(*)) * {lines.SIMILAR[0]}
+    HAVING count(*) * 5 >= (x.size + y.size - count(*)) * 4
   ) JOIN same a ON a.id = a JOIN same b ON b.id = b GROUP BY a.id
 )
 SELECT doc_id, line_no FROM shingled JOIN same USING (tokens) LEFT JOIN alike USING (id)

@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.arrays import Powers, flat_bytes, mixed, running, small_pieces, word_ranges
+from linkloom.llm.arrays import flat_bytes, mixed, running, small_pieces, word_hashes, word_ranges
 from linkloom.scratch import written
 
 WORDS = 5
@@ -46,11 +46,10 @@ class _Lines:
     the other with ``bounds`` between them.
     """
 
-    def __init__(self, texts: pa.Array, cut: Cut, powers: Powers, rank: np.ndarray | None = None):
+    def __init__(self, texts: pa.Array, cut: Cut, rank: np.ndarray | None = None):
         data, bounds = flat_bytes(texts)
         if cut.whole:
             data = data | ((data - np.uint8(65) < 26) << 5).astype(np.uint8)
-        n = len(data)
         starts, stops = word_ranges(data, bounds)
         # A line ends at each break and at each end of a text.
         breaks = np.flatnonzero((data == 10) & (not cut.whole))
@@ -61,11 +60,7 @@ class _Lines:
         self.number = np.arange(len(self.doc)) - np.repeat(first, per_doc)
         # A word's line: breaks and ends of texts before it.
         line = np.searchsorted(breaks, starts) + np.searchsorted(bounds[1:], starts, side="right")
-        # Word hashes: polynomials over the bytes, shifted down to the word's first place.
-        up, down = powers.upto(n)
-        sums = running((data.astype(np.uint64) + np.uint64(1)) * up)
-        word = mixed((sums[stops] - sums[starts]) * down[starts])
-        token, token_line = self._shingles(word, line, cut)
+        token, token_line = self._shingles(word_hashes(data, starts, stops), line, cut)
         if rank is None:
             self.tokens = token
             return
@@ -128,10 +123,9 @@ def _rarity_cells(docs: DataFrame, cut: Cut) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << RARITY_BITS, np.int64)
-        powers = Powers(_BASE)
         for batch in batches:
             for piece in small_pieces(batch, "text"):
-                tokens = _Lines(piece.column(0), cut, powers).tokens
+                tokens = _Lines(piece.column(0), cut).tokens
                 counts += np.bincount((tokens >> np.uint64(64 - RARITY_BITS)).astype(np.int64), minlength=len(counts))
         cells = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts[cells])], ["cell", "n"])
@@ -154,19 +148,34 @@ def _ranks(rarity: np.ndarray) -> np.ndarray:
 _POSTING = {"token": "<u8", "set": "<i8", "size": "<i4", "place": "<i4", "meet": "<i8"}
 
 
-def _postings(rarity: np.ndarray, cut: Cut, tasks: int):
-    """A packed row for each task and batch: the prefix tokens of the distinct sets of the batch."""
+_HELD = "doc_id long, text_key long, line_no int, line_set long, task int, postings binary"
+
+
+def _lines_and_postings(rarity: np.ndarray, cut: Cut, tasks: int):
+    """Rows of two sorts, as each text is cut but once.
+
+    A row for each line that holds tokens, or for each text that is one line; and, with a
+    ``task``, a packed row for each task and batch: the prefix tokens of the distinct sets of the batch.
+    """
     top, low = SIMILAR
     rank = _ranks(rarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers(_BASE)
         for batch in batches:
             made, seen = {name: [] for name in _POSTING}, np.zeros(0, np.int64)
             for piece in small_pieces(batch, "text"):
-                lines = _Lines(piece.column(0), cut, powers, rank)
-                size = np.diff(lines.bounds)
-                sets, place = np.unique(lines.set_hashes(), return_index=True)
+                lines = _Lines(piece.column(2), cut, rank)
+                size, all_sets = np.diff(lines.bounds), lines.set_hashes()
+                used = np.flatnonzero((size > 0) | cut.whole)
+                doc = pa.array(lines.doc[used])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        piece.column(0).take(doc), piece.column(1).take(doc), pa.array(lines.number[used].astype(np.int32)),
+                        pa.array(all_sets[used]), pa.nulls(len(used), pa.int32()), pa.nulls(len(used), pa.binary()),
+                    ],
+                    ["doc_id", "text_key", "line_no", "line_set", "task", "postings"],
+                )
+                sets, place = np.unique(all_sets, return_index=True)
                 fresh = (size[place] > 0) & ~np.isin(sets, seen)
                 sets, place = sets[fresh], place[fresh]
                 seen = np.concatenate((seen, sets))
@@ -200,8 +209,10 @@ def _postings(rarity: np.ndarray, cut: Cut, tasks: int):
             ends = np.searchsorted(task[order], np.arange(tasks + 1))
             filled = np.flatnonzero(np.diff(ends))
             packed = [b"".join(out[n][ends[t] : ends[t + 1]].tobytes() for n in _POSTING) for t in filled]
+            nothing = [pa.nulls(len(filled), kind) for kind in (pa.int64(), pa.int64(), pa.int32(), pa.int64())]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(filled.astype(np.int32)), pa.array(packed, pa.binary())], ["task", "postings"]
+                [*nothing, pa.array(filled.astype(np.int32)), pa.array(packed, pa.binary())],
+                ["doc_id", "text_key", "line_no", "line_set", "task", "postings"],
             )
 
     return run
@@ -269,30 +280,6 @@ def _reachable(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> np
     return 1 + np.minimum(x - i - 1, y - j - 1) >= _needed(x, y)
 
 
-def _line_sets(rank: np.ndarray, cut: Cut):
-    """A row for each line that holds tokens, or for each text that is one line."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers(_BASE)
-        for batch in batches:
-            for piece in small_pieces(batch, "text"):
-                lines = _Lines(piece.column(2), cut, powers, rank)
-                sets = lines.set_hashes()
-                used = np.flatnonzero((np.diff(lines.bounds) > 0) | cut.whole)
-                doc = pa.array(lines.doc[used])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        piece.column(0).take(doc),
-                        piece.column(1).take(doc),
-                        pa.array(lines.number[used].astype(np.int32)),
-                        pa.array(sets[used]),
-                    ],
-                    ["doc_id", "text_key", "line_no", "line_set"],
-                )
-
-    return run
-
-
 def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The third column, texts, in compressed form: they are moved but once."""
     press = zstandard.ZstdCompressor(level=1).compress
@@ -307,12 +294,12 @@ def _tokens_of(rank: np.ndarray, cut: Cut):
     """The tokens of chosen lines, packed; the second column has the lines' numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, plain = Powers(_BASE), zstandard.ZstdDecompressor().decompress
+        plain = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             texts = pa.array([plain(t).decode() for t in batch.column(0).to_pylist()], pa.string())
             batch = pa.RecordBatch.from_arrays([texts, batch.column(1)], ["text", "wanted"])
             for piece in small_pieces(batch, "text"):
-                lines = _Lines(piece.column(0), cut, powers, rank)
+                lines = _Lines(piece.column(0), cut, rank)
                 first = np.searchsorted(lines.doc, np.arange(piece.num_rows))
                 numbers = piece.column(1)
                 text = np.repeat(np.arange(piece.num_rows), pc.list_value_length(numbers).to_numpy())
@@ -382,13 +369,13 @@ def set_groups(docs: DataFrame, cut: Cut) -> SetGroups:
     rarity = _rarity_cells(texts, cut)
     rank = _ranks(rarity)
     tasks = max(1, int(rarity.sum()) // 4 // TASK_TOKENS + 1)
-    lines = texts.mapInArrow(_line_sets(rank, cut), "doc_id long, text_key long, line_no int, line_set long")
-    lines = written(lines, "lines")
+    held = written(texts.mapInArrow(_lines_and_postings(rarity, cut, tasks), _HELD), "lines")
+    lines = held.filter("task is null").select("doc_id", "text_key", "line_no", "line_set")
     place = F.struct("doc_id", "text_key", "line_no")
     firsts = lines.groupBy("line_set").agg(F.min(place).alias("place"), F.count("*").alias("n"))
     firsts = written(firsts, "line-sets")
 
-    packed = texts.select("text").mapInArrow(_postings(rarity, cut, tasks), "task int, postings binary")
+    packed = held.filter("task is not null").select("task", "postings")
     members = packed.repartitionById(tasks, F.col("task")).mapInArrow(_candidates, "group long, line_set long, size int, at int")
     members = written(members.join(firsts, "line_set"), "line-groups")
 
@@ -406,12 +393,12 @@ def set_groups(docs: DataFrame, cut: Cut) -> SetGroups:
     return SetGroups(lines, firsts, members, tokens)
 
 
-def repeated_lines(docs: DataFrame, words: int = WORDS, short: bool = False) -> DataFrame:
+def repeated_lines(docs: DataFrame, words: int = WORDS, short: bool = True) -> DataFrame:
     """Lines that repeat an earlier one: ``doc_id, text_key, line_no, match_doc_id, match_line_no``.
 
     A line is what stands between line breaks; its tokens are the distinct sequences of ``words``
-    following words (cut at ASCII blanks, case kept).  A line of fewer words is one token with
-    ``short``; without, it holds none and is never a copy.  Nor is a blank line.  A line goes if an
+    following words (cut at ASCII blanks, case kept).  A line of fewer words is one token; without
+    ``short`` it holds none and is never a copy.  Nor is a blank line.  A line goes if an
     earlier line, by (``doc_id``, text, line number), has the same tokens or a Jaccard similarity
     of 0.8 or more to it, whether or not that line stays.  The match is one such line, the first
     with the same tokens unless only others are similar.
@@ -445,7 +432,7 @@ def repeated_lines(docs: DataFrame, words: int = WORDS, short: bool = False) ->
     )
 
 
-def drop_repeated_lines(docs: DataFrame, words: int = WORDS, short: bool = False) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, words: int = WORDS, short: bool = True) -> DataFrame:
     """``docs`` with the lines of :func:`repeated_lines` cut from ``text``; ``n_chars`` follows.
 
     All columns and rows stay but those of texts that lose every line.  A text without a repeated

@@ -72,7 +72,8 @@ def _line_sets(rows, width):
     for doc, text in rows:
         for number, line in enumerate((text or "").split("\n") if text is not None else []):
             words = line.encode().split()
-            yield doc, text, number, frozenset(tuple(words[i : i + width]) for i in range(len(words) - width + 1))
+            shingles = [tuple(words[i : i + width]) for i in range(max(len(words) - width + 1, min(len(words), 1)))]
+            yield doc, text, number, frozenset(shingles)
 
 
 def test_repeated_lines(spark, docs, rows, no_docs):
@@ -104,6 +105,21 @@ def test_repeated_lines(spark, docs, rows, no_docs):
     assert lines.repeated_lines(no_docs).count() == 0
 
 
+def _thue_morse(n):
+    return "".join("ab"[i.bit_count() % 2] for i in range(n))
+
+
+def test_words_that_collide_in_polynomials_differ(spark):
+    texts = []
+    for n in (8, 64, 512, 1024, 2048):
+        word = _thue_morse(n)
+        texts += [f"some {x} words around it" for x in (word, word.translate({97: "b", 98: "a"}))]
+    texts += [f"x {c * 9} y" for c in "abc"] + ["x aaaaaaaaa y"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = lines.repeated_lines(frame).collect()
+    assert [(r.doc_id, r.match_doc_id) for r in got] == [(13, 10)]
+
+
 def _text_keys(spark, rows):
     from pyspark.sql import functions as F
 
