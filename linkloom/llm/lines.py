@@ -155,7 +155,7 @@ def _lines_and_postings(rarity: np.ndarray, cut: Cut, tasks: int):
     """Rows of two sorts, as each text is cut but once.
 
     A row for each line that holds tokens, or for each text that is one line; and, with a
-    ``task``, a packed row for each task and batch: the prefix tokens of the distinct sets of the batch.
+    ``task``, packed rows of the prefix tokens of the distinct sets among some texts.
     """
     top, low = SIMILAR
     rank = _ranks(rarity)
@@ -189,35 +189,42 @@ def _lines_and_postings(rarity: np.ndarray, cut: Cut, tasks: int):
                     ("size", size[row]), ("place", at),
                 ):
                     made[name].append(values.astype(_POSTING[name]))
-            if not made["token"]:
-                continue
-            out = {name: np.concatenate(parts) for name, parts in made.items() if parts}
-            # Tokens that may be frequent are cut into blocks, which meet pair by pair.
-            count = rarity[out["token"] >> np.uint64(64 - RARITY_BITS)]
-            blocks = np.maximum(1, -(count // -(BLOCK_LINES << 6))).astype(np.int64)
-            own = (mixed(out["set"].view(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
-            if blocks.max(initial=1) > 1:
-                other = np.arange(int(blocks.sum())) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                out, own = {name: np.repeat(v, blocks) for name, v in out.items()}, np.repeat(own, blocks)
-            else:
-                other = own
-            out["meet"] = np.minimum(own, other) * 1_000_003 + np.maximum(own, other)
-            spread = out["token"] + mixed(out["meet"].view(np.uint64))
-            task = (mixed(spread) % np.uint64(tasks)).astype(np.int32)
-            order = np.argsort(task, kind="stable")
-            out = {name: v[order] for name, v in out.items()}
-            ends = np.searchsorted(task[order], np.arange(tasks + 1))
-            filled = np.flatnonzero(np.diff(ends))
-            packed = [b"".join(out[n][ends[t] : ends[t + 1]].tobytes() for n in _POSTING) for t in filled]
-            nothing = [pa.nulls(len(filled), kind) for kind in (pa.int64(), pa.int64(), pa.int32(), pa.int64())]
-            yield pa.RecordBatch.from_arrays(
-                [*nothing, pa.array(filled.astype(np.int32)), pa.array(packed, pa.binary())],
-                ["doc_id", "text_key", "line_no", "line_set", "task", "postings"],
-            )
+                if sum(map(len, made["token"])) >= TASK_TOKENS:
+                    yield _packed(made, rarity, tasks)
+                    made, seen = {name: [] for name in _POSTING}, np.zeros(0, np.int64)
+            if made["token"]:
+                yield _packed(made, rarity, tasks)
 
     return run
 
 
+def _packed(made: dict[str, list[np.ndarray]], rarity: np.ndarray, tasks: int) -> pa.RecordBatch:
+    """A row for each task with its postings."""
+    out = {name: np.concatenate(parts) for name, parts in made.items()}
+    # Tokens that may be frequent are cut into blocks, which meet pair by pair.
+    count = rarity[out["token"] >> np.uint64(64 - RARITY_BITS)]
+    blocks = np.maximum(1, -(count // -(BLOCK_LINES << 6))).astype(np.int64)
+    own = (mixed(out["set"].view(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
+    if blocks.max(initial=1) > 1:
+        other = np.arange(int(blocks.sum())) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        out, own = {name: np.repeat(v, blocks) for name, v in out.items()}, np.repeat(own, blocks)
+    else:
+        other = own
+    out["meet"] = np.minimum(own, other) * 1_000_003 + np.maximum(own, other)
+    spread = out["token"] + mixed(out["meet"].view(np.uint64))
+    task = (mixed(spread) % np.uint64(tasks)).astype(np.int32)
+    order = np.argsort(task, kind="stable")
+    out = {name: v[order] for name, v in out.items()}
+    ends = np.searchsorted(task[order], np.arange(tasks + 1))
+    filled = np.flatnonzero(np.diff(ends))
+    packed = [b"".join(out[n][ends[t] : ends[t + 1]].tobytes() for n in _POSTING) for t in filled]
+    nothing = [pa.nulls(len(filled), kind) for kind in (pa.int64(), pa.int64(), pa.int32(), pa.int64())]
+    return pa.RecordBatch.from_arrays(
+        [*nothing, pa.array(filled.astype(np.int32)), pa.array(packed, pa.binary())],
+        ["doc_id", "text_key", "line_no", "line_set", "task", "postings"],
+    )
+
+
 def _unpacked(packed: bytes) -> dict[str, np.ndarray]:
     n = len(packed) // sum(np.dtype(t).itemsize for t in _POSTING.values())
     out, at = {}, 0
