@@ -40,8 +40,8 @@ def op2_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf: str) -> DataFrame:
-    """Copies of a text, by hash of the whole of it, are one duplicate cluster."""
-    return packing.pack(_documents(spark, sf), F.xxhash64("text"))
+    """Copies of a text, by hash of the whole of it, are one duplicate cluster; texts without words are in none."""
+    return packing.pack(_documents(spark, sf), packing.copies(F.col("text")))
 
 
 def op4_simhash(spark: SparkSession, sf: str) -> DataFrame:

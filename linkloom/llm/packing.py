@@ -52,6 +52,11 @@ def _bits(values: list, only_shared: bool) -> list[int]:
     return [bit.get(v, 0) for v in values]
 
 
+def copies(text: Column) -> Column:
+    """A cluster for each text, by hash of the whole of it; null where there is nothing to copy."""
+    return F.when(text.rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(text))
+
+
 def pack(
     docs: DataFrame, cluster: Column | str, capacity: int = CAPACITY, tokens: Column | None = None, shard_pieces: int = SHARD_PIECES
 ) -> DataFrame:

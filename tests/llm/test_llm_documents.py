@@ -292,7 +292,7 @@ def test_packing(docs, no_docs):
     from pyspark.sql import functions as F
 
     for shard_pieces in (packing.SHARD_PIECES, 50):
-        got = packing.pack(docs, F.xxhash64("text"), shard_pieces=shard_pieces).collect()
+        got = packing.pack(docs, packing.copies(F.col("text")), shard_pieces=shard_pieces).collect()
         sizes = Counter((r.doc_id, (len((r.text or "").encode()) + 3) // 4) for r in docs.select("doc_id", "text").collect())
         want = Counter()
         for (doc, size), n in sizes.items():
@@ -304,11 +304,20 @@ def test_packing(docs, no_docs):
             bins[r.shard, r.bin].append(r)
         for held in bins.values():
             assert sum(r.tokens for r in held) <= 2048
-            for values in ([r.source for r in held if r.source is not None], [r.cluster for r in held]):
+            for values in ([r.source for r in held if r.source is not None], [r.cluster for r in held if r.cluster is not None]):
                 assert len(set(values)) == len(values)
     assert packing.pack(no_docs, "n_chars").count() == 0
 
 
+def test_texts_without_words_share_a_bin(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, t, f"s{i}") for i, t in enumerate([None, "", " \n", None, "a word", "a word"])]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), packing.copies(F.col("text")))
+    bins = {r.doc_id: r.bin for r in got.collect()}
+    assert len({bins[i] for i in range(4)}) == 1 and bins[4] != bins[5]
+
+
 def test_best_fit_goes_on_to_the_tightest_compatible_bin():
     bins = packing._Bins(100)
     assert [bins.put(60, 1), bins.put(70, 2), bins.put(80, 4)] == [0, 1, 2]
