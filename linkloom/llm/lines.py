@@ -370,14 +370,19 @@ class SetGroups(NamedTuple):
         return whole.mapInArrow(_verified, "a long, b long")
 
 
-def set_groups(docs: DataFrame, cut: Cut) -> SetGroups:
-    """Sets of the lines of ``docs`` (``doc_id``, ``text``), by the prefix, length and positional filters."""
+def set_groups(docs: DataFrame, cut: Cut, again: bool = False) -> SetGroups:
+    """Sets of the lines of ``docs`` (``doc_id``, ``text``), by the prefix, length and positional filters.
+
+    Postings are written with the lines, or, to keep less in the scratch folder, made ``again`` in a second pass.
+    """
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("string"))
     rarity = _rarity_cells(texts, cut)
     rank = _ranks(rarity)
     tasks = max(1, int(rarity.sum()) // 4 // TASK_TOKENS + 1)
-    held = written(texts.mapInArrow(_lines_and_postings(rarity, cut, tasks), _HELD), "lines")
+    held = texts.mapInArrow(_lines_and_postings(rarity, cut, tasks), _HELD)
+    held = held if again else written(held, "lines")
     lines = held.filter("task is null").select("doc_id", "text_key", "line_no", "line_set")
+    lines = written(lines, "lines") if again else lines
     place = F.struct("doc_id", "text_key", "line_no")
     firsts = lines.groupBy("line_set").agg(F.min(place).alias("place"), F.count("*").alias("n"))
     firsts = written(firsts, "line-sets")
@@ -400,7 +405,7 @@ def set_groups(docs: DataFrame, cut: Cut) -> SetGroups:
     return SetGroups(lines, firsts, members, tokens)
 
 
-def repeated_lines(docs: DataFrame, words: int = WORDS, short: bool = True) -> DataFrame:
+def repeated_lines(docs: DataFrame, words: int = WORDS, short: bool = True, again: bool = False) -> DataFrame:
     """Lines that repeat an earlier one: ``doc_id, text_key, line_no, match_doc_id, match_line_no``.
 
     A line is what stands between line breaks; its tokens are the distinct sequences of ``words``
@@ -417,7 +422,7 @@ def repeated_lines(docs: DataFrame, words: int = WORDS, short: bool = True) -> D
     ``text_key`` is the hash of the text: rows that agree in id and text are one document, and
     what is said of it holds for each.  Null ids come before others; null texts have no lines.
     """
-    sets = set_groups(docs, Cut(words, short))
+    sets = set_groups(docs, Cut(words, short), again)
     lines, firsts, members = sets.lines, sets.firsts, sets.members
 
     def matches(pairs: DataFrame) -> DataFrame:
@@ -445,7 +450,7 @@ def drop_repeated_lines(docs: DataFrame, words: int = WORDS, short: bool = True)
     All columns and rows stay but those of texts that lose every line.  A text without a repeated
     line, also null or empty, stays as it is.
     """
-    gone = repeated_lines(docs, words, short).groupBy("doc_id", "text_key").agg(F.collect_list("line_no").alias("gone"))
+    gone = repeated_lines(docs, words, short, again=True).groupBy("doc_id", "text_key").agg(F.collect_list("line_no").alias("gone"))
     d, g = docs.alias("d"), gone.alias("g")
     key = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.xxhash64("d.text") == F.col("g.text_key"))
     kept = F.filter(F.split("d.text", "\n"), lambda line, i: ~F.array_contains(F.col("g.gone"), i))
