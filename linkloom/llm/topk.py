@@ -14,9 +14,14 @@ from linkloom.scratch import written
 BLOCK_ROWS = 8192
 BLOCK_QUERIES = 1024
 #: Quantised impacts of a component.
-LEVELS = 16
-#: Postings between two looks at the bounds, and before the rest is rescored, as shares of a block.
-STRIDE, PATIENCE = 0.5, 2.0
+LEVELS = 8
+#: The search ends once all but this part of a block is excluded by proof.
+SHARE = 64
+#: Between two looks at the bounds, what can still be added falls to this share of itself.
+LOOK = 0.85
+#: Components of rows and queries that whole 64-bit numbers hold with room to spare; vectors with
+#: larger ones are scored in long arithmetic, outside of the index.
+_NARROW = 2.0**44
 
 
 class _Index:
@@ -25,88 +30,115 @@ class _Index:
     def __init__(self, x: np.ndarray):
         self.x, self.floats = x, x.astype(float)
         n, dims = x.shape
-        self.low, self.high = x.min(axis=0), x.max(axis=0)
+        self.low, self.high = (x.min(axis=0), x.max(axis=0)) if n else (np.zeros(dims, int), np.zeros(dims, int))
         step = np.maximum(1, -(-(self.high - self.low + 1) // LEVELS))
-        self.rows = np.argsort(x, axis=0, kind="stable").T
-        level = ((x - self.low) // step).T
-        held = np.take_along_axis(level, self.rows, axis=1)
+        self.rows = np.argsort(x, axis=0, kind="stable").T.copy()
+        self.held = np.take_along_axis(self.floats.T, self.rows, axis=1)
+        level = np.take_along_axis(((x - self.low) // step).T, self.rows, axis=1)
         #: Where the segments of a component begin in its postings, the end included.
-        self.cuts = np.stack([np.searchsorted(h, np.arange(LEVELS + 1)) for h in held]) if dims else np.zeros((0, LEVELS + 1), int)
+        self.cuts = np.stack([np.searchsorted(h, np.arange(LEVELS + 1)) for h in level]) if dims else np.zeros((0, LEVELS + 1), int)
         # Smallest and largest value of each segment's quantised range.
         self.first = np.minimum(self.low[:, None] + step[:, None] * np.arange(LEVELS), self.high[:, None])
         self.last = np.minimum(self.first + step[:, None] - 1, self.high[:, None])
         self.largest = float(np.abs(x).max(initial=0))
 
-    def exact(self, q: np.ndarray, rows: np.ndarray | slice) -> np.ndarray:
+    def exact(self, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Whole scores; in floats only where they are exact."""
         if self.largest * float(np.abs(q).max(initial=0)) * max(1, len(q)) < 2**52:
             return (self.floats[rows] @ q.astype(float)).astype(np.int64)
-        return (self.x[rows].astype(object) @ q.astype(object)).astype(np.int64)
+        return _held(self.x[rows].astype(object) @ q.astype(object))
 
     def possible(self, q: np.ndarray, k: int, barred: np.ndarray) -> np.ndarray:
         """Rows that the bounds can't exclude from the best ``k`` (``barred`` rows apart).
 
         Impacts count from the least that a component can add, so that none is negative and what
         has been added so far is a lower bound.  All that is not yet added is at most the sum of
-        the next segments' impacts, one for each component.
+        the next segments' impacts, one for each component.  Segments are taken by falling impact
+        until it is proved of all but a few rows that they can't be among the best, or none is left.
         """
         n = len(self.x)
         used = np.flatnonzero(q)
-        if n <= 4 * k or not len(used):
+        if n <= 16 * k or not len(used):
             return np.arange(n)
         up = q[used] > 0
         bound = np.where(
-            up[:, None], (self.last[used] - self.low[used, None]) * q[used, None], (self.first[used] - self.high[used, None]) * q[used, None]
-        ).astype(float)
+            up[:, None], (self.last[used] - self.low[used, None]) * q[used, None].astype(float),
+            (self.first[used] - self.high[used, None]) * q[used, None].astype(float),
+        )
         size = np.diff(self.cuts[used], axis=1)
         bound[size == 0] = -1.0
         order = np.argsort(-bound, axis=None, kind="stable")[: np.count_nonzero(size)]
-        following = bound.max(axis=1)
         # What a component can still add after a segment: the impact of its next one.
-        ranked = np.sort(bound, axis=1)[:, ::-1]
-        taken = np.zeros(len(used), np.int64)
+        ranked = np.maximum(0.0, np.sort(bound, axis=1)[:, ::-1])
+        ranked = np.column_stack((ranked, np.zeros(len(used))))
+        after = np.empty(ranked[:, 1:].shape)
+        np.put_along_axis(after, np.argsort(-bound, axis=1, kind="stable"), ranked[:, :-1] - ranked[:, 1:], axis=1)
+        left = rest = float(ranked[:, 0].sum())
+        base = np.where(up, self.low[used], self.high[used]).astype(float)
+        by = q[used].astype(float)
+        shift, doubt = float(base @ by), 1e-9 * (1 + rest + float(np.abs(base) @ np.abs(by)))
+        fall = after.ravel()[order].tolist()
         added = np.zeros(n)
-        work = looked = 0
-        limit = PATIENCE * n
-        for flat in order:
-            at, level = divmod(int(flat), LEVELS)
+        for flat, less in zip(order.tolist(), fall):
+            at, level = divmod(flat, LEVELS)
             d = used[at]
-            rows = self.rows[d, self.cuts[d, level] : self.cuts[d, level + 1]]
-            base = self.low[d] if up[at] else self.high[d]
-            added[rows] += (self.x[rows, d] - base) * float(q[d])
-            taken[at] += 1
-            following[at] = max(0.0, ranked[at, taken[at]]) if taken[at] < LEVELS else 0.0
-            work += len(rows)
-            if work - looked < STRIDE * n and work < limit:
+            own = slice(self.cuts[d, level], self.cuts[d, level + 1])
+            added[self.rows[d, own]] += (self.held[d, own] - base[at]) * by[at]
+            left -= less
+            if left > LOOK * rest:
                 continue
-            looked = work
+            rest = left
             known = added.copy()
             known[barred] = -1.0
             best = np.argpartition(known, n - k)[n - k :]
-            shift = float(np.where(up, self.low[used], self.high[used]).astype(float) @ q[used].astype(float))
-            sure = known[best] >= 0
-            worst = min(float(self.exact(q, best[sure]).min(initial=2**62)) - shift if sure.all() else 0.0, np.inf)
-            alive = np.flatnonzero(known + following.sum() + 1e-6 * (1 + abs(worst)) >= worst)
-            if len(alive) <= 16 * k or work >= limit:
+            if known[best].min() < 0:
+                continue
+            worst = float(self.exact(q, best).min()) - shift
+            alive = np.flatnonzero(known + rest + doubt >= worst)
+            if len(alive) <= max(16 * k, n // SHARE):
                 return alive
-        return np.arange(n)
+        return np.flatnonzero(known + doubt >= worst) if rest <= doubt and known[best].min() >= 0 else np.arange(n)
+
+
+def _held(scores: np.ndarray) -> np.ndarray:
+    """Whole numbers of any size as 64-bit ones, the nearest where they don't fit."""
+    return np.array([min(max(int(s), -(2**63)), 2**63 - 1) for s in scores], np.int64)
+
+
+def _whole(x: np.ndarray) -> np.ndarray:
+    """``floor(256 x)`` of doubles of any size, as Python's whole numbers."""
+    out = np.empty(x.shape, object)
+    for at, value in np.ndenumerate(x):
+        out[at] = int(value) * 256 if abs(value) >= 2.0**53 else int(np.floor(value * 256))
+    return out
 
 
 def _search(k: int):
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if rows.num_rows and queries.num_rows:
-            wide = [t.column("vector").combine_chunks() for t in (rows, queries)]
-            width = max(int(np.diff(c.offsets.to_numpy()).max(initial=0)) for c in wide)
-            x, q = (matrix(c, width) for c in wide)
+            cells = [t.column("vector").combine_chunks() for t in (rows, queries)]
+            width = max(int(np.diff(c.offsets.to_numpy()).max(initial=0)) for c in cells)
+            x, q = (matrix(c, width) for c in cells)
             ids, own = rows.column("vec_id").to_numpy(), queries.column("vec_id").to_numpy()
-            index = _Index(x)
-            for query_id, vector in zip(own, q):
-                barred = np.flatnonzero(ids == query_id)
-                alive = index.possible(vector, k, barred)
-                alive = alive[ids[alive] != query_id]
-                score = index.exact(vector, alive)
-                best = np.lexsort((ids[alive], -score))[:k]
+            wide, odd = (np.abs(v).max(axis=1, initial=0) >= _NARROW / 256 for v in (x, q))
+            order = np.argsort(wide, kind="stable")  # the rows of the index, then the wide ones
+            x, ids, plain = x[order], ids[order], int((~wide).sum())
+            index = _Index(np.floor(x[:plain] * 256).astype(np.int64))
+            large, all_rows = _whole(x[plain:]), _whole(x) if odd.any() else None
+            for query_id, vector, is_odd in zip(own, q, odd):
+                if is_odd:
+                    alive, score = np.arange(len(x)), _held(all_rows @ _whole(vector))
+                else:
+                    vector = np.floor(vector * 256).astype(np.int64)
+                    alive = index.possible(vector, k, np.flatnonzero(ids[:plain] == query_id))
+                    score = index.exact(vector, alive)
+                    if len(large):
+                        alive = np.append(alive, np.arange(plain, len(x)))
+                        score = np.append(score, _held(large @ vector.astype(object)))
+                other = ids[alive] != query_id
+                alive, score = alive[other], score[other]
+                best = np.lexsort((ids[alive], -score.astype(object) if is_odd or len(large) else -score))[:k]
                 found.append((np.full(len(best), query_id), ids[alive[best]], score[best]))
         parts = [np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3)]
         return pa.table({"query_id": parts[0], "vec_id": parts[1], "score": parts[2]})
@@ -120,18 +152,19 @@ def best_matches(vectors: DataFrame, query: str, k: int = 5) -> DataFrame:
     ``vectors`` has ``vec_id`` and ``embedding``; a component ``x`` counts as ``floor(256 x)`` and
     the score is the whole-number inner product.  Ties go to the smaller id.  A query is compared
     with all rows of other ids.  Vectors that are null or hold null or non-finite components, and
-    rows without an id, take no part, nor do those with components of 2**45 or more, whose scores
-    whole 64-bit numbers can't hold.  Shorter vectors end in zeros.  Rows that repeat an id are
-    each searched and found on their own, and a query's rows share one ranking.
+    rows without an id, take no part.  Shorter vectors end in zeros.  A score beyond the range of a
+    long is given as the nearest long, and equal ones of those go by id.  Rows that repeat an id are
+    each searched and found on their own; all rows with a query's id share one ranking, so a
+    candidate that several of them find holds several ranks.
 
     Rows and queries are cut into blocks by hash; every block of queries meets every block of
-    rows, each an impact-ordered index.  A block ends early only where bounds prove that no other
-    row can be among its best; the others are rescored in whole.
+    rows, each an impact-ordered index.  A search in a block ends only when bounds prove that no
+    more than a small part of its rows can be among the best, or when all segments are added;
+    those rows are rescored in whole.
     """
-    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("long"))
-    small = F.forall("embedding", lambda x: F.abs(x) < 2**45)
-    good = vectors.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")) & small)
-    rows = written(good.select(F.col("vec_id").cast("long"), whole.alias("vector")), "vectors")
+    plain = F.col("embedding").cast("array<double>").alias("vector")
+    good = vectors.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
+    rows = written(good.select(F.col("vec_id").cast("long"), plain), "vectors")
     asked = rows.filter(query)
     counted = rows.agg(F.count("*"), F.count(F.when(F.expr(query), 1))).first()
     row_blocks, query_blocks = counted[0] // BLOCK_ROWS + 1, counted[1] // BLOCK_QUERIES + 1

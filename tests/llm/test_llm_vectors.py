@@ -2,6 +2,8 @@
 
 import glob
 from collections import Counter, defaultdict
+from fractions import Fraction
+from math import floor
 
 import duckdb
 import numpy as np
@@ -42,6 +44,7 @@ def vectors(spark):
         (1000, None, 1), (1001, [], 1), (1002, [0.0] * 6, 1), (1003, [NAN] + [1.0] * 5, 1), (1004, [INF] * 6, 1),
         (1005, [None] * 6, 1), (1006, [1.0, 2.0], 0), (1007, [1.0, 2.0, 0.0], 0), (None, [1.0] * 6, 0), (1050, [1.0] * 6, None),
         (50, [1.0] * 6, 0), (50, [1.0] * 6, 0), (None, None, None), (1100, [-5e-324] * 6, 0), (1101, [1e300] * 6, 0),
+        (1120, [2.0**46, 0.5], 1), (1130, [-1.7e308, 3.3] * 3, 1), (1131, [2.0**37 + 0.125], 1),
     ]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     return frame.selectExpr("*", "'clash' as node", "'clash' as vector", "'clash' as links", "'clash' as score").cache()
@@ -57,13 +60,14 @@ def test_best_matches(vectors, monkeypatch, block):
         monkeypatch.setattr(topk, "BLOCK_ROWS", block)
         monkeypatch.setattr(topk, "BLOCK_QUERIES", 3)
     held = [(r.vec_id, r.embedding) for r in vectors.collect() if r.vec_id is not None and _usable(r.embedding)]
-    whole = [(i, [int(np.floor(256 * c)) for c in v]) for i, v in held if all(abs(c) < 2**45 for c in v)]
+    whole = [(i, [floor(256 * Fraction(c)) for c in v]) for i, v in held]
     want = Counter()
     for query in {i for i, _ in whole if i % 10 == 0}:
         found = []
         for i, q in whole:
             if i == query:
-                found += [(-sum(a * b for a, b in zip(q, v)), j) for j, v in whole if j != query]
+                scores = [(sum(a * b for a, b in zip(q, v)), j) for j, v in whole if j != query]
+                found += [(-min(max(s, -(2**63)), 2**63 - 1), j) for s, j in scores]
         for rank, (score, j) in enumerate(sorted(found)[:5], 1):
             want[query, rank, j, -score] += 1
     got = Counter(tuple(r) for r in topk.best_matches(vectors, "vec_id % 10 = 0").collect())
@@ -71,6 +75,19 @@ def test_best_matches(vectors, monkeypatch, block):
     assert topk.best_matches(vectors.filter("false"), "true").count() == 0
 
 
+def test_bounds_exclude_rows_by_proof():
+    """Most rows of a block are never rescored, and the best are always among those that are."""
+    x = np.random.default_rng(3).normal(scale=30, size=(4000, 24)).astype(np.int64)
+    x[:200] = x[0] + np.arange(200)[:, None] % 3
+    index = topk._Index(x)
+    for i in range(0, 4000, 97):
+        left = index.possible(x[i], 5, np.array([i]))
+        score = x @ x[i]
+        score[i] = -(2**62)
+        best = np.flatnonzero(score >= np.sort(score)[-5])
+        assert set(best) <= set(left) and (len(left) <= 80 or i < 200)
+
+
 @pytest.mark.parametrize("block", [16, None])
 def test_near_vectors(vectors, monkeypatch, block):
     if block:
