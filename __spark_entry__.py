@@ -423,6 +423,15 @@ def rawdocs_roundtrip(spark, sf):
     return rawdocs.read_rawdocs(spark, path).select("id", "length", F.md5("html").alias("html_md5"))
 
 
+def rawdocs_overwrite(spark, sf):
+    """All pages, then replaced by those of even id, then those of odd id added."""
+    path, pages = work_dir(spark, "rawdocs"), _pages(spark, sf)
+    rawdocs.write_rawdocs(pages, path, max_file_size=64 * 1024, length_mode="low_byte")
+    rawdocs.write_rawdocs(pages.filter("page_id % 2 = 0"), path, mode="overwrite")
+    rawdocs.write_rawdocs(pages.filter("page_id % 2 <> 0"), path, max_file_size=128 * 1024)
+    return rawdocs.read_rawdocs(spark, path).select("id", "length", F.md5("html").alias("html_md5"))
+
+
 def _page_stream(spark, sf, columns):
     """The pages table as a stream of several files."""
     pages = _pages(spark, sf).select(*columns)
@@ -525,6 +534,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         catalog_delete, deleted_count, catalog_insert, crawl_progress, pending_docs, crawl_graph,
         crawl_limit, encode_records, encode_low_byte, rawdocs_roundtrip, deep_page, patch_writers,
         delete_rows, insert_race, number_links, crawl_resume, crawl_unfinished, crawl_twice, record_twice, store_twice, rawdocs_batches,
+        rawdocs_overwrite,
     ]
     named = {f.__name__: f for f in plain}
     named["stream_links"] = stream_links_query
@@ -743,6 +753,9 @@ WITH {_CATALOG_CTE}, s AS (
   WHERE NOT contains(d.url, '#')
   UNION ALL SELECT * FROM doc WHERE contains(url, '#') AND id % 2 = 0)
 SELECT {_VIEW} FROM s""",
+        "rawdocs_overwrite": """
+SELECT 'doc_' || page_id AS id, CAST(octet_length(encode(html)) AS INTEGER) AS length, md5(html) AS html_md5
+FROM pages WHERE html <> ''""",
         "rawdocs_batches": """
 SELECT 'doc_' || page_id AS id, CAST(octet_length(encode(html)) AS INTEGER) AS length, md5(html) AS html_md5
 FROM pages WHERE html <> ''""",

@@ -3,10 +3,17 @@
 Records are framed by Spark expressions.  A Python data source only moves the bytes: its writer
 rolls files by size inside each task, its reader streams byte ranges of files, so neither holds
 more than a chunk and one record.
+
+A commit is one small file, the journal, that names the prepared files, the names they get and the
+files that go.  Until it is there readers see what was there before; from then on they see what it
+says, wherever its files lie.  The writer then carries it out and removes it, and if it can't, the
+next writer of the folder does.  A folder has one writer at a time.
 """
 
 from __future__ import annotations
 
+import json
+import posixpath
 import re
 import uuid
 from collections.abc import Iterator
@@ -44,6 +51,7 @@ _SPLIT_SIZE = 64 * 1024 * 1024
 _CHUNK = 4 * 1024 * 1024
 _BATCH_BYTES = 8 * 1024 * 1024
 _RENAMERS = 32
+_JOURNAL = "_journal.json"
 
 
 # ---- framing -------------------------------------------------------------------------------
@@ -114,8 +122,8 @@ def _open_fs(path: str) -> tuple[fs.FileSystem, str]:
 class _TaskFiles(WriterCommitMessage):
     part: int
     files: list[str]
+    sizes: list[int]
     records: int
-    bytes: int
 
 
 class _RollingFiles:
@@ -124,8 +132,9 @@ class _RollingFiles:
     def __init__(self, filesystem: fs.FileSystem, stem: str, limit: int):
         self.filesystem, self.stem, self.limit = filesystem, stem, limit
         self.names: list[str] = []
+        self.sizes: list[int] = []
         self.out = None
-        self.size = self.total = self.records = 0
+        self.size = self.records = 0
 
     def add(self, data: memoryview, ends: np.ndarray) -> None:
         """Records that lie one after the other in ``data``; ``ends`` has where each ends."""
@@ -143,7 +152,6 @@ class _RollingFiles:
             end = int(ends[last - 1])
             self.out.write(data[begin:end])
             self.size += end - begin
-            self.total += end - begin
             self.records += last - first
             first, begin = last, end
 
@@ -151,6 +159,7 @@ class _RollingFiles:
         if self.out is not None:
             self.out.write(bytes([FILE_END]))
             self.out.close()
+            self.sizes.append(self.size + 1)
             self.out, self.size = None, 0
 
 
@@ -177,37 +186,73 @@ class _Writer(DataSourceArrowWriter):
                 ends = np.frombuffer(offsets, np.int64)[records.offset : records.offset + len(records) + 1]
                 files.add(memoryview(data)[ends[0] : ends[-1]], ends[1:] - ends[0])
         files.close()
-        return _TaskFiles(task.partitionId(), files.names, files.records, files.total)
+        return _TaskFiles(task.partitionId(), files.names, files.sizes, files.records)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         filesystem, root = _open_fs(self.path)
         filesystem.create_dir(root, recursive=True)
+        _carry_out(filesystem, root)  # what a writer before this one has left undone
         numbered = re.compile(re.escape(self.prefix) + r"(\d+)" + re.escape(self.suffix))
         present = {
-            info.path: int(m.group(1))
+            info.base_name: int(m.group(1))
             for info in filesystem.get_file_info(fs.FileSelector(root))
             if (m := numbered.fullmatch(info.base_name))
         }
-        if self.overwrite:
-            for path in present:
-                filesystem.delete_file(path)
-            start = 0
-        else:
-            start = max(present.values(), default=-1) + 1
+        start = 0 if self.overwrite else max(present.values(), default=-1) + 1
         tasks = sorted((m for m in messages if m is not None), key=lambda m: m.part)
-        staged = [name for m in tasks for name in m.files]
-        targets = [f"{root}/{self.prefix}{start + i}{self.suffix}" for i in range(len(staged))]
-        with ThreadPoolExecutor(_RENAMERS) as pool:
-            list(pool.map(filesystem.move, staged, targets))
-        self._drop_staging(filesystem, root)
+        staged = [(posixpath.basename(name), size) for m in tasks for name, size in zip(m.files, m.sizes)]
+        moves = [
+            (f"{self.staging}/{name}", f"{self.prefix}{start + i}{self.suffix}", size)
+            for i, (name, size) in enumerate(staged)
+        ]
+        gone = set(present) - {target for _, target, _ in moves} if self.overwrite else set()
+        journal = {"staging": self.staging, "moves": moves, "gone": sorted(gone)}
+        beside = f"{root}/{self.staging}-journal"
+        with filesystem.open_output_stream(beside) as out:
+            out.write(json.dumps(journal).encode())
+        filesystem.move(beside, f"{root}/{_JOURNAL}")
+        _carry_out(filesystem, root)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        self._drop_staging(*_open_fs(self.path))
+        filesystem, root = _open_fs(self.path)
+        journal = _journal(filesystem, root)
+        if journal is None or journal["staging"] != self.staging:  # else it is committed
+            _drop_folder(filesystem, f"{root}/{self.staging}")
+
+
+def _journal(filesystem: fs.FileSystem, root: str) -> dict | None:
+    try:
+        with filesystem.open_input_stream(f"{root}/{_JOURNAL}") as source:
+            return json.loads(source.read())
+    except FileNotFoundError:
+        return None
+
+
+def _carry_out(filesystem: fs.FileSystem, root: str) -> None:
+    """Do what the folder's journal says, if there is one; it may have been done in part before."""
+    journal = _journal(filesystem, root)
+    if journal is None:
+        return
+
+    def move(names: list) -> None:
+        source = f"{root}/{names[0]}"
+        if filesystem.get_file_info(source).type == fs.FileType.File:
+            filesystem.move(source, f"{root}/{names[1]}")
 
-    def _drop_staging(self, filesystem: fs.FileSystem, root: str) -> None:
-        folder = f"{root}/{self.staging}"
-        if filesystem.get_file_info(folder).type == fs.FileType.Directory:
-            filesystem.delete_dir(folder)
+    def delete(name: str) -> None:
+        if filesystem.get_file_info(f"{root}/{name}").type == fs.FileType.File:
+            filesystem.delete_file(f"{root}/{name}")
+
+    with ThreadPoolExecutor(_RENAMERS) as pool:
+        list(pool.map(move, journal["moves"]))
+        list(pool.map(delete, journal["gone"]))
+    filesystem.delete_file(f"{root}/{_JOURNAL}")
+    _drop_folder(filesystem, f"{root}/{journal['staging']}")
+
+
+def _drop_folder(filesystem: fs.FileSystem, folder: str) -> None:
+    if filesystem.get_file_info(folder).type == fs.FileType.Directory:
+        filesystem.delete_dir(folder)
 
 
 @dataclass
@@ -216,6 +261,8 @@ class _Range(InputPartition):
     start: int
     end: int
     last: bool = True
+    #: Name that a file named in a journal gets, and may have by now.
+    moved: str = ""
 
 
 # The length is decimal text or one byte of any value, the HTML holds no separator.
@@ -233,21 +280,40 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         filesystem, root = _open_fs(self.path)
         ranges = [
-            _Range(info.path, start, min(start + self.split, info.size), start + self.split >= info.size)
-            for info in filesystem.get_file_info(fs.FileSelector(root, recursive=True))
-            if info.is_file and info.base_name.startswith(self.prefix) and info.base_name.endswith(self.suffix)
-            if "/_staging-" not in info.path
-            for start in range(0, max(info.size, 1), self.split)
+            _Range(path, begin, min(begin + self.split, size), begin + self.split >= size, moved)
+            for path, size, moved in self._files(filesystem, root)
+            for begin in range(0, max(size, 1), self.split)
         ]
         return ranges or [_Range("", 0, 0)]
 
+    def _files(self, filesystem: fs.FileSystem, root: str) -> Iterator[tuple[str, int, str]]:
+        """Path and size of each committed file, and the path that it is about to get."""
+        found = [i for i in filesystem.get_file_info(fs.FileSelector(root, recursive=True)) if i.is_file]
+        journals = {f: _journal(filesystem, f) for f in (posixpath.dirname(i.path) for i in found if i.base_name == _JOURNAL)}
+        if None in journals.values():  # one was carried out meanwhile: look again
+            yield from self._files(filesystem, root)
+            return
+        hidden = set()
+        for folder, journal in journals.items():
+            for staged, target, size in journal["moves"]:
+                hidden.add(f"{folder}/{target}")
+                if self._ours(target):
+                    yield f"{folder}/{staged}", size, f"{folder}/{target}"
+            hidden |= {f"{folder}/{name}" for name in journal["gone"]}
+        for info in found:
+            if self._ours(info.base_name) and "/_staging-" not in info.path and info.path not in hidden:
+                yield info.path, info.size, ""
+
+    def _ours(self, name: str) -> bool:
+        return name.startswith(self.prefix) and name.endswith(self.suffix)
+
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         """Records that begin in ``[start, end)``; the last one may reach beyond ``end``."""
         if not partition.path:
             return
         filesystem, _ = _open_fs(self.path)
         ids, lengths, htmls, held = [], [], [], 0
-        with filesystem.open_input_file(partition.path) as source:
+        with _opened(filesystem, partition) as source:
             for number, length, html in _frames(source, partition):
                 if not _fits(length, html):
                     raise ValueError(f"document {number.decode()} of {partition.path} has {len(html)} bytes, not as stored")
@@ -262,6 +328,15 @@ class _Reader(DataSourceReader):
             yield _batch(ids, lengths, htmls)
 
 
+def _opened(filesystem: fs.FileSystem, part: _Range) -> pa.NativeFile:
+    try:
+        return filesystem.open_input_file(part.path)
+    except FileNotFoundError:
+        if not part.moved:
+            raise
+        return filesystem.open_input_file(part.moved)
+
+
 def _fits(length: bytes, html: bytes) -> bool:
     """Whether the stored length, decimal text or the low byte alone, is that of the HTML."""
     return length == b"%d" % len(html) or length == bytes([len(html) & 255])
@@ -390,7 +465,8 @@ def write_rawdocs(
     (with ``partitions=1`` exactly as one sequential writer rolls them).  ``order="local"`` sorts
     inside the present partitions only and saves the shuffle of all HTML.  The ranges are taken
     from ``ids``, a cheap table that holds all ids of ``pages`` (and may hold more), or else from
-    ``pages`` itself.  Files appear under their names when the whole job commits.
+    ``pages`` itself.  Readers see all files of the job or none; ``mode="overwrite"`` replaces all
+    files of the same prefix and suffix, and if it is broken off the old ones or the new ones are whole.
     """
     if order not in ("global", "local"):
         raise ValueError(f"unknown order {order!r}")

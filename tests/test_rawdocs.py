@@ -137,6 +137,95 @@ def test_folders_below_are_read(spark, tmp_path):
     assert _read(spark, str(tmp_path / "raw")) == WANT
 
 
+class _Breaking:
+    """A file system that fails at one of the steps that change something."""
+
+    def __init__(self, steps):
+        self.inner, self.steps = rawdocs.fs.LocalFileSystem(), steps
+
+    def __getattr__(self, name):
+        call = getattr(self.inner, name)
+        if name not in ("move", "delete_file", "delete_dir", "open_output_stream"):
+            return call
+
+        def counted(*args, **kwargs):
+            self.steps -= 1
+            if self.steps < 0:
+                raise OSError("the writer is gone")
+            return call(*args, **kwargs)
+
+        return counted
+
+
+def _commit(path, docs, mode="append", part=0):
+    writer = rawdocs._Writer({"path": path, "maxfilesize": "40"}, mode == "overwrite")
+    os.makedirs(os.path.join(path, writer.staging))
+    files = rawdocs._RollingFiles(rawdocs.fs.LocalFileSystem(), f"{path}/{writer.staging}/{part}", 40)
+    for i, html in docs:
+        record = _framed(i, html)
+        files.add(memoryview(record), rawdocs.np.array([len(record)]))
+    files.close()
+    message = rawdocs._TaskFiles(part, files.names, files.sizes, files.records)
+    try:
+        writer.commit([message])
+    except OSError:
+        writer.abort([message])
+        raise
+
+
+def _seen(path):
+    reader = rawdocs._Reader({"path": path, "splitsize": "25"})
+    batches = [b for part in reader.partitions() for b in reader.read(part)]
+    return sorted((int(i[4:]), h) for b in batches for i, h in zip(b.column(0).to_pylist(), b.column(2).to_pylist()))
+
+
+@pytest.mark.parametrize("mode", ["append", "overwrite"])
+@pytest.mark.parametrize("old, new", [(7, 3), (2, 6), (0, 3), (4, 0)])
+def test_a_commit_broken_off_at_any_step_is_whole_or_not_there(tmp_path, monkeypatch, mode, old, new):
+    before = [(i, f"old {i} " * 3) for i in range(old)]
+    after = [(100 + i, f"new {i} " * 3) for i in range(new)]
+    whole = after if mode == "overwrite" else before + after
+    outcomes, steps = [], 0
+    monkeypatch.setattr(rawdocs, "_RENAMERS", 1)
+    while True:
+        path = str(tmp_path / f"steps-{steps}")
+        os.makedirs(path)
+        _commit(path, before)
+        with monkeypatch.context() as patch:
+            system = _Breaking(steps)
+            patch.setattr(rawdocs, "_open_fs", lambda p: (system, p))
+            try:
+                _commit(path, after, mode)
+                finished = True
+            except OSError:
+                finished = False
+        got = _seen(path)
+        assert got in (before, whole)
+        outcomes.append(got == whole)
+        parts = rawdocs._Reader({"path": path}).partitions()
+        _commit(path, [(500, "later")])  # carries out what was left
+        assert _seen(path) == got + [(500, "later")]
+        assert rawdocs._JOURNAL not in os.listdir(path)
+        if got == whole and mode == "append":  # ranges planned before the files were moved
+            reader = rawdocs._Reader({"path": path})
+            assert sum(b.num_rows for p in parts for b in reader.read(p)) == len(got)
+        if finished:
+            break
+        steps += 1
+    if before != whole:
+        assert outcomes[0] is False and outcomes == sorted(outcomes) and outcomes.count(True) > 1
+
+
+def test_overwrite_then_append(spark, tmp_path):
+    path = str(tmp_path / "out")
+    df = spark.createDataFrame(DOCS, PAGES)
+    write_rawdocs(df, path, max_file_size=400)
+    write_rawdocs(df.filter("id < 3"), path, max_file_size=400, mode="overwrite")
+    write_rawdocs(df.filter("id >= 3"), path, max_file_size=400)
+    assert _read(spark, path) == WANT
+    assert all(n.startswith("doc_raw_") for n in os.listdir(path))
+
+
 def test_paths_are_shared_ones(spark, tmp_path, monkeypatch):
     assert rawdocs._shared(spark, str(tmp_path)).startswith("file:/")
     assert rawdocs._open_fs("file:" + str(tmp_path))[1] == str(tmp_path)
