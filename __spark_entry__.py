@@ -22,7 +22,7 @@ from linkloom.schemas import CATALOG
 from linkloom.scratch import work_dir, written
 from linkloom.sources import catalog as store
 from linkloom.sources import bitmap, rawdocs
-from linkloom.streaming.links import stream_links
+from linkloom.streaming.links import stream_links, window_links
 from linkloom.streaming.numbered import number_stream
 from linkloom.streaming.store import record_stream, store_stream
 
@@ -469,6 +469,29 @@ def stream_links_query(spark, sf):
     return spark.read.schema("url string").parquet(f"{out}/links")
 
 
+def window_links_query(spark, sf):
+    """Pages that arrive in three lots, a minute apart by their times; links once in each hour."""
+    pages, folder = _pages(spark, sf).select("page_id", "url", "html"), work_dir(spark, "page-files")
+    timed = pages.withColumn("at", F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") * 60))
+    last = pages.agg(F.max("page_id")).first()[0]
+    for lot in range(3):
+        rows = timed.filter(F.floor(F.col("page_id") * 3 / (last + 1)) == lot)
+        rows.repartition(2, "page_id").write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    out = work_dir(spark, "window-links")
+    query = (
+        window_links(stream, "at", "1 hour", "1 hour", base="page")
+        .writeStream.format("parquet")
+        .option("checkpointLocation", f"{out}/checkpoint")
+        .option("path", f"{out}/links")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    found = spark.read.schema("url string, begin timestamp").parquet(f"{out}/links")
+    return found.select("url", F.unix_timestamp("begin").alias("begin"))
+
+
 def record_stream_query(spark, sf):
     root = work_dir(spark, "catalog")
     entries = _page_stream(spark, sf, ["page_id", "url"]).withColumnRenamed("page_id", "id")
@@ -538,6 +561,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ]
     named = {f.__name__: f for f in plain}
     named["stream_links"] = stream_links_query
+    named["window_links"] = window_links_query
     named["record_stream"] = record_stream_query
     named["store_stream"] = store_stream_query
     if llm:
@@ -734,6 +758,8 @@ WITH {_RESUMED} SELECT id, url FROM first UNION ALL SELECT id + (SELECT count(*)
 SELECT 'doc_' || page_id AS id, CAST(octet_length(encode(html)) AS INTEGER) AS length, md5(html) AS html_md5
 FROM pages WHERE html <> ''""",
         "stream_links": f"WITH {_LINKS} SELECT DISTINCT url FROM found",
+        "window_links": f"""
+WITH {_LINKS} SELECT DISTINCT url, (1704067200 + src_id * 60) // 3600 * 3600 AS begin FROM found""",
         "number_links": f"""
 WITH {_LINKS} SELECT 1000 + row_number() OVER (ORDER BY src_id, pos) AS id, url FROM first_links
 WHERE url NOT IN (SELECT url FROM pages)""",

@@ -12,7 +12,7 @@ from linkloom.plans.crawl import crawl
 from linkloom.sources.catalog import create_catalog, insert_rows, read_catalog
 from linkloom.sources.rawdocs import read_rawdocs
 from linkloom.streaming import numbered
-from linkloom.streaming.links import stream_links
+from linkloom.streaming.links import stream_links, window_links
 from linkloom.streaming.numbered import number_stream
 from linkloom.streaming.store import drain, record_stream, store_stream
 
@@ -150,6 +150,48 @@ def test_a_task_remembers_a_bounded_number_of_links(monkeypatch):
     assert sent == [["hot", "a"], ["b", "c"], ["d", "e", "f"], ["a"]]
 
 
+def test_window_links_forget_closed_windows(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    timed = "page_id long, url string, html string, at timestamp"
+
+    def lot(rows):
+        frame = spark.createDataFrame([(*page(k), at and dt.datetime(2024, 2, 1, *divmod(at, 60))) for k, at in rows], timed)
+        frame.coalesce(1).write.mode("append").parquet(source)
+
+    def run():
+        stream = spark.readStream.schema(timed).option("maxFilesPerTrigger", 1).parquet(source)
+        query = (
+            window_links(stream, "at", "1 hour", "10 minutes").writeStream.format("parquet")
+            .option("checkpointLocation", f"{out}/checkpoint").option("path", f"{out}/links")
+            .trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+        return [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+
+    def found():
+        rows = spark.read.schema("url string, begin timestamp").parquet(f"{out}/links").collect()
+        return sorted((r.url, r.begin.hour) for r in rows)
+
+    def want(*lots):
+        return sorted({(u, at // 60) for k, at in lots for u in ("http://hot/", f"http://x/{k % 7}")})
+
+    first, second = [(k, 60 + k) for k in range(30)], [(k, 125 + k % 3) for k in range(30)]
+    lot(first)
+    lot([(3, 61), (4, 62), (5, None)])  # repeats of an open window, and a page without a time
+    held = run()
+    assert found() == want(*first) and held[-1] == 8
+    lot(second)  # the first window ends at minute 120 and is kept until 130 has been seen
+    lot([(8, 70), (9, 119)])  # late, but not too late
+    held = run()
+    assert found() == want(*first, *second) and max(held) == 16
+    lot([(1, 200)])
+    held = run()  # what is seen of window 3 closes the first two
+    assert held[-1] == 2
+    lot([(2, 90), (1, 201), (6, 240)])  # the first is too late by now
+    held = run()
+    assert found() == want(*first, *second, (1, 200), (6, 240)) and held[-1] == 4
+
+
 @pytest.mark.parametrize("crash", [None, "batch-0", "batch-1"])
 def test_numbered_links_equal_a_level_of_a_crawl(spark, tmp_path, monkeypatch, crash):
     made = [
