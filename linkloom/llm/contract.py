@@ -11,6 +11,8 @@ from linkloom.llm import alignment, covertree, interactions, lines, mixing, mixt
 
 #: Shares and epochs of ``op1_mixing``.
 _SHARE, _EPOCHS, _SEED = (9, 10), 3, 42
+#: Bytes of a passage (about 50 words) that ``op7_repeats`` reports, beside the longer ones that it removes.
+_PASSAGE = 300
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -61,7 +63,14 @@ def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op7_repeats(spark: SparkSession, sf: str) -> DataFrame:
-    return repeats.remove_repeats(_documents(spark, sf))
+    """What goes and what is left, and the bytes in passages that repeat, shorter ones too, which stay."""
+    cut = repeats.cut_repeats(_documents(spark, sf), shorter=_PASSAGE)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    return cut.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.coalesce(F.sha2("kept", 256), "sha256").alias("kept_sha256"),
+        F.col("n_shorter").alias("n_passages"), (F.col("n_shorter") > 0).alias("has_passages"),
+    )
 
 
 def op8_line_dedup(spark: SparkSession, sf: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,11 +17,13 @@ from linkloom.scratch import written
 
 #: Length in bytes of the strings that may stand once only.
 LENGTH = 400
-#: A place is an anchor if the hash of its ``GRAM`` bytes is the first smallest of ``WINDOW``
-#: places.  Each string of ``LENGTH`` bytes has an anchor among its first ``WINDOW`` places, the
-#: same wherever it stands, so that all its occurrences share the bytes from there on: ``KEY``.
-GRAM, WINDOW = 32, 200
-KEY = LENGTH - WINDOW + 1
+#: A place is an anchor if the hash of the ``GRAM`` bytes there is the first smallest of a window of
+#: half the length.  Each string has an anchor in the first half of its places, the same wherever it
+#: stands, so that all its occurrences share the bytes from there on to its length: the key.
+GRAM = 32
+#: Hashes are sums over groups of so many bytes, each mixed first; sums over single bytes would be
+#: equal for known pairs of texts whatever the base.
+_GROUP = 8
 #: Anchors of one bucket, on average, and surroundings of one key that one task sorts.
 BUCKET_ANCHORS = 1 << 18
 KEY_CONTEXTS = 1 << 13
@@ -46,28 +49,34 @@ def _unpack(packed: list[bytes], kinds: dict[str, str]) -> dict[str, np.ndarray]
     return {name: np.concatenate(p) for name, p in parts.items()}
 
 
-def _anchors(texts: pa.Array, powers: Powers) -> dict[str, np.ndarray]:
+def _anchors(texts: pa.Array, powers: Powers, length: int) -> dict[str, np.ndarray]:
     """Anchors of the strings in each text.
 
     ``row`` and place ``at`` in its text; ``before`` and ``after`` bound the strings that the
     anchor stands for: they begin ``before`` bytes before it at first, ``after`` bytes at last.
     """
+    window, gram = length // 2, min(GRAM, length // 4)
     data, bounds = flat_bytes(texts)
     n, size = len(data), np.diff(bounds)
-    strings = np.maximum(0, size - LENGTH + 1)
+    strings = np.maximum(0, size - length + 1)
     if not strings.sum():
         return {name: np.zeros(0, np.int64) for name in ("row", "at", "before", "after", "key", "context")}
     up, down = powers.upto(n)
-    sums = running((data.astype(np.uint64) + np.uint64(1)) * up)
-    low = mixed((sums[GRAM:] - sums[:-GRAM]) * down[: n - GRAM + 1])
+    padded = np.concatenate((data, np.zeros(_GROUP, np.uint8)))
+    sums = running(mixed(np.ndarray((n,), "<u8", padded.data, 0, (1,))) * up)
+
+    def hashed(begin: np.ndarray | slice, end: np.ndarray | slice) -> np.ndarray:
+        return (sums[end] - sums[begin]) * down[begin]
+
+    low = mixed(hashed(slice(0, n - gram + 1), slice(gram - _GROUP + 1, n - _GROUP + 2)))
     low &= np.uint64(0xFFFFFFFF00000000)
     low |= np.arange(len(low), dtype=np.uint64)  # of equal hashes the first place
     width = 1
-    while width * 2 <= WINDOW:
+    while width * 2 <= window:
         low = np.minimum(low[:-width], low[width:])
         width *= 2
-    if width < WINDOW:
-        low = np.minimum(low[: len(low) - (WINDOW - width)], low[WINDOW - width :])
+    if width < window:
+        low = np.minimum(low[: len(low) - (window - width)], low[window - width :])
     row = np.repeat(np.arange(len(size)), strings)
     begin = np.arange(len(row)) - np.repeat(np.cumsum(strings) - strings, strings) + bounds[row]
     anchor = (low[begin] & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -77,9 +86,9 @@ def _anchors(texts: pa.Array, powers: Powers) -> dict[str, np.ndarray]:
     last = np.append(first[1:], len(row)) - 1
     row, anchor, first, last = row[first], anchor[first], begin[first], begin[last]
     before, after = anchor - first, anchor - last
-    shape = (before * WINDOW + after).astype(np.uint64)
-    key = mixed((sums[anchor + KEY] - sums[anchor]) * down[anchor])
-    context = mixed((sums[last + LENGTH] - sums[first]) * down[first] + mixed(shape))
+    shape = (before * window + after).astype(np.uint64)
+    key = mixed(hashed(anchor, anchor + (length - window + 1 - _GROUP + 1)) + np.uint64(length))
+    context = mixed(hashed(first, last + (length - _GROUP + 1)) + mixed(shape))
     return {
         "row": row, "at": anchor - bounds[row], "before": before, "after": after,
         "key": key.view(np.int64), "context": context.view(np.int64),
@@ -97,11 +106,11 @@ def _groups(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, new
 
 
-def _spans(a: dict[str, np.ndarray], rows: np.ndarray) -> dict[str, np.ndarray]:
+def _spans(a: dict[str, np.ndarray], rows: np.ndarray, length: int) -> dict[str, np.ndarray]:
     """All that the strings of these anchors cover."""
     return {
         "id": a["id"][rows], "tag": a["tag"][rows], "begin": a["at"][rows] - a["before"][rows],
-        "end": a["at"][rows] - a["after"][rows] + LENGTH,
+        "end": a["at"][rows] - a["after"][rows] + length,
     }
 
 
@@ -120,7 +129,7 @@ def _one_of_each(a: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.nd
     return out, np.flatnonzero(many)
 
 
-def _deal(buckets: int):
+def _deal(buckets: int, length: int):
     """Packed anchors for each bucket, and packed spans of what a batch has more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +137,7 @@ def _deal(buckets: int):
         for batch in batches:
             found: dict[str, list] = {}
             for piece in small_pieces(batch, "text"):
-                a = _anchors(piece.column(2), powers)
+                a = _anchors(piece.column(2), powers, length)
                 row = a.pop("row")
                 a["id"] = piece.column(0).to_numpy()[row]
                 a["tag"] = piece.column(1).to_numpy()[row]
@@ -146,7 +155,7 @@ def _deal(buckets: int):
             filled = np.flatnonzero(np.diff(ends))
             packed = [_pack(kept, _ANCHOR, slice(ends[b], ends[b + 1])) for b in filled]
             turn += 1
-            spans = _pack(_spans(a, repeated), _SPAN, slice(None))
+            spans = _pack(_spans(a, repeated, length), _SPAN, slice(None))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.append(filled, -1 - turn % buckets).astype(np.int32)),
@@ -158,32 +167,36 @@ def _deal(buckets: int):
     return run
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _meet(length: int):
     """Spans that are known to repeat, and anchors whose surroundings must be compared."""
-    held: dict[int, list] = {}
-    for batch in batches:
-        for bucket, packed in zip(*(c.to_pylist() for c in batch.columns)):
-            held.setdefault(bucket, []).append(packed)
-    for bucket in list(held):
-        packed = held.pop(bucket)
-        if bucket < 0:
-            yield _shown(_unpack(packed, _SPAN), None)
-            continue
-        a = _unpack(packed, _ANCHOR)
-        _, inverse, count = np.unique(a["key"], return_inverse=True, return_counts=True)
-        some = count[inverse] > 1
-        some |= a["many"] > 0
-        a = {name: v[some].astype(np.int64) if name in ("at", "before", "after") else v[some] for name, v in a.items()}
-        one, repeated = _one_of_each(a)
-        # A batch that had it many times has reported all but the one that stands here.
-        repeated = np.union1d(repeated, np.flatnonzero(a["many"]))
-        yield _shown(_spans(a, repeated), None)
-        _, inverse, count = np.unique(one["key"], return_inverse=True, return_counts=True)
-        contexts = count[inverse]
-        open_ = contexts > 1
-        one = {name: v[open_] for name, v in one.items()}
-        one["hot"] = contexts[open_] > KEY_CONTEXTS
-        yield _shown(None, one)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for bucket, packed in zip(*(c.to_pylist() for c in batch.columns)):
+                held.setdefault(bucket, []).append(packed)
+        for bucket in list(held):
+            packed = held.pop(bucket)
+            if bucket < 0:
+                yield _shown(_unpack(packed, _SPAN), None)
+                continue
+            a = _unpack(packed, _ANCHOR)
+            _, inverse, count = np.unique(a["key"], return_inverse=True, return_counts=True)
+            some = count[inverse] > 1
+            some |= a["many"] > 0
+            a = {name: v[some].astype(np.int64) if name in ("at", "before", "after") else v[some] for name, v in a.items()}
+            one, repeated = _one_of_each(a)
+            # A batch that had it many times has reported all but the one that stands here.
+            repeated = np.union1d(repeated, np.flatnonzero(a["many"]))
+            yield _shown(_spans(a, repeated, length), None)
+            _, inverse, count = np.unique(one["key"], return_inverse=True, return_counts=True)
+            contexts = count[inverse]
+            open_ = contexts > 1
+            one = {name: v[open_] for name, v in one.items()}
+            one["hot"] = contexts[open_] > KEY_CONTEXTS
+            yield _shown(None, one)
+
+    return run
 
 
 def _shown(spans: dict | None, anchors: dict | None) -> pa.RecordBatch:
@@ -216,23 +229,24 @@ def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes around open anchors; of keys with very many, each string's hash instead."""
     plain = zstandard.ZstdDecompressor().decompress
-    names = ["key", "id", "tag", "at", "before", "many", "bytes", "string", "begin"]
+    names = ["length", "key", "id", "tag", "at", "before", "many", "bytes", "string", "begin"]
     for batch in batches:
         out: dict[str, list] = {name: [] for name in names}
         for own, tag, packed, anchors in zip(*(c.to_pylist() for c in batch.columns)):
             text = plain(packed)
             for x in anchors:
-                begin, end = x["at"] - x["before"], x["at"] - x["after"] + LENGTH
+                length = x["length"]
+                begin, end = x["at"] - x["before"], x["at"] - x["after"] + length
                 if not x["hot"]:
-                    row = (x["key"], own, tag, x["at"], x["before"], x["many"], text[begin:end], None, None)
+                    row = (length, x["key"], own, tag, x["at"], x["before"], x["many"], text[begin:end], None, None)
                     for name, value in zip(names, row):
                         out[name].append(value)
                     continue
-                for at in range(begin, end - LENGTH + 1):
-                    string = hashlib.blake2b(text[at : at + LENGTH], digest_size=16).digest()
-                    for name, value in zip(names, (None, own, tag, None, None, None, None, string, at)):
+                for at in range(begin, end - length + 1):
+                    string = hashlib.blake2b(text[at : at + length], digest_size=16).digest()
+                    for name, value in zip(names, (length, None, own, tag, None, None, None, None, string, at)):
                         out[name].append(value)
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.int32()]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.int32()]
         yield pa.RecordBatch.from_arrays([pa.array(out[n], k) for n, k in zip(names, kinds)], names)
 
 
@@ -266,8 +280,8 @@ def _intervals(common: list[int]) -> Iterator[tuple[int, int, int]]:
             stack.append((begin, shared))
 
 
-def _maximal(group: list[tuple[bytes, bytes, bool]]) -> Iterator[tuple[int, int, int]]:
-    """Occurrences in maximal repeats of at least ``LENGTH``: number, bytes before and after the anchor.
+def _maximal(group: list[tuple[bytes, bytes, bool]], least: int) -> Iterator[tuple[int, int, int]]:
+    """Occurrences in maximal repeats of at least ``least`` bytes: number, bytes before and after the anchor.
 
     ``group`` has for each anchor what follows it, what precedes it in reverse, and whether it needs
     no answer.  In an interval all share what follows; sorted by what precedes, neighbours show how
@@ -284,20 +298,21 @@ def _maximal(group: list[tuple[bytes, bytes, bool]]) -> Iterator[tuple[int, int,
             extended[k] = max(extended[k], left)
             extended[k + 1] = left
         for i, left in zip(members, extended):
-            if left + length >= LENGTH and not group[i][2]:
+            if left + length >= least and not group[i][2]:
                 yield i, left, length
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for table in whole_groups(batches, ["key"]):
-        key = table.column("key").to_numpy()
-        ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
+    for table in whole_groups(batches, ["key", "length"]):
+        key, least = table.column("key").to_numpy(), table.column("length").to_pylist()
+        new = (key[1:] != key[:-1]) | (np.diff(least) != 0)
+        ends = np.append(np.flatnonzero(new) + 1, len(key))
         at, before = table.column("at").to_pylist(), table.column("before").to_pylist()
         many, surroundings = table.column("many").to_pylist(), table.column("bytes").to_pylist()
         rows, begins, stops, begin = [], [], [], 0
         for end in ends.tolist():
             group = [(surroundings[i][before[i] :], surroundings[i][: before[i]][::-1], many[i]) for i in range(begin, end)]
-            for i, left, length in _maximal(group):
+            for i, left, length in _maximal(group, least[begin]):
                 rows.append(begin + i)
                 begins.append(at[begin + i] - left)
                 stops.append(at[begin + i] + length)
@@ -307,52 +322,70 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [
                 table.column("id").combine_chunks().take(rows),
                 table.column("tag").combine_chunks().take(rows),
+                table.column("length").combine_chunks().take(rows),
                 pa.array(begins, pa.int32()),
                 pa.array(stops, pa.int32()),
             ],
-            ["id", "tag", "begin", "end"],
+            ["id", "tag", "length", "begin", "end"],
         )
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    plain = zstandard.ZstdDecompressor().decompress
-    for batch in batches:
-        out: list[list] = [[], [], []]
-        for packed, spans in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            text, digest, kept, runs = plain(packed), hashlib.sha256(), 0, 0
-            at = -1  # end of the last removed run
-            for span in sorted((s["begin"], s["end"]) for s in spans):
-                if span[0] > at:
-                    digest.update(text[max(at, 0) : span[0]])
-                    kept += span[0] - max(at, 0)
-                    runs += 1
-                at = max(at, span[1])
-            digest.update(text[at:])
-            kept += len(text) - at
-            for column, value in zip(out, (len(text) - kept, runs, digest.hexdigest())):
-                column.append(value)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())],
-            ["id", "tag", "n_removed", "n_spans", "kept_sha256"],
-        )
+def _runs(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What the spans cover, as runs that neither overlap nor touch."""
+    out: list[tuple[int, int]] = []
+    for begin, end in sorted(spans):
+        if out and begin <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], end)
+        else:
+            out.append((begin, end))
+    return out
+
+
+def _cut(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            out: list[list] = [[], [], []]
+            for packed, spans in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                runs = {n: _runs([(s["begin"], s["end"]) for s in spans if s["length"] == n]) for n in {s["length"] for s in spans}}
+                own, kept = runs.pop(length, []), None
+                if own:
+                    text = plain(packed)
+                    edges = [0, *(at for pair in own for at in pair), len(text)]
+                    kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
+                out[0].append([{"begin": a, "end": b} for a, b in own])
+                out[1].append(kept)
+                out[2].append(sum(b - a for other in runs.values() for a, b in other))
+            spans = pa.array(out[0], pa.list_(pa.struct({"begin": pa.int32(), "end": pa.int32()})))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), spans, pa.array(out[1], pa.binary()), pa.array(out[2], pa.int64())],
+                ["id", "tag", "spans", "kept", "n_shorter"],
+            )
 
+    return run
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for each row of ``docs``.
 
-    Texts are UTF-8 bytes.  Every byte goes that is covered by a string of 400 bytes which starts at
-    another place too, in the same text or another; all is judged on the input.  ``n_spans`` counts
-    the maximal removed runs, ``kept_sha256`` is the hash of what is left.  Null texts are empty;
-    texts under 400 bytes lose nothing.  Repeated rows are texts of their own, so they lose all.
+def cut_repeats(docs: DataFrame, length: int = LENGTH, shorter: int | None = None) -> DataFrame:
+    """``doc_id, n_bytes, spans, kept, sha256, n_shorter`` for each row of ``docs``.
+
+    Texts are UTF-8 bytes.  Every byte goes that is covered by a string of ``length`` bytes (32 to 32,000) which
+    starts at another place too, in the same text or another; all is judged on the input.  ``spans``
+    has the maximal removed runs (``begin, end``) in order, ``kept`` what is left, null where
+    nothing went, and ``sha256`` the hash of the whole text.  ``n_shorter`` counts the bytes that
+    strings of ``shorter`` bytes cover in the same way (0 if it isn't given); they stay.  Null texts are empty;
+    texts under ``length`` lose nothing.  Repeated rows are texts of their own, so they lose all.
     Null ids are kept.  Other columns are not read.
 
-    Anchors, chosen by content, stand for all strings of 400 bytes; those whose key occurs once are
+    Anchors, chosen by content, stand for all strings of the length; those whose key occurs once are
     dropped.  Equal surroundings (hashes of 128 bits) are repeats as a whole, counted in each
     batch before anything moves, so that copies of a text cost one row for each batch.  Different
     surroundings of one key form a suffix array whose common-prefix intervals give the maximal
-    repeats with all their occurrences.  Keys with more of them than a task should sort have each
+    repeats of its anchors.  Keys with more of them than a task should sort have each
     of their strings counted by hash instead, which finds the same bytes.
     """
+    lengths = sorted({length, shorter or length})
+    if not 32 <= lengths[0] <= lengths[-1] <= 32_000:
+        raise ValueError(f"lengths must be from 32 to 32,000 bytes, not {lengths}")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     h = F.xxhash64(text)
     #: An id, or a hash in its place, and a tag that tells rows with one id apart.
@@ -361,17 +394,20 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         F.coalesce(F.col("doc_id"), F.xxhash64(text, F.lit(1))).cast("long").alias("id"),
         low.cast("int").alias("tag"), text.alias("text"), "doc_id",
     )
-    plain = texts.select("id", "tag", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
+    plain = texts.select("id", "tag", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha256"))
     plain = written(plain, "texts")
     size = plain.agg(F.sum("n_bytes")).first()[0] or 0
-    buckets = int(size * 2 // (WINDOW + 1) // BUCKET_ANCHORS) + 1
     own = texts.select("id", "tag", "text")
-    dealt = own.mapInArrow(_deal(buckets), "bucket int, packed binary")
-    # A bucket is a partition, so that none gets several while others get none.
-    placed = dealt.repartitionById(buckets, F.pmod("bucket", F.lit(buckets)))
-    met = written(placed.mapInArrow(_meet, _SHOWN), "anchors")
 
-    anchor = F.struct("key", "at", "before", "after", "many", "hot")
+    def met_anchors(n: int) -> DataFrame:
+        buckets = int(size * 2 // (n // 2 + 1) // BUCKET_ANCHORS) + 1
+        dealt = own.mapInArrow(_deal(buckets, n), "bucket int, packed binary")
+        # A bucket is a partition, so that none gets several while others get none.
+        placed = dealt.repartitionById(buckets, F.pmod("bucket", F.lit(buckets)))
+        return written(placed.mapInArrow(_meet(n), _SHOWN), "anchors").withColumn("length", F.lit(n))
+
+    met = reduce(DataFrame.union, map(met_anchors, lengths))
+    anchor = F.struct("length", "key", "at", "before", "after", "many", "hot")
     open_ = F.col("key").isNotNull()
     involved = met.groupBy("id", "tag").agg(F.collect_set(F.when(open_, anchor)).alias("anchors"))
     packed = own.mapInArrow(_compressed, "id long, tag int, packed binary")
@@ -379,25 +415,24 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     involved = written(packed.join(involved, ["id", "tag"]), "involved")
     around = involved.filter("size(anchors) > 0").select("id", "tag", "packed", "anchors").mapInArrow(
         _surroundings,
-        "key long, id long, tag int, at int, before int, many boolean, bytes binary, string binary, begin int",
+        "length int, key long, id long, tag int, at int, before int, many boolean, bytes binary, string binary, begin int",
     )
     around = written(around, "surroundings")
-    compared = around.filter("key is not null").select("key", "id", "tag", "at", "before", "many", "bytes").distinct()
-    compared = compared.repartition("key").sortWithinPartitions("key")
-    compared = compared.mapInArrow(_compare, "id long, tag int, begin int, end int")
-    strings = around.filter("string is not null").select("string", "id", "tag", "begin")
-    twice = strings.groupBy("string").agg(F.count("*").alias("n")).filter("n > 1").select("string")
-    counted = strings.join(twice, "string").select("id", "tag", "begin", (F.col("begin") + LENGTH).alias("end"))
-
-    spans = met.filter("begin is not null").select("id", "tag", "begin", "end").union(compared).union(counted)
-    spans = spans.groupBy("id", "tag").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+    compared = around.filter("key is not null").select("length", "key", "id", "tag", "at", "before", "many", "bytes").distinct()
+    compared = compared.repartition("key").sortWithinPartitions("key", "length")
+    compared = compared.mapInArrow(_compare, "id long, tag int, length int, begin int, end int")
+    strings = around.filter("string is not null").select("length", "string", "id", "tag", "begin")
+    twice = strings.groupBy("length", "string").agg(F.count("*").alias("n")).filter("n > 1").select("length", "string")
+    counted = strings.join(twice, ["length", "string"]).select("id", "tag", "length", "begin", (F.col("begin") + F.col("length")).alias("end"))
+
+    spans = met.filter("begin is not null").select("id", "tag", "length", "begin", "end").union(compared).union(counted)
+    spans = spans.groupBy("id", "tag").agg(F.collect_set(F.struct("length", "begin", "end")).alias("spans"))
     whole = involved.select("id", "tag", "packed").dropDuplicates(["id", "tag"])
     done = whole.join(spans, ["id", "tag"]).select("id", "tag", "packed", "spans").mapInArrow(
-        _cut, "id long, tag int, n_removed long, n_spans long, kept_sha256 string"
+        _cut(length), "id long, tag int, spans array<struct<begin:int,end:int>>, kept binary, n_shorter long"
     )
+    none = F.array().cast("array<struct<begin:int,end:int>>")
     return plain.join(done, ["id", "tag"], "left").select(
-        "doc_id", "n_bytes",
-        F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
-        F.coalesce("kept_sha256", "sha").alias("kept_sha256"),
+        "doc_id", "n_bytes", F.coalesce("spans", none).alias("spans"), "kept", "sha256",
+        F.coalesce("n_shorter", F.lit(0)).cast("long").alias("n_shorter"),
     )

@@ -6,6 +6,7 @@ import time
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 import xxhash
 
 from linkloom.llm import lines, mixing, packing, repeats, secrets, simhash
@@ -155,13 +156,13 @@ def test_frequent_tokens_are_cut_into_blocks(docs, monkeypatch):
     assert Counter(tuple(r) for r in lines.repeated_lines(docs).collect()) == want
 
 
-def _removed(texts):
-    count = Counter(t[i : i + 400] for t in texts for i in range(len(t) - 399))
+def _removed(texts, n=400):
+    count = Counter(t[i : i + n] for t in texts for i in range(len(t) - n + 1))
     for t in texts:
         cut = bytearray(len(t))
-        for i in range(len(t) - 399):
-            if count[t[i : i + 400]] > 1:
-                cut[i : i + 400] = b"\1" * 400
+        for i in range(len(t) - n + 1):
+            if count[t[i : i + n]] > 1:
+                cut[i : i + n] = b"\1" * n
         runs = sum(1 for i, x in enumerate(cut) if x and (i == 0 or not cut[i - 1]))
         kept = bytes(c for c, x in zip(t, cut) if not x)
         yield len(t), sum(cut), runs, hashlib.sha256(kept).hexdigest()
@@ -177,14 +178,41 @@ def test_remove_repeats(spark, docs, rows, no_docs, monkeypatch):
     # The two very long texts take brute force too long; others cover them.
     frame = frame.filter("text is null or length(text) < 100000")
     held = [(r.doc_id, (r.text or "").encode()) for r in frame.collect()]
-    want = Counter((i, *found) for (i, _), found in zip(held, _removed([t for _, t in held])))
-    assert Counter(tuple(r) for r in repeats.remove_repeats(frame).collect()) == want
+    texts = [t for _, t in held]
+
+    def digests(df):
+        return Counter(
+            (r.doc_id, r.n_bytes, sum(s.end - s.begin for s in r.spans), len(r.spans),
+             r.sha256 if r.kept is None else hashlib.sha256(r.kept).hexdigest(), r.n_shorter)
+            for r in df.collect()
+        )
+
+    def want(length, shorter):
+        return Counter(
+            (i, *found, other[1]) for (i, _), found, other in zip(held, _removed(texts, length), _removed(texts, shorter))
+        )
+
+    right = want(400, 150)
+    assert digests(repeats.cut_repeats(frame, shorter=150)) == right
     # The way for keys with very many surroundings finds the same.
-    monkeypatch.setattr(repeats, "KEY_CONTEXTS", 1)
-    assert Counter(tuple(r) for r in repeats.remove_repeats(frame).collect()) == want
-    assert repeats.remove_repeats(no_docs).count() == 0
-    long = {r.doc_id: r for r in repeats.remove_repeats(docs).collect() if r.n_bytes > 100_000}
-    assert [long[10**9 + k].n_removed == long[10**9 + 3].n_bytes for k in (3, 4)] == [True, True]
+    with monkeypatch.context() as patch:
+        patch.setattr(repeats, "KEY_CONTEXTS", 1)
+        assert digests(repeats.cut_repeats(frame, shorter=150)) == right
+    assert digests(repeats.cut_repeats(frame, 64, 33)) == want(64, 33)
+    assert repeats.cut_repeats(no_docs).count() == 0
+    long = {r.doc_id: r for r in repeats.cut_repeats(docs).collect() if r.n_bytes > 100_000}
+    assert [long[10**9 + k].kept == b"" for k in (3, 4)] == [True, False]
+    assert [long[10**9 + k].spans[0].end == long[10**9 + 3].n_bytes for k in (3, 4)] == [True, True]
+    with pytest.raises(ValueError):
+        repeats.cut_repeats(docs, 31)
+
+
+def test_strings_that_collide_in_polynomials_differ(spark):
+    word = _thue_morse(512).replace("b", "i")  # byte values eight apart
+    texts = [f"some text before it {x} and behind" for x in (word, word.translate({97: "i", 105: "a"}))]
+    frame = spark.createDataFrame(list(enumerate([*texts, texts[0] + "."])), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in repeats.cut_repeats(frame).collect()}
+    assert [len(got[i]) for i in range(3)] == [1, 0, 1]
 
 
 BASE = [
