@@ -25,8 +25,10 @@ GRAM = 32
 #: equal for known pairs of texts whatever the base.
 _GROUP = 8
 #: Anchors of one bucket, on average, and surroundings of one key that one task sorts.
-BUCKET_ANCHORS = 1 << 18
+BUCKET_ANCHORS = 1 << 17
 KEY_CONTEXTS = 1 << 13
+#: Surroundings that a task holds before it hands them on.
+HELD_CONTEXTS = 1 << 13
 _BASE = 0xA24BAED4963EE407
 
 #: What a packed row holds of each anchor: columns one after the other.
@@ -230,24 +232,30 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """The bytes around open anchors; of keys with very many, each string's hash instead."""
     plain = zstandard.ZstdDecompressor().decompress
     names = ["length", "key", "id", "tag", "at", "before", "many", "bytes", "string", "begin"]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.int32()]
+
+    def shown(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows) if rows else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+    rows: list[tuple] = []
     for batch in batches:
-        out: dict[str, list] = {name: [] for name in names}
-        for own, tag, packed, anchors in zip(*(c.to_pylist() for c in batch.columns)):
+        for i in range(batch.num_rows):
+            own, tag, packed, anchors = (c[i].as_py() for c in batch.columns)
             text = plain(packed)
             for x in anchors:
                 length = x["length"]
                 begin, end = x["at"] - x["before"], x["at"] - x["after"] + length
                 if not x["hot"]:
-                    row = (length, x["key"], own, tag, x["at"], x["before"], x["many"], text[begin:end], None, None)
-                    for name, value in zip(names, row):
-                        out[name].append(value)
-                    continue
-                for at in range(begin, end - length + 1):
-                    string = hashlib.blake2b(text[at : at + length], digest_size=16).digest()
-                    for name, value in zip(names, (length, None, own, tag, None, None, None, None, string, at)):
-                        out[name].append(value)
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.int32()]
-        yield pa.RecordBatch.from_arrays([pa.array(out[n], k) for n, k in zip(names, kinds)], names)
+                    rows.append((length, x["key"], own, tag, x["at"], x["before"], x["many"], text[begin:end], None, None))
+                else:
+                    for at in range(begin, end - length + 1):
+                        string = hashlib.blake2b(text[at : at + length], digest_size=16).digest()
+                        rows.append((length, None, own, tag, None, None, None, None, string, at))
+                if len(rows) >= HELD_CONTEXTS:
+                    yield shown(rows)
+                    rows = []
+    yield shown(rows)
 
 
 def _common(a: bytes, b: bytes) -> int:
