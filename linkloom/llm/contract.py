@@ -55,9 +55,9 @@ def op5_secrets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
-    """Toxic at all, in text of good quality, and in text of bad quality."""
+    """Bad text, toxic among bad and among good text, and by these whether it is toxic at all."""
     toxic, good = F.col("toxic") == 1, F.col("quality") == 1
-    categories = {"p_toxic": toxic, "p_toxic_good": toxic & good, "p_toxic_bad": toxic & ~good}
+    categories = {"p_bad": ~good, "p_toxic_bad": toxic & ~good, "p_toxic_good": toxic & good, "p_toxic": toxic}
     docs = _documents(spark, sf)
     return toxicity.score(docs, toxicity.fit(docs, training_labels(spark, sf), categories))
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from linkloom.llm.arrays import Powers, flat_bytes, mixed, running, small_pieces, word_ranges
 
 #: Bound of the labelled sample: texts with the smallest hashes of their ids, half of them of the
-#: first category if there are as many.
+#: last category if there are as many.
 SAMPLE_TEXTS = 4000
 #: Hashed features of words and parts of words, and how many of them the models use.
 FEATURE_BITS = 20
@@ -95,6 +95,7 @@ def _train(row: np.ndarray, at: np.ndarray, earlier: np.ndarray, y: np.ndarray,
 
 def fit(docs: DataFrame, labels: DataFrame, categories: Mapping[str, Column]) -> Chain:
     """A chain of ``categories``: conditions on ``labels`` (``doc_id`` and more) by name, in order.
+    The last one is what the chain decides.
 
     The models learn from a bounded sample of the labels, of which the driver holds the features.
     A category's model sees, beside the text, the earlier categories' probabilities; for the rows
@@ -109,9 +110,9 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Mapping[str, Column]) ->
     known = known.agg(F.min("y").alias("y"), F.max("y").alias("z")).filter("y = z").select(
         "doc_id", "y", F.xxhash64("doc_id").alias("h")
     )
-    parts = [known.filter(F.get("y", F.lit(0)) == k).orderBy("h", "doc_id").limit(SAMPLE_TEXTS // 2) for k in (0, 1)]
+    parts = [known.filter(F.element_at("y", -1) == k).orderBy("h", "doc_id").limit(SAMPLE_TEXTS // 2) for k in (0, 1)]
     sample = parts[0].union(parts[1])  # bounded, so it may be broadcast
-    share = known.agg(F.avg(F.get("y", F.lit(0)))).first()[0]
+    share = known.agg(F.avg(F.element_at("y", -1))).first()[0]
     texts = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(sample), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,15 +160,15 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Mapping[str, Column]) ->
             apart[~learn] = _sigmoid(_margin(row, at, seen, w, len(used)))[~learn]
         weights.append(_train(row, at, seen, y[:, j], len(used)))
         seen = np.column_stack((seen, _logit(apart)))
-    # The sample holds more of the first category than the labels do: back to their share.
-    if len(y) and share and 0 < y[:, 0].mean() < 1 and share < 1:
-        rate = y[:, 0].mean()
-        weights[0][-1] += np.log(share / (1 - share)) - np.log(rate / (1 - rate))
+    # The sample holds more of the last category than the labels do: back to their share.
+    if len(y) and share and 0 < y[:, -1].mean() < 1 and share < 1:
+        rate = y[:, -1].mean()
+        weights[-1][-1] += np.log(share / (1 - share)) - np.log(rate / (1 - rate))
     return Chain(names, used, weights)
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
-    """``doc_id``, a probability for each category, and ``toxic``: 1 if the first is 0.5 or more.
+    """``doc_id``, a probability for each category, and ``toxic``: 1 if the last is 0.5 or more.
 
     One row for each row of ``docs``; whole texts.  Null texts count as empty; empty texts get what
     the constants say.  Other columns are not read.
@@ -179,7 +180,7 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
             for piece in small_pieces(batch, "text"):
                 row, feature = _features(piece.column(1), powers)
                 p = chain.probabilities(row, feature, piece.num_rows)
-                toxic = pa.array((p[:, 0] >= THRESHOLD).astype(np.int32))
+                toxic = pa.array((p[:, -1] >= THRESHOLD).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(0), *map(pa.array, p.T), toxic], ["doc_id", *chain.names, "toxic"]
                 )

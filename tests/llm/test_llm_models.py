@@ -36,6 +36,19 @@ def test_toxicity_on_held_out_documents(spark, held_out):
     assert sum(good) / len(good) > 0.85
 
 
+def test_the_last_link_decides_and_hears_the_earlier_ones(spark):
+    """The words say who is meant and what is said; only both together are the last category."""
+    rows = [(i, f"{'red' if i & 1 else 'blue'} {'up' if i & 2 else 'down'} w{i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i & 1, i >> 1 & 1) for i, _ in rows if i % 5], "doc_id long, red int, up int")
+    red, up = F.col("red") == 1, F.col("up") == 1
+    chain = toxicity.fit(docs, labels, {"first": red & up, "second": ~red & ~up, "either": red == up})
+    got = toxicity.score(docs, chain).collect()
+    # Equal and unequal pairs can't be told apart by adding up words; the earlier links can tell them.
+    assert all(r.toxic == ((r.doc_id & 1) == (r.doc_id >> 1 & 1)) for r in got)
+    assert all((r.toxic == 1) == (r.either >= 0.5) for r in got)
+
+
 def _categories():
     return {"p": F.col("toxic") == 1, "q": (F.col("toxic") == 1) & (F.col("quality") == 1)}
 
