@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import io
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from py4j.protocol import Py4JJavaError
+from pyarrow import fs
 from pyspark.sql import SparkSession
 
 
@@ -96,3 +100,62 @@ def move(spark: SparkSession, source: str, target: str) -> bool:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(target)
     system.mkdirs(hadoop.getParent())
     return system.exists(place) and system.rename(place, hadoop)
+
+
+class SparkFiles:
+    """What a commit needs of pyarrow's file systems, on any store that Spark reaches."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    @staticmethod
+    def _info(status) -> fs.FileInfo:
+        kind = fs.FileType.Directory if status.isDirectory() else fs.FileType.File
+        return fs.FileInfo(status.getPath().toString(), kind, size=status.getLen())
+
+    def get_file_info(self, what: str | fs.FileSelector) -> fs.FileInfo | list[fs.FileInfo]:
+        selected = isinstance(what, fs.FileSelector)
+        system, place = _place(self.spark, what.base_dir if selected else what)
+        if not system.exists(place):
+            if selected:
+                raise FileNotFoundError(what.base_dir)
+            return fs.FileInfo(what, fs.FileType.NotFound)
+        if not selected:
+            return self._info(system.getFileStatus(place))
+        found = [self._info(status) for status in system.listStatus(place)]
+        if what.recursive:
+            below = [i.path for i in found if i.type == fs.FileType.Directory]
+            found += [i for path in below for i in self.get_file_info(fs.FileSelector(path, recursive=True))]
+        return found
+
+    def create_dir(self, path: str, recursive: bool = True) -> None:
+        system, place = _place(self.spark, path)
+        system.mkdirs(place)
+
+    def open_input_stream(self, path: str) -> io.BytesIO:
+        text = read_text(self.spark, path)
+        if text is None:
+            raise FileNotFoundError(path)
+        return io.BytesIO(text.encode())
+
+    @contextmanager
+    def open_output_stream(self, path: str) -> Iterator[io.BytesIO]:
+        held = io.BytesIO()
+        yield held
+        system, place = _place(self.spark, path)
+        stream = system.create(place, True)
+        stream.write(bytearray(held.getvalue()))
+        stream.close()
+
+    def move(self, source: str, target: str) -> None:
+        """A file that has the target's name goes first: not all stores replace it."""
+        system, place = _place(self.spark, source)
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(target)
+        system.delete(hadoop, False)
+        if not system.rename(place, hadoop):
+            raise OSError(f"{source} can't be renamed to {target}")
+
+    def delete_file(self, path: str) -> None:
+        remove(self.spark, path)
+
+    delete_dir = delete_file

@@ -8,10 +8,14 @@ A commit is one small file, the journal, that names the prepared files, the name
 files that go.  Until it is there readers see what was there before; from then on they see what it
 says, wherever its files lie.  The writer then carries it out and removes it, and if it can't, the
 next writer of the folder does.  A folder has one writer at a time.
+
+Where only Spark reaches the store (hdfs, viewfs and the like), Spark's own writer and reader move the
+bytes, each file as one row, which bounds its size; the commit is the same.
 """
 
 from __future__ import annotations
 
+import io
 import json
 import posixpath
 import re
@@ -34,7 +38,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from linkloom.files import resolved
+from linkloom.files import SparkFiles, resolved
 from linkloom.schemas import (
     FIELD_SEPARATOR,
     FILE_END,
@@ -52,6 +56,11 @@ _CHUNK = 4 * 1024 * 1024
 _BATCH_BYTES = 8 * 1024 * 1024
 _RENAMERS = 32
 _JOURNAL = "_journal.json"
+#: Schemes that pyarrow opens by itself, on any machine.
+_DIRECT = ("file", "s3", "s3a", "s3n", "gs", "gcs", "abfs", "abfss")
+#: Longest file that Spark's writer and reader move as one row; only a longer record has a longer one.
+_ROW_BYTES = 32 * 1024 * 1024
+_ROW_FILE = re.compile(r"part-(\d+)-.*-c(\d+)\.txt")
 
 
 # ---- framing -------------------------------------------------------------------------------
@@ -189,7 +198,12 @@ class _Writer(DataSourceArrowWriter):
         return _TaskFiles(task.partitionId(), files.names, files.sizes, files.records)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        filesystem, root = _open_fs(self.path)
+        tasks = sorted((m for m in messages if m is not None), key=lambda m: m.part)
+        staged = [(posixpath.basename(name), size) for m in tasks for name, size in zip(m.files, m.sizes)]
+        self.commit_staged(*_open_fs(self.path), staged)
+
+    def commit_staged(self, filesystem: fs.FileSystem | SparkFiles, root: str, staged: list[tuple[str, int]]) -> None:
+        """Give the prepared files (name, size) their places, in this order."""
         filesystem.create_dir(root, recursive=True)
         _carry_out(filesystem, root)  # what a writer before this one has left undone
         numbered = re.compile(re.escape(self.prefix) + r"(\d+)" + re.escape(self.suffix))
@@ -199,8 +213,6 @@ class _Writer(DataSourceArrowWriter):
             if (m := numbered.fullmatch(info.base_name))
         }
         start = 0 if self.overwrite else max(present.values(), default=-1) + 1
-        tasks = sorted((m for m in messages if m is not None), key=lambda m: m.part)
-        staged = [(posixpath.basename(name), size) for m in tasks for name, size in zip(m.files, m.sizes)]
         moves = [
             (f"{self.staging}/{name}", f"{self.prefix}{start + i}{self.suffix}", size)
             for i, (name, size) in enumerate(staged)
@@ -214,7 +226,9 @@ class _Writer(DataSourceArrowWriter):
         _carry_out(filesystem, root)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        filesystem, root = _open_fs(self.path)
+        self.drop_staged(*_open_fs(self.path))
+
+    def drop_staged(self, filesystem: fs.FileSystem | SparkFiles, root: str) -> None:
         journal = _journal(filesystem, root)
         if journal is None or journal["staging"] != self.staging:  # else it is committed
             _drop_folder(filesystem, f"{root}/{self.staging}")
@@ -312,20 +326,24 @@ class _Reader(DataSourceReader):
         if not partition.path:
             return
         filesystem, _ = _open_fs(self.path)
-        ids, lengths, htmls, held = [], [], [], 0
         with _opened(filesystem, partition) as source:
-            for number, length, html in _frames(source, partition):
-                if not _fits(length, html):
-                    raise ValueError(f"document {number.decode()} of {partition.path} has {len(html)} bytes, not as stored")
-                ids.append(f"doc_{number.decode()}")
-                lengths.append(len(html))
-                htmls.append(html.decode("utf-8"))
-                held += len(html)
-                if held >= _BATCH_BYTES:
-                    yield _batch(ids, lengths, htmls)
-                    ids, lengths, htmls, held = [], [], [], 0
-        if ids:
+            yield from _batches(source, partition)
+
+
+def _batches(source: pa.NativeFile | io.BytesIO, partition: _Range) -> Iterator[pa.RecordBatch]:
+    ids, lengths, htmls, held = [], [], [], 0
+    for number, length, html in _frames(source, partition):
+        if not _fits(length, html):
+            raise ValueError(f"document {number.decode()} of {partition.path} has {len(html)} bytes, not as stored")
+        ids.append(f"doc_{number.decode()}")
+        lengths.append(len(html))
+        htmls.append(html.decode("utf-8"))
+        held += len(html)
+        if held >= _BATCH_BYTES:
             yield _batch(ids, lengths, htmls)
+            ids, lengths, htmls, held = [], [], [], 0
+    if ids:
+        yield _batch(ids, lengths, htmls)
 
 
 def _opened(filesystem: fs.FileSystem, part: _Range) -> pa.NativeFile:
@@ -349,7 +367,7 @@ def _batch(ids: list[str], lengths: list[int], htmls: list[str]) -> pa.RecordBat
     )
 
 
-def _frames(source: pa.NativeFile, part: _Range) -> Iterator[tuple[bytes, bytes, bytes]]:
+def _frames(source: pa.NativeFile | io.BytesIO, part: _Range) -> Iterator[tuple[bytes, bytes, bytes]]:
     # Start one byte early: a record that begins at ``start`` follows the separator before it.
     offset = max(part.start - 1, 0)
     source.seek(offset)
@@ -409,6 +427,67 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(RawDocs)
 
 
+# ---- stores that only Spark reaches ----------------------------------------------------------
+
+
+def _direct(path: str) -> bool:
+    return path.partition(":")[0] in _DIRECT
+
+
+def _whole_files(limit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for record in batch.column(0).drop_null().to_pylist():
+                if held and size + len(record) > limit:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["file"])
+                    held, size = [], 0
+                held.append(record)
+                size += len(record)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["file"])
+
+    return run
+
+
+def _write_by_spark(records: DataFrame, path: str, options: dict[str, str], mode: str) -> None:
+    """As the data source does, but each file is a row of Spark's text writer, which adds the end mark."""
+    if mode not in ("append", "overwrite"):
+        raise ValueError(f"unknown mode {mode!r}")
+    writer, system = _Writer({"path": path, **options}, mode == "overwrite"), SparkFiles(records.sparkSession)
+    folder = f"{path}/{writer.staging}"
+    files = records.select("record").mapInArrow(_whole_files(min(writer.limit, _ROW_BYTES)), "file binary")
+    try:
+        (
+            files.select(F.col("file").cast("string").alias("value"))
+            .write.option("lineSep", chr(FILE_END))
+            .option("compression", "none")
+            .option("maxRecordsPerFile", "1")
+            .text(folder)
+        )
+        found = [(m, i) for i in system.get_file_info(fs.FileSelector(folder)) if i.size and (m := _ROW_FILE.fullmatch(i.base_name))]
+        found.sort(key=lambda f: (int(f[0][1]), int(f[0][2])))
+        writer.commit_staged(system, path, [(i.base_name, i.size) for _, i in found])
+    except BaseException:
+        writer.drop_staged(system, path)
+        raise
+
+
+def _read_by_spark(spark: SparkSession, path: str, options: dict[str, str]) -> DataFrame:
+    """As the data source does, but each file is a row; files that a journal names are read where they lie now."""
+    found = [name for name, _, _ in _Reader({"path": path, **options})._files(SparkFiles(spark), path)]
+    if not found:
+        return spark.createDataFrame([], RAWDOC)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, data in zip(*batch.columns):
+                data = data.as_buffer()
+                yield from _batches(io.BytesIO(data), _Range(name.as_py(), 0, data.size))
+
+    return spark.read.format("binaryFile").load(found).select("path", "content").mapInArrow(run, RAWDOC)
+
+
 # ---- order over all files -------------------------------------------------------------------
 
 _UNEVEN = 2  # times the mean
@@ -436,13 +515,23 @@ def _by_id_ranges(ids: DataFrame, records: DataFrame, partitions: int | None) ->
 
 
 def _shared(spark: SparkSession, path: str) -> str:
-    """The path as executors must open it: named with its file system, and not a local one on a cluster."""
+    """The path as executors must open it: named with its file system, and not a local one on a cluster.
+
+    What lies below ``spark.checkpoint.dir`` is shared, whatever its file system.
+    """
     path = resolved(spark, path)
     if path.startswith("file:") and not spark.conf.get("spark.master", "").startswith("local"):
-        raise ValueError(f"{path} is a local folder, which executors do not share")
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root or not path.startswith(resolved(spark, root).rstrip("/") + "/"):
+            raise ValueError(f"{path} is a local folder, which executors do not share")
     return path
 
 
+def _for_spark(prefix: str | None) -> None:
+    if (prefix or FILE_PREFIX).startswith(("_", ".")):
+        raise ValueError(f"Spark's reader passes over files named {prefix}...")
+
+
 # ---- public sink and source ----------------------------------------------------------------
 
 
@@ -467,22 +556,25 @@ def write_rawdocs(
     from ``ids``, a cheap table that holds all ids of ``pages`` (and may hold more), or else from
     ``pages`` itself.  Readers see all files of the job or none; ``mode="overwrite"`` replaces all
     files of the same prefix and suffix, and if it is broken off the old ones or the new ones are whole.
+    On a store that only Spark reaches, files of several records hold at most 32 MiB.
     """
     if order not in ("global", "local"):
         raise ValueError(f"unknown order {order!r}")
     records = encode_records(pages, length_mode, on_separator)
     if order == "global":
         records = _by_id_ranges(pages if ids is None else ids, records, partitions)
+    records, path = records.sortWithinPartitions("id"), _shared(pages.sparkSession, path)
+    options = {
+        "maxfilesize": str(max_file_size or MAX_FILE_SIZE),
+        "fileprefix": file_prefix or FILE_PREFIX,
+        "filesuffix": file_suffix or FILE_SUFFIX,
+    }
+    if not _direct(path):
+        _for_spark(file_prefix)
+        _write_by_spark(records, path, options, mode)
+        return
     register(pages.sparkSession)
-    (
-        records.sortWithinPartitions("id")
-        .write.format(FORMAT)
-        .mode(mode)
-        .option("maxfilesize", str(max_file_size or MAX_FILE_SIZE))
-        .option("fileprefix", file_prefix or FILE_PREFIX)
-        .option("filesuffix", file_suffix or FILE_SUFFIX)
-        .save(_shared(pages.sparkSession, path))
-    )
+    records.write.format(FORMAT).mode(mode).options(**options).save(path)
 
 
 def read_rawdocs(
@@ -493,11 +585,10 @@ def read_rawdocs(
     split_size: int = _SPLIT_SIZE,
 ) -> DataFrame:
     """Records of :func:`write_rawdocs` as ``id`` (``doc_<n>``), ``length``, ``html``."""
+    path = _shared(spark, path)
+    options = {"fileprefix": file_prefix or FILE_PREFIX, "filesuffix": file_suffix or FILE_SUFFIX}
+    if not _direct(path):
+        _for_spark(file_prefix)
+        return _read_by_spark(spark, path, options)
     register(spark)
-    return (
-        spark.read.format(FORMAT)
-        .option("fileprefix", file_prefix or FILE_PREFIX)
-        .option("filesuffix", file_suffix or FILE_SUFFIX)
-        .option("splitsize", str(split_size))
-        .load(_shared(spark, path))
-    )
+    return spark.read.format(FORMAT).options(splitsize=str(split_size), **options).load(path)

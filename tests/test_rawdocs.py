@@ -248,3 +248,39 @@ def test_wrong_options(spark):
         encode_records(df, on_separator="other")
     with pytest.raises(ValueError):
         write_rawdocs(df, "x", order="other")
+
+
+def test_shared_work_folder_of_a_cluster(monkeypatch):
+    class Cluster:
+        class conf:
+            get = staticmethod({"spark.master": "spark://somewhere:7077", "spark.checkpoint.dir": "file:/shared/work"}.get)
+
+    monkeypatch.setattr(rawdocs, "resolved", lambda _, path: path)
+    assert rawdocs._shared(Cluster, "file:/shared/work/raw") == "file:/shared/work/raw"
+    for other in ("file:/shared/workers/raw", "file:/corpus"):
+        with pytest.raises(ValueError, match="local folder"):
+            rawdocs._shared(Cluster, other)
+
+
+@pytest.mark.parametrize("mode", ["decimal", "low_byte"])
+def test_store_that_only_spark_reaches(spark, tmp_path, mode):
+    store = "raws-" + mode.replace("_", "-")  # file systems are kept by name
+    spark._jsc.hadoopConfiguration().set(f"fs.viewfs.mounttable.{store}.link./in", f"file:{tmp_path}")
+    path = f"viewfs://{store}/in/{mode}/run=x/batch=0"
+    df = spark.createDataFrame(DOCS, PAGES)
+    write_rawdocs(df, path, max_file_size=600, length_mode=mode, partitions=3)
+    write_rawdocs(df, str(tmp_path / "direct"), max_file_size=600, length_mode=mode, partitions=3)
+    names = {n for n in os.listdir(tmp_path / "direct") if not n.startswith(".")}
+    held = tmp_path / f"{mode}/run=x/batch=0"
+    assert len(names) > 3 and {n for n in os.listdir(held) if not n.startswith(".")} == names
+    assert all((held / n).read_bytes() == (tmp_path / "direct" / n).read_bytes() for n in names)
+    assert _read(spark, f"viewfs://{store}/in/{mode}") == WANT
+    write_rawdocs(df.filter("id % 2 = 0"), path, mode="overwrite", length_mode=mode)
+    assert _read(spark, path) == [w for w in WANT if w[0] % 2 == 0]
+    write_rawdocs(df.filter("id % 2 <> 0"), path, length_mode=mode)
+    assert _read(spark, path) == WANT
+    write_rawdocs(df.filter("id < 0"), path, mode="overwrite")
+    assert _read(spark, path) == []
+    with pytest.raises(Exception, match="separator byte in the HTML of document 1"):
+        write_rawdocs(spark.createDataFrame([(1, "a\x1fb")], PAGES), path)
+    assert not [n for n in os.listdir(held) if n.startswith("_")]
