@@ -3,7 +3,8 @@
 The HTML is read once: every page is reduced to its distinct crawlable links, written bucketed
 by URL.  Each level then joins the small frontier to that table without moving it, keeps the
 first occurrence of each URL, and drops the seen ones by an anti-join against a table with the
-same buckets; neither is sorted.  All levels are written, so lineage stays short and a lost executor costs one stage.
+same buckets; neither is sorted.  A bucket is one file of links, and a few of seen URLs: what the levels
+added is merged now and then.  All levels are written, so lineage stays short and a lost executor costs one stage.
 
 With ``state`` a crawl can be finished later.  A mark beside each level says that it is written
 and recorded whole; the last marked level is the frontier that is known but not expanded.
@@ -31,7 +32,8 @@ from linkloom.scratch import work_dir
 from linkloom.sources.catalog import catalog_rows, create_catalog, insert_rows
 
 _MAX_BUCKETS = 100_000
-_PAGES_PER_BUCKET = 5_000  # whose links are about ten megabytes
+_BUCKET_BYTES = 4 << 20  # of link text
+_SEEN_RUNS = 6  # levels in files of their own; beyond that they are merged
 _PARENTS_PER_TASK = 20_000  # whose new links one task sorts
 _LEVEL = "url string, parent_id long, pos long, _part int, _row long, depth int"
 
@@ -118,7 +120,11 @@ def crawl(
     database = f"linkloom_{uuid.uuid4().hex[:12]}"
     spark.sql(f"CREATE DATABASE {database} LOCATION '{path}/tables-{database}'")
     try:
-        buckets = marks.get("outlinks", {}).get("buckets") or buckets or _buckets_for(pages)
+        buckets, found = marks.get("outlinks", {}).get("buckets") or buckets, None
+        if "outlinks" not in marks:
+            # Written first as they are found, so that their size tells the buckets.
+            found = _written_links(outlinks(pages, base, unique_urls), f"{path}/page-links")
+            buckets = buckets or _buckets_for(found)
         start = marks.get("level-0", {}).get("start", start)
         run = _Crawl(spark, path, database, buckets, quantity, catalog_root, as_of, start, state is not None)
         if "level-0" in marks:
@@ -126,10 +132,11 @@ def crawl(
         else:
             remove(spark, f"{path}/seeds")
             run.start(seed_frontier(spark, seeds, dedup=seeds_seen, path=f"{path}/seeds"), seeds_seen, seen)
-        if "outlinks" in marks:
+        if found is None:
             run.find_outlinks()
         else:
-            run.save_outlinks(outlinks(pages, base, unique_urls), unique_urls)
+            run.save_outlinks(found)
+            remove(spark, f"{path}/page-links")
         while not run.done and not should_stop() and (max_depth is None or run.depth < max_depth):
             run.next_level()
     finally:
@@ -143,8 +150,14 @@ def _marks(spark: SparkSession, state: str) -> dict[str, dict]:
     return {n: json.loads(read_text(spark, f"{state}/marks/{n}")) for n in names}
 
 
-def _buckets_for(pages: DataFrame) -> int:
-    return max(1, min(_MAX_BUCKETS, -(-pages.count() // _PAGES_PER_BUCKET)))
+def _written_links(links: DataFrame, path: str) -> DataFrame:
+    links.write.mode("overwrite").parquet(path)
+    return links.sparkSession.read.schema(links.schema).parquet(path)
+
+
+def _buckets_for(links: DataFrame) -> int:
+    size = F.octet_length("url") + F.octet_length(F.concat_ws(" ", "links"))
+    return max(1, min(_MAX_BUCKETS, -(-(links.agg(F.sum(size.cast("long"))).first()[0] or 0) // _BUCKET_BYTES)))
 
 
 class _Crawl:
@@ -152,7 +165,8 @@ class _Crawl:
 
     def __init__(self, spark, path, database, buckets, quantity, catalog_root, as_of, start, lasting):
         self.spark, self.path, self.buckets, self.quantity = spark, path, buckets, quantity
-        self.links_table, self.seen_table = f"{database}.outlinks", f"{database}.seen"
+        self.links_table, self.seen_table = f"{database}.outlinks", f"{database}.seen_0"
+        self.seen_runs, self.merges = 0, 0
         self.catalog_root, self.as_of = catalog_root, as_of
         self.before, self.lasting = start, lasting
         self.run = lasting_id(spark, f"{path}/run") if lasting else uuid.uuid4().hex[:12]
@@ -179,10 +193,24 @@ class _Crawl:
         if self.lasting:
             put_new(self.spark, f"{self.path}/marks/{name}", json.dumps(what))
 
+    def _add_seen(self, rows: DataFrame) -> None:
+        """Add ``url, parent_id, pos, depth`` of one depth: one file a bucket, if the rows lie by URL."""
+        self._append(rows, self.seen_table, "depth")
+        self.seen_runs += 1
+
     def _add_known(self, urls: DataFrame) -> None:
         none = F.lit(None).cast("long")
         earlier = urls.select("url", none.alias("parent_id"), none.alias("pos"), F.lit(-1).alias("depth"))
-        self._append(earlier, self.seen_table, "depth")
+        self._add_seen(earlier.repartition(self.buckets, "url"))
+
+    def _merge_seen(self) -> None:
+        """Put what is seen into one file a bucket; the levels themselves are written elsewhere."""
+        if self.seen_runs <= _SEEN_RUNS:
+            return
+        old, self.merges, self.seen_runs = self.seen_table, self.merges + 1, 0
+        self.seen_table = f"{old.rpartition('_')[0]}_{self.merges}"
+        self._add_known(self.spark.table(old))
+        self.spark.sql(f"DROP TABLE {old}")
 
     def start(self, seeds: DataFrame, keep: bool, seen: DataFrame | None) -> None:
         none = F.lit(None)
@@ -194,9 +222,7 @@ class _Crawl:
                 known = self.spark.read.schema("url string").parquet(f"{self.path}/known")
             level = level.join(known, "url", "left_anti")
             self._add_known(known)
-        self._append(
-            level.filter(F.lit(keep)).withColumn("depth", F.lit(0)), self.seen_table, "depth"
-        )
+        self._add_seen(level.filter(F.lit(keep)).withColumn("depth", F.lit(0)).repartition(self.buckets, "url"))
         self._add_level(level, start=self.before, keep=keep, known=seen is not None)
 
     def restore(self, marks: dict[str, dict]) -> None:
@@ -206,16 +232,15 @@ class _Crawl:
         depths = sum(name.startswith("level-") for name in marks)
         rows = self.spark.read.schema(_LEVEL).parquet(f"{self.path}/levels").filter(F.col("depth") < depths)
         seen = rows if marks["level-0"]["keep"] else rows.filter("depth > 0")
-        self._append(seen.select("url", "parent_id", "pos", "depth").repartition(self.buckets, "url"), self.seen_table, "depth")
+        self._add_known(seen)
         for depth in range(depths):
             path, mark = f"{self.path}/levels/depth={depth}", marks[f"level-{depth}"]
             schema = ", ".join(c for c in _LEVEL.split(", ") if not c.startswith("depth"))
             placed = self.spark.read.schema(schema).parquet(path)
             self._take(depth, Numbered(with_ids(placed, mark["offsets"]), mark["offsets"], mark["count"]))
 
-    def save_outlinks(self, links: DataFrame, unique_urls: bool) -> None:
-        # After the per-URL aggregation rows already lie by URL; otherwise one shuffle puts them so.
-        placed = links.repartition(self.buckets, "url") if unique_urls else links
+    def save_outlinks(self, links: DataFrame) -> None:
+        placed = links.repartition(self.buckets, "url")  # a bucket is one file
         if not self.lasting:
             self._append(placed, self.links_table)
             return
@@ -256,9 +281,10 @@ class _Crawl:
         seen = self.spark.table(self.seen_table).select("url")
         known = seen.join(first.select("url").hint("shuffle_hash"), "url", "left_semi")
         fresh = first.join(known.hint("shuffle_hash"), "url", "left_anti")
-        self._append(fresh.withColumn("depth", F.lit(depth)), self.seen_table, "depth")
+        self._add_seen(fresh.withColumn("depth", F.lit(depth)))
         level = self.spark.table(self.seen_table).filter(F.col("depth") == depth)
         self._add_level(level.select("url", "parent_id", "pos"))
+        self._merge_seen()
 
     def _add_level(self, rows: DataFrame, **more) -> None:
         """Number and write a level; its size is counted in what was written."""

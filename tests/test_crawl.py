@@ -127,6 +127,25 @@ def test_a_crashed_crawl_is_taken_up(spark, pages, tmp_path, monkeypatch, crash)
     assert sorted((r.id, r.url) for r in read_catalog(spark, root).collect()) == [r[:2] for r in want]
 
 
+def test_files_of_a_bucket_do_not_grow_with_the_levels(spark, tmp_path, monkeypatch):
+    """A chain of 20 levels: one file of links a bucket, and a few of seen URLs, also when the crawl is taken up."""
+    rows = [(k, f"http://c/{k}", f'<a href="http://c/{k + 1}"><a href="http://c/{k // 2}">') for k in range(20)]
+    chain = spark.createDataFrame(rows, PAGES).repartition(5)
+    step, files = plan._Crawl.next_level, []
+
+    def counted(self):
+        step(self)
+        files.append([len(spark.table(t).inputFiles()) for t in (self.links_table, self.seen_table)])
+
+    monkeypatch.setattr(plan._Crawl, "next_level", counted)
+    state = str(tmp_path / "state")
+    for bound in ({"max_depth": 13}, {}):
+        result = crawl(spark, ["http://c/0"], chain, buckets=2, state=state, **bound)
+    assert [r.url for r in result.frontier.orderBy("id").collect()] == [f"http://c/{k}" for k in range(21)]
+    assert len(files) == 21
+    assert max(n for n, _ in files) == 2 and max(n for _, n in files) <= 2 * (plan._SEEN_RUNS + 1)
+
+
 def test_small_files_are_made_once(spark, tmp_path):
     path = str(tmp_path / "folder" / "name")
     assert read_text(spark, path) is None
