@@ -103,19 +103,12 @@ def _close_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a[enough]), pa.array(b[enough])], ["a", "b"])
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, fingerprint, component_id`` for each row of ``docs`` (``doc_id``, ``text``).
+def close_fingerprints(nodes: DataFrame) -> DataFrame:
+    """``a, b``: links that span the rows of ``nodes`` (``doc_id, fp``, no print twice) at three differing bits or fewer.
 
-    Fingerprints that differ in at most three bits link; ``component_id`` is the smallest id that
-    can be reached.  Equal fingerprints are one node, so copies make no pairs.  Nodes that agree in
-    two of five parts meet; of these, only pairs whose distances to every pivot differ by at most
-    three are compared.  Rows without an id get their fingerprint and a null component, and link
-    nothing.  Rows that repeat an id stay; the id belongs to all their components.  Other columns
-    are not read.  An empty table gives an empty result.
+    Nodes that agree in two of five parts meet; of these, only pairs whose distances to every pivot
+    differ by at most three are compared.
     """
-    prints = written(fingerprints(docs), "fingerprints")
-    nodes = prints.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    nodes = written(nodes, "nodes")
     parts, low = [], 0
     for width in PARTS:
         parts.append(F.shiftrightunsigned("fp", low).bitwiseAND((1 << width) - 1))
@@ -127,7 +120,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     keyed = nodes.select("doc_id", "fp", F.inline(F.array(*keys)))
     dealt = block_pairs(keyed, ["part", "bits"], "fp", BLOCK_ROWS)
     group = ["part", "bits", "block_a", "block_b"]
-    links = dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(_close_pairs, "a long, b long")
+    return dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(_close_pairs, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``doc_id, fingerprint, component_id`` for each row of ``docs`` (``doc_id``, ``text``).
+
+    Fingerprints that differ in at most three bits link; ``component_id`` is the smallest id that
+    can be reached.  Equal fingerprints are one node, so copies make no pairs.  Nodes that agree in
+    two of five parts meet; of these, only pairs whose distances to every pivot differ by at most
+    three are compared.  Rows without an id get their fingerprint and a null component, and link
+    nothing.  Rows that repeat an id stay; the id belongs to all their components.  Other columns
+    are not read.  An empty table gives an empty result.
+    """
+    prints = written(fingerprints(docs), "fingerprints")
+    nodes = prints.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+    nodes = written(nodes, "nodes")
+    links = close_fingerprints(nodes)
     # A repeated id ties its rows together, whatever their texts.
     same = prints.filter("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("x"), F.max("fp").alias("y"))
     same = same.filter("x <> y").select("doc_id")

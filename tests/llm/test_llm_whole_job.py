@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 import numpy as np
 
-from linkloom.llm import lines, neardup
+from linkloom.llm import lines, neardup, simhash
 
 
 def _texts():
@@ -73,6 +73,40 @@ def test_groups_that_the_first_links_leave_apart_are_compared(spark):
         assert got == _components(rows) == {0: 0, 1: 0, 2: 0}
 
 
+def test_the_stage_links_by_fingerprints_and_checks_them(spark, monkeypatch):
+    """SimHash's pairs are among those that are verified, in the stage too; no other link than similar sets comes out."""
+    given, verified = [], []
+    pairs_of, similar = neardup.fingerprint_pairs, lines.SetGroups.similar
+
+    def spy_pairs(frame, held):
+        prints = {r.doc_id: r.fp for r in simhash.fingerprints(frame).collect()}
+        sets = {r.doc_id: r.line_set for r in held.collect()}
+        out = pairs_of(frame, held)
+        apart = [(a, b) for a in sets for b in sets if a < b and sets[a] != sets[b]]
+        near = {frozenset((sets[a], sets[b])) for a, b in apart if ((prints[a] ^ prints[b]) & (2**64 - 1)).bit_count() <= 3}
+        given.append(({frozenset(r) for r in out.collect()}, near))
+        return out
+
+    def spy_similar(self, pairs):
+        verified.append({frozenset(r) for r in pairs.collect()})
+        return similar(self, pairs)
+
+    monkeypatch.setattr(neardup, "fingerprint_pairs", spy_pairs)
+    monkeypatch.setattr(lines.SetGroups, "similar", spy_similar)
+    words = [f"w{i}" for i in range(2000)]
+    texts = [words, [*words[:-1], "other"], [*words[:-1], "last"], words[:40], ["new", *words[:1990]], ["Word", "other"], ["other"]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    stayed = {r.doc_id for r in corpus_pipeline.near_dedup(spark, frame, "").collect()}
+    want = _components(rows)
+    assert stayed == {i for i, _ in rows if want[i] == i}
+    [(got, near)] = given
+    assert near and got <= near and got <= verified[0]
+    # The links span what is linked.
+    reached = {n for pair in got for n in pair}
+    assert reached == {n for pair in near for n in pair}
+
+
 def test_short_lines_are_copies_of_equal_ones(spark):
     """Lines of one to four words are one token; blank ones hold none."""
     texts = ["Home\nAbout us\n\nHome\none two three four five six", "Home \n about us\n\nAbout  us", "one two three four\n \nfour three two one"]
