@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.arrays import flat_bytes, mixed, running, small_pieces, word_hashes, word_ranges
@@ -25,6 +25,9 @@ RARITY_BITS = 16
 TASK_TOKENS = 1 << 18
 #: Lines of one token that are compared in one go.  A token counted more often is cut into blocks.
 BLOCK_LINES = 1 << 14
+#: Bits that tell which texts are wanted (2 MiB at most), in maps of 32,768 each.  It is a fixed size for
+#: any input: texts share a bit when there are more, and then some are moved that nothing joins.
+KEY_BITS, _MAP_BITS = 24, 15
 
 _BASE = 0x9E3779B97F4A7C15
 
@@ -146,23 +149,22 @@ def _ranks(rarity: np.ndarray) -> np.ndarray:
 
 #: What a packed row holds of each posting: columns one after the other.
 _POSTING = {"token": "<u8", "set": "<i8", "size": "<i4", "place": "<i4", "meet": "<i8"}
+_PACKED = "task int, postings binary"
 
 
-_HELD = "doc_id long, text_key long, line_no int, line_set long, task int, postings binary"
+_HELD = "doc_id long, text_key long, line_no int, line_set long, sets binary"
 
 
-def _lines_and_postings(rarity: np.ndarray, cut: Cut, tasks: int):
+def _lines_and_sets(rank: np.ndarray, cut: Cut):
     """Rows of two sorts, as each text is cut but once.
 
-    A row for each line that holds tokens, or for each text that is one line; and, with a
-    ``task``, packed rows of the prefix tokens of the distinct sets among some texts.
+    A row for each line that holds tokens, or for each text that is one line; and, with ``sets``,
+    the distinct sets among some texts with the tokens of their prefixes, which say less than
+    postings: a set stands there once and not with each token.
     """
-    top, low = SIMILAR
-    rank = _ranks(rarity)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made, seen = {name: [] for name in _POSTING}, np.zeros(0, np.int64)
+            made, seen = [], np.zeros(0, np.int64)
             for piece in small_pieces(batch, "text"):
                 lines = _Lines(piece.column(2), cut, rank)
                 size, all_sets = np.diff(lines.bounds), lines.set_hashes()
@@ -171,36 +173,61 @@ def _lines_and_postings(rarity: np.ndarray, cut: Cut, tasks: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         piece.column(0).take(doc), piece.column(1).take(doc), pa.array(lines.number[used].astype(np.int32)),
-                        pa.array(all_sets[used]), pa.nulls(len(used), pa.int32()), pa.nulls(len(used), pa.binary()),
+                        pa.array(all_sets[used]), pa.nulls(len(used), pa.binary()),
                     ],
-                    ["doc_id", "text_key", "line_no", "line_set", "task", "postings"],
+                    ["doc_id", "text_key", "line_no", "line_set", "sets"],
                 )
                 sets, place = np.unique(all_sets, return_index=True)
                 fresh = (size[place] > 0) & ~np.isin(sets, seen)
                 sets, place = sets[fresh], place[fresh]
                 seen = np.concatenate((seen, sets))
-                size = size[place]
-                # A similar set holds ceil(t * size) of the tokens, so one of the first ones.
-                prefix = size + (size * top) // -low + 1
-                row = np.repeat(np.arange(len(size)), prefix)
-                at = np.arange(len(row)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
-                for name, values in (
-                    ("token", lines.tokens[lines.bounds[place][row] + at]), ("set", sets[row]),
-                    ("size", size[row]), ("place", at),
-                ):
-                    made[name].append(values.astype(_POSTING[name]))
-                if sum(map(len, made["token"])) >= TASK_TOKENS:
-                    yield _packed(made, rarity, tasks)
-                    made, seen = {name: [] for name in _POSTING}, np.zeros(0, np.int64)
-            if made["token"]:
-                yield _packed(made, rarity, tasks)
+                row, at = _prefixes(size[place])
+                made.append((sets, size[place].astype("<i8"), lines.tokens[lines.bounds[place][row] + at]))
+                if sum(len(tokens) for _, _, tokens in made) >= TASK_TOKENS:
+                    yield _sets_row(made)
+                    made, seen = [], np.zeros(0, np.int64)
+            if made:
+                yield _sets_row(made)
+
+    return run
+
+
+def _prefixes(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The set and the place of each prefix token of sets of ``size`` tokens, one set after the other.
+
+    A similar set holds ceil(t * size) of the tokens, so one of the first ones.
+    """
+    top, low = SIMILAR
+    prefix = size + (size * top) // -low + 1
+    row = np.repeat(np.arange(len(size)), prefix)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
+
+
+def _sets_row(made: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """One row of sets, their sizes and the tokens of their prefixes, behind the number of sets."""
+    sets, size, tokens = (np.concatenate(parts) for parts in zip(*made))
+    blob = len(sets).to_bytes(8, "little") + sets.tobytes() + size.tobytes() + tokens.tobytes()
+    nothing = [pa.nulls(1, kind) for kind in (pa.int64(), pa.int64(), pa.int32(), pa.int64())]
+    return pa.RecordBatch.from_arrays([*nothing, pa.array([blob], pa.binary())], ["doc_id", "text_key", "line_no", "line_set", "sets"])
+
+
+def _dealt(rarity: np.ndarray, tasks: int):
+    """For each task packed rows of the postings of sets, which are the last column (null: none)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(batch.num_columns - 1).drop_null().to_pylist():
+                n = int.from_bytes(blob[:8], "little")
+                sets, size = np.frombuffer(blob, "<i8", n, 8), np.frombuffer(blob, "<i8", n, 8 + 8 * n)
+                row, at = _prefixes(size)
+                out = {"token": np.frombuffer(blob, "<u8", len(row), 8 + 16 * n), "set": sets[row], "size": size[row], "place": at}
+                yield _packed({name: values.astype(_POSTING[name]) for name, values in out.items()}, rarity, tasks)
 
     return run
 
 
-def _packed(made: dict[str, list[np.ndarray]], rarity: np.ndarray, tasks: int) -> pa.RecordBatch:
+def _packed(out: dict[str, np.ndarray], rarity: np.ndarray, tasks: int) -> pa.RecordBatch:
     """A row for each task with its postings."""
-    out = {name: np.concatenate(parts) for name, parts in made.items() if parts}
     # Tokens that may be frequent are cut into blocks, which meet pair by pair.
     count = rarity[out["token"] >> np.uint64(64 - RARITY_BITS)]
     blocks = np.maximum(1, -(count // -(BLOCK_LINES << 6))).astype(np.int64)
@@ -218,11 +245,7 @@ def _packed(made: dict[str, list[np.ndarray]], rarity: np.ndarray, tasks: int) -
     ends = np.searchsorted(task[order], np.arange(tasks + 1))
     filled = np.flatnonzero(np.diff(ends))
     packed = [b"".join(out[n][ends[t] : ends[t + 1]].tobytes() for n in _POSTING) for t in filled]
-    nothing = [pa.nulls(len(filled), kind) for kind in (pa.int64(), pa.int64(), pa.int32(), pa.int64())]
-    return pa.RecordBatch.from_arrays(
-        [*nothing, pa.array(filled.astype(np.int32)), pa.array(packed, pa.binary())],
-        ["doc_id", "text_key", "line_no", "line_set", "task", "postings"],
-    )
+    return pa.RecordBatch.from_arrays([pa.array(filled.astype(np.int32)), pa.array(packed, pa.binary())], ["task", "postings"])
 
 
 def _unpacked(packed: bytes) -> dict[str, np.ndarray]:
@@ -287,14 +310,42 @@ def _reachable(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> np
     return 1 + np.minimum(x - i - 1, y - j - 1) >= _needed(x, y)
 
 
-def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The third column, texts, in compressed form: they are moved but once."""
-    press = zstandard.ZstdCompressor(level=1).compress
-    for batch in batches:
-        packed = [press((t or "").encode()) for t in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["doc_id", "text_key", "packed"]
-        )
+def _key_place() -> Column:
+    """The bit of a text's id and key."""
+    return F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("long"), "text_key"), 64 - KEY_BITS)
+
+
+def _key_bits(keys: DataFrame) -> np.ndarray:
+    """One bit for each place of ``keys`` (``doc_id``, ``text_key``); ``2**KEY_BITS`` at most."""
+    place = _key_place()
+    maps = keys.select(F.shiftright(place, _MAP_BITS).alias("map"), place.bitwiseAND((1 << _MAP_BITS) - 1).alias("bit"))
+    bits = np.zeros(1 << KEY_BITS - 3, np.uint8)
+    size = 1 << _MAP_BITS - 3
+    for row in maps.groupBy("map").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():  # bounded by the number of maps
+        bits[row.map * size : (row.map + 1) * size] = np.frombuffer(row.bits, np.uint8)
+    return bits
+
+
+def _compressed(bits: np.ndarray):
+    """The third column, texts, in compressed form: they are moved but once, and only if their place's bit is set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            place = batch.column(3).to_numpy()
+            batch = batch.take(pa.array(np.flatnonzero(bits[place >> 3] >> (place & 7) & 1)))
+            packed = [press((t or "").encode()) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["doc_id", "text_key", "packed"]
+            )
+
+    return run
+
+
+def moved_texts(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """``doc_id, text_key, packed`` of the rows of ``texts`` that ``keys`` may hold: those, and few others."""
+    placed = texts.select("doc_id", "text_key", "text", _key_place().alias("place"))
+    return placed.mapInArrow(_compressed(_key_bits(keys)), "doc_id long, text_key long, packed binary")
 
 
 def _tokens_of(rank: np.ndarray, cut: Cut):
@@ -373,30 +424,34 @@ class SetGroups(NamedTuple):
 def set_groups(docs: DataFrame, cut: Cut, again: bool = False) -> SetGroups:
     """Sets of the lines of ``docs`` (``doc_id``, ``text``), by the prefix, length and positional filters.
 
-    Postings are written with the lines, or, to keep less in the scratch folder, made ``again`` in a second pass.
+    Sets with their prefixes are written with the lines, or, to keep less in the scratch folder, made ``again`` in a second pass.
     """
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("string"))
     rarity = _rarity_cells(texts, cut)
     rank = _ranks(rarity)
     tasks = max(1, int(rarity.sum()) // 4 // TASK_TOKENS + 1)
-    held = texts.mapInArrow(_lines_and_postings(rarity, cut, tasks), _HELD)
+    cut_up, dealt = _lines_and_sets(rank, cut), _dealt(rarity, tasks)
+    held = texts.mapInArrow(cut_up, _HELD)
     held = held if again else written(held, "lines")
-    lines = held.filter("task is null").select("doc_id", "text_key", "line_no", "line_set")
+    lines = held.filter("sets is null").select("doc_id", "text_key", "line_no", "line_set")
     lines = written(lines, "lines") if again else lines
     place = F.struct("doc_id", "text_key", "line_no")
     firsts = lines.groupBy("line_set").agg(F.min(place).alias("place"), F.count("*").alias("n"))
     firsts = written(firsts, "line-sets")
 
-    packed = held.filter("task is not null").select("task", "postings")
+    # In one call, as two chained ones would hold two Python workers for a task.
+    packed = texts.mapInArrow(lambda batches: dealt(cut_up(batches)), _PACKED) if again else (
+        held.filter("sets is not null").select("sets").mapInArrow(dealt, _PACKED)
+    )
     members = packed.repartitionById(tasks, F.col("task")).mapInArrow(_candidates, "group long, line_set long, size int, at int")
     members = written(members.join(firsts, "line_set"), "line-groups")
 
     # Whole sets of the candidates, from the documents that hold them first.
     wanted = members.select("line_set", "place").distinct().groupBy("place.doc_id", "place.text_key")
-    wanted = wanted.agg(F.collect_list("place.line_no").alias("wanted"))  # lines of one text
-    packed = texts.mapInArrow(_compressed, "doc_id long, text_key long, packed binary")
-    holders = packed.alias("t").join(
-        wanted.alias("w"),
+    wanted = written(wanted.agg(F.collect_list("place.line_no").alias("wanted")), "line-wanted")  # lines of one text
+    # A merge join, as a broadcast one would chain two Python workers in a task.
+    holders = moved_texts(texts, wanted).alias("t").join(
+        wanted.hint("merge").alias("w"),
         F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.text_key") == F.col("w.text_key")),
     )
     tokens = holders.select("packed", "wanted").mapInArrow(_tokens_of(rank, cut), "line_set long, tokens binary")

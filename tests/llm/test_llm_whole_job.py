@@ -127,3 +127,14 @@ def test_short_lines_are_copies_of_equal_ones(spark):
     assert {(r.doc_id, r.line_no) for r in got} == want and len(got) == len(want) == 5
     stayed = corpus_pipeline.line_dedup(spark, frame, "")
     assert {r.doc_id: r.text for r in stayed.collect()} == left
+
+
+def test_only_wanted_texts_move(spark):
+    """Texts are packed and shuffled for the check of whole sets only if they hold a line that is compared."""
+    rows = [(i, f"alone{i} stands in text {i} and nowhere else\nsecond{i} line{i} of it{i} is its{i} own{i}") for i in range(300)]
+    rows += [(None, "no id and one line that two share here"), (7, ""), (7, None)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "xxhash64(text) text_key", "text")
+    wanted = texts.filter("doc_id in (3, 200) or doc_id is null").select("doc_id", "text_key")
+    moved = {(r.doc_id, r.text_key) for r in lines.moved_texts(texts, wanted).collect()}
+    assert {tuple(r) for r in wanted.collect()} <= moved and len(moved) <= 5
+    assert lines.moved_texts(texts, wanted.filter("false")).count() == 0
