@@ -33,10 +33,13 @@ class _Index:
         self.low, self.high = (x.min(axis=0), x.max(axis=0)) if n else (np.zeros(dims, int), np.zeros(dims, int))
         step = np.maximum(1, -(-(self.high - self.low + 1) // LEVELS))
         self.rows = np.argsort(x, axis=0, kind="stable").T.copy()
-        self.held = np.take_along_axis(self.floats.T, self.rows, axis=1)
+        held = np.take_along_axis(self.floats.T, self.rows, axis=1)
+        #: Postings of all components one after the other: rows, and how far values lie over the least or under the largest.
+        self.flat_rows, self.over, self.under = self.rows.ravel(), (held - self.low[:, None]).ravel(), (held - self.high[:, None]).ravel()
         level = np.take_along_axis(((x - self.low) // step).T, self.rows, axis=1)
         #: Where the segments of a component begin in its postings, the end included.
         self.cuts = np.stack([np.searchsorted(h, np.arange(LEVELS + 1)) for h in level]) if dims else np.zeros((0, LEVELS + 1), int)
+        self.flat_cuts = (self.cuts + np.arange(dims)[:, None] * n).tolist()
         # Smallest and largest value of each segment's quantised range.
         self.first = np.minimum(self.low[:, None] + step[:, None] * np.arange(LEVELS), self.high[:, None])
         self.last = np.minimum(self.first + step[:, None] - 1, self.high[:, None])
@@ -48,6 +51,17 @@ class _Index:
             return (self.floats[rows] @ q.astype(float)).astype(np.int64)
         return _held(self.x[rows].astype(object) @ q.astype(object))
 
+    def _add(self, added: np.ndarray, taken: dict[int, list[int]], q: list[float]) -> None:
+        """Adds the impacts of the ``taken`` postings, from and to in the flat ones of each component, in one pass."""
+        size = sum(high - low for low, high in taken.values())
+        rows, impacts, at = np.empty(size, np.int64), np.empty(size), 0
+        for d, (low, high) in taken.items():
+            to = at + high - low
+            rows[at:to] = self.flat_rows[low:high]
+            np.multiply((self.over if q[d] > 0 else self.under)[low:high], q[d], out=impacts[at:to])
+            at = to
+        added += np.bincount(rows, impacts, len(added))
+
     def possible(self, q: np.ndarray, k: int, barred: np.ndarray) -> np.ndarray:
         """Rows that the bounds can't exclude from the best ``k`` (``barred`` rows apart).
 
@@ -78,26 +92,29 @@ class _Index:
         by = q[used].astype(float)
         shift, doubt = float(base @ by), 1e-9 * (1 + rest + float(np.abs(base) @ np.abs(by)))
         fall = after.ravel()[order].tolist()
+        dims, cuts, weight = used.tolist(), self.flat_cuts, q.astype(float).tolist()
         added = np.zeros(n)
+        added[barred] = -np.inf
+        taken: dict[int, list[int]] = {}
         for flat, less in zip(order.tolist(), fall):
             at, level = divmod(flat, LEVELS)
-            d = used[at]
-            own = slice(self.cuts[d, level], self.cuts[d, level + 1])
-            added[self.rows[d, own]] += (self.held[d, own] - base[at]) * by[at]
+            low, high = cuts[dims[at]][level : level + 2]
+            own = taken.setdefault(dims[at], [low, high])
+            # The segments of a component are taken in the order in which they lie side by side.
+            own[:] = min(low, own[0]), max(high, own[1])
             left -= less
             if left > LOOK * rest:
                 continue
-            rest = left
-            known = added.copy()
-            known[barred] = -1.0
-            best = np.argpartition(known, n - k)[n - k :]
-            if known[best].min() < 0:
+            self._add(added, taken, weight)
+            taken, rest = {}, left
+            best = np.argpartition(added, n - k)[n - k :]
+            if added[best].min() < 0:
                 continue
             worst = float(self.exact(q, best).min()) - shift
-            alive = np.flatnonzero(known + rest + doubt >= worst)
+            alive = np.flatnonzero(added >= worst - rest - doubt)
             if len(alive) <= max(16 * k, n // SHARE):
                 return alive
-        return np.flatnonzero(known + doubt >= worst) if rest <= doubt and known[best].min() >= 0 else np.arange(n)
+        return np.flatnonzero(added >= worst - doubt) if rest <= doubt and added[best].min() >= 0 else np.arange(n)
 
 
 def _held(scores: np.ndarray) -> np.ndarray:

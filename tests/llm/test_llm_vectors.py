@@ -116,3 +116,18 @@ def test_near_vectors(vectors, monkeypatch, block):
     assert got == want
     assert max(n for _, n, _, _ in got) > 30
     assert covertree.near_vectors(vectors.filter("false")).count() == 0
+
+
+def test_search_adds_postings_in_one_pass_between_looks(monkeypatch):
+    """No search leaves out one of the best rows, and segments are added together, not one by one."""
+    rng = np.random.default_rng(8)
+    passes, add = [], topk._Index._add
+    monkeypatch.setattr(topk._Index, "_add", lambda *a: (passes.append(1), add(*a))[1])
+    for x in (rng.integers(-150, 150, (3000, 64)), rng.integers(0, 4, (500, 5)), np.zeros((200, 3), int), -rng.integers(2, 9, (300, 1))):
+        index = topk._Index(x.astype(np.int64))
+        for i in range(0, len(x), 97):
+            alive = index.possible(x[i], 5, np.array([i]))
+            score = np.where(np.arange(len(x)) == i, -(1 << 40), x @ x[i])
+            worst = np.sort(score)[-5]
+            assert set(np.flatnonzero(score >= worst)) <= set(alive.tolist()) | {i}
+    assert len(passes) < 60 * 31 + 4 * 40  # a look each; there are up to 512 segments a search
