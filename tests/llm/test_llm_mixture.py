@@ -222,3 +222,49 @@ def test_mixing_follows_the_plain_form():
         maps.append(refined)
     assert np.allclose(bits, want, rtol=1e-4)
     assert np.allclose(end.weights, np.mean(weights, axis=0), atol=1e-4) and np.allclose(end.map, np.mean(maps, axis=0), atol=1e-4)
+
+
+def _plain_tail_bits(model, words, segment):
+    """Decisions behind first bytes one after the other; weights and map follow each outcome."""
+    powers, total, left = mixture.Powers(mixture._BASE), 0.0, 0
+    for word in words:
+        own = mixture._spelled(pa.array([word]), model.codes, powers)
+        odds = mixture._odds(own.cells, own.bit, model.inside)
+        for x, gate, bit in zip(odds, mixture._gates(own.gate, odds).tolist(), own.bit.tolist()):
+            if not left:
+                w, refined, left = model.tail.weights.astype(float), model.tail.map.astype(float), segment
+            x = np.append(x / mixture._UNIT, 0.5)
+            z = min(max(float(x @ w[gate]), -8.0), 8.0)
+            p = 1 / (1 + math.exp(-z))
+            low = min(int((z + 8) * 2), 31)
+            part = (z + 8) * 2 - low
+            q = 0.5 * (p + refined[low] + (refined[low + 1] - refined[low]) * part)
+            total -= math.log2(min(max(q if bit else 1 - q, mixture._LEAST), 1))
+            w[gate] += mixture._RATE * (bit - p) * x
+            refined[low] += mixture._MAP_RATE * (1 - part) * (bit - refined[low])
+            refined[low + 1] += mixture._MAP_RATE * part * (bit - refined[low + 1])
+            left -= 1
+    return total
+
+
+def test_all_decisions_are_mixed_online(monkeypatch):
+    """Also those behind first bytes, in texts that were learned from and others, whatever stays spelled from piece to piece."""
+    rng = np.random.default_rng(8)
+    model, words = _random_model(rng), [f"{a}{b}" for a in ("stone", "über", "x", "windmill") for b in range(6)]
+    texts = [" ".join(rng.choice(words, n)) for n in (60, 3, 1, 25, 60)] + ["", "again " * 40, words[3]]
+    texts += texts
+    want = [_plain_tail_bits(model, _split_ended(t), 200) for t in texts]
+    known, order = mixture._Known.of(pa.array([f"{w} " for w in words[::2]] + ["\n"]), mixture.Powers(mixture._BASE))
+    frequent = _Shared((known, np.ones(len(order), np.int64), np.zeros(len(order))))
+    powers = mixture.Powers(mixture._BASE)
+    heads = [model.first_bytes(mixture._Run.of(pa.array([t]), powers))[0] for t in texts]
+    monkeypatch.setattr(mixture, "TAIL_SEGMENT", 200, raising=False)
+    columns = [pa.array(range(16)), pa.array(range(16)), pa.array(texts), pa.array([i % 3 == 0 for i in range(16)])]
+    batch = pa.record_batch(columns, ["row", "doc_id", "text", "learned"])
+    for room, size, lanes in ((1 << 22, 1 << 21, 4096), (0, 1 << 21, 3), (300, 200, 2), (1 << 22, 200, 4096)):
+        monkeypatch.setattr(mixture, "TAIL_ROOM", room, raising=False)
+        monkeypatch.setattr(mixture, "PIECE_BYTES", size)
+        monkeypatch.setattr(mixture, "LANES", lanes)
+        monkeypatch.setattr(mixture._pieces, "__defaults__", (size,))
+        got = pa.Table.from_batches(list(mixture._scored(_Shared(model), frequent, 1000, 50)([batch])))
+        assert np.allclose(np.array(got.column("bits")) - heads, want, rtol=1e-4, atol=1e-3)
