@@ -107,6 +107,44 @@ def test_the_stage_links_by_fingerprints_and_checks_them(spark, monkeypatch):
     assert reached == {n for pair in near for n in pair}
 
 
+def test_links_of_fingerprints_stay_whatever_the_sets(spark):
+    """All that the operator of fingerprints links is one group, also below a similarity of four fifths, and with all similar sets."""
+    rng = np.random.default_rng(9)
+    words = np.array([f"w{i}" for i in range(5000)])
+    texts = []
+    for n in (40, 150, 300):
+        # What repeats outweighs the ends, by which the sets differ.
+        body = " ".join(rng.choice(words, n))
+        ends = [rng.choice(words, n) for _ in range(3)]
+        texts += [" ".join([*[body] * 60, *end]) for end in ends]
+        # Like the last of them as sets, but not by fingerprint, as the repeats are gone.
+        texts.append(" ".join([body, *ends[-1]]))
+        texts.append(" ".join([*ends[-1], body]))
+    texts += ["", None, "one two three", " ".join(rng.choice(words, 80))]
+    rows = [(int(i), text) for i, text in zip(rng.permutation(len(texts)), texts)]
+    prints = {i: simhash._fingerprint((t or "").encode()) for i, t in rows}
+    sets = {i: _set(t) for i, t in rows}
+    label = {i: i for i, _ in rows}
+
+    def near(i, j):
+        both = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+        return (prints[i] ^ prints[j]).bit_count() <= 3, both[0] * 5 >= 4 * both[1]
+
+    for _ in rows:
+        for i in label:
+            for j in label:
+                if any(near(i, j)):
+                    label[i] = label[j] = min(label[i], label[j])
+    # Some links are of one kind alone.
+    assert {(True, False), (False, True)} <= {near(i, j) for i in label for j in label}
+    frame = spark.createDataFrame([*rows, (None, texts[0])], "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in neardup.similar_documents(frame).collect()} == label
+    of = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame).collect() if r.doc_id is not None}
+    assert all(label[i] == label[own] for i, own in of.items()) and label != _components(rows)
+    stayed = corpus_pipeline.near_dedup(spark, frame, "")
+    assert Counter(r.doc_id for r in stayed.collect()) == Counter([None, *(i for i in label if label[i] == i)])
+
+
 def test_short_lines_are_copies_of_equal_ones(spark):
     """Lines of one to four words are one token; blank ones hold none."""
     texts = ["Home\nAbout us\n\nHome\none two three four five six", "Home \n about us\n\nAbout  us", "one two three four\n \nfour three two one"]
